@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("markup", "survivors", "score_fusion", "privacy", "near_duplicates", "leaks")
+MODULES = ("markup", "survivors", "score_fusion", "privacy", "near_duplicates", "language", "packing", "leaks", "stuffing")
 
 
 def _collect(attribute: str) -> dict:
