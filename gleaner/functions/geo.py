@@ -15,7 +15,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     dlat = F.radians(lat2 - lat1) / 2
     dlon = F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon), 2)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # least() would skip a null
 
 
 def grid_x(lon: Column, bits: int) -> Column:

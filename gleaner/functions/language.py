@@ -11,7 +11,11 @@ from gleaner.functions import fixed_values as V
 def stop_word_hits(text: Column) -> dict[str, Column]:
     """Occurrences of each language's stop words in the head of the text that is looked at."""
     words = F.regexp_extract_all(F.lower(F.substring(text, 1, V.LANGUAGE_SAMPLE_CHARS)), F.lit(r"[a-zà-öø-ÿ]+"), 0)
-    return {lang: F.size(F.filter(words, lambda w, s=stop: w.isin(s.split()))) for lang, stop in V.STOP_WORDS.items()}
+
+    def hits(stop: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(stop)))
+
+    return {lang: hits(stop.split()) for lang, stop in V.STOP_WORDS.items()}
 
 
 def detect_language(text: Column) -> Column:

@@ -21,6 +21,11 @@ def rx(pattern: str) -> str:
     return f"(?iU){pattern}"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with `value` computed once: expressions inside lambdas are otherwise computed per element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space (also no-break spaces) become one space; ends trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -102,10 +107,13 @@ def content_hash(title_key: Column, description: Column) -> Column:
 
 def shingles(c: Column, size: int = V.SHINGLE_WORDS) -> Column:
     """Distinct word n-grams of the stripped lower text; fewer words give one, none gives an empty array."""
-    words = F.filter(F.split(F.lower(strip_html(c)), " "), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.array_join(F.slice(words, i, size), " "))
     none = F.array().cast("array<string>")
-    return F.when(F.size(words) == 0, none).when(F.size(words) < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(grams))
+
+    def grams(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.array_join(F.slice(words, i, size), " "))
+        return F.when(F.size(words) == 0, none).when(F.size(words) < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(runs))
+
+    return let(F.filter(F.split(F.lower(strip_html(c)), " "), lambda w: w != ""), grams)
 
 
 def url_key(url: Column) -> Column:
@@ -128,11 +136,14 @@ def truncate(c: Column, limit: int = 6000) -> Column:
 
 def snippet(c: Column, limit: int = 260) -> Column:
     """Head of the stripped text, cut at a space if one lies beyond 60 % of the limit, with ' …'."""
-    t = unescape_markdown(strip_html(c))
-    head = F.substring(t, 1, limit)
-    at_space = F.regexp_extract(head, r"(?s)^(.*)\s\S*$", 1)
-    cut = F.when(F.length(at_space) > 0.6 * limit, at_space).otherwise(head)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(cut, F.lit(" ,;.")), F.lit(" …")))
+
+    def cut(t: Column) -> Column:
+        head = F.substring(t, 1, limit)
+        at_space = F.regexp_extract(head, r"(?s)^(.*)\s\S*$", 1)
+        whole = F.when(F.length(at_space) > 0.6 * limit, at_space).otherwise(head)
+        return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(whole, F.lit(" ,;.")), F.lit(" …")))
+
+    return let(unescape_markdown(strip_html(c)), cut)
 
 
 def short(c: Column, limit: int = 90) -> Column:
@@ -157,14 +168,20 @@ def quote(text: Column, pattern: str, window: int = 45) -> Column:
 def extract_relevant(description: Column) -> Column:
     """From the first task or requirement heading up to the first benefit or contact heading after
     the last of them; a text without such a heading, or with nothing left, stays as it is."""
-    lines = F.split(description, "\n")
-    kinds = F.transform(lines, lambda s: F.when(s.rlike(rx(V.SECTION_START)), 1).when(s.rlike(rx(V.SECTION_END)), 2).otherwise(0))
-    first = F.array_position(kinds, 1)
-    last = F.aggregate(F.zip_with(kinds, F.sequence(F.lit(1), F.size(kinds)), lambda k, i: F.when(k == 1, i).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
-    after = F.array_position(F.slice(kinds, last + 1, F.size(kinds)), 2)
-    stop = F.when(after > 0, (last + after - 1).cast("int")).otherwise(F.size(kinds))
-    kept = F.trim(F.array_join(F.slice(lines, first.cast("int"), stop - first.cast("int") + 1), "\n"))
-    return F.when((first > 0) & (kept != ""), kept).otherwise(description)
+    def cut(x: Column) -> Column:
+        lines, kinds = x["lines"], x["kinds"]
+        first = F.array_position(kinds, 1)
+        last = F.array_max(F.zip_with(kinds, F.sequence(F.lit(1), F.size(kinds)), lambda k, i: F.when(k == 1, i).otherwise(0)))
+        after = F.array_position(F.slice(kinds, last + 1, F.size(kinds)), 2)
+        stop = F.when(after > 0, (last + after - 1).cast("int")).otherwise(F.size(kinds))
+        kept = F.trim(F.array_join(F.slice(lines, first.cast("int"), stop - first.cast("int") + 1), "\n"))
+        return F.when((first > 0) & (kept != ""), kept).otherwise(description)
+
+    def sort(lines: Column) -> Column:
+        kinds = F.transform(lines, lambda s: F.when(s.rlike(rx(V.SECTION_START)), 1).when(s.rlike(rx(V.SECTION_END)), 2).otherwise(0))
+        return F.struct(lines.alias("lines"), kinds.alias("kinds"))
+
+    return let(let(F.split(description, "\n"), sort), cut)
 
 
 def job_text(title: Column, company: Column, description: Column, chars: int = 2500) -> Column:

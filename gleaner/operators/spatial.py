@@ -210,7 +210,7 @@ def points_in_regions(
     box = r.select(
         "c_key",
         "ring",
-        *(f(F.transform("ring", lambda q, k=k: q[k])).alias(name) for name, f, k in (("s", F.array_min, "lat"), ("n", F.array_max, "lat"), ("w", F.array_min, "lon"), ("e", F.array_max, "lon"))),
+        *(f(F.col("ring").getField(k)).alias(name) for name, f, k in (("s", F.array_min, "lat"), ("n", F.array_max, "lat"), ("w", F.array_min, "lon"), ("e", F.array_max, "lon"))),
     ).where(F.col("s").isNotNull() & F.col("w").isNotNull())
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

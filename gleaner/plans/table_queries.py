@@ -210,7 +210,7 @@ def spread_ranks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLACES = [("Nord", 47.37, 8.54, 25.0), ("Sued", 46.2, 8.95, 20.0), ("West", 46.52, 6.63, 15.0)]
-_D = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({b} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({b})) * pow(sin(radians({c} - lon) / 2), 2))))"
+_D = "2 * 6371.0 * asin(sqrt(pow(sin(radians({b} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({b})) * pow(sin(radians({c} - lon) / 2), 2)))"
 _FIT = "CASE WHEN {d} <= {r} THEN 1.0 WHEN {d} <= 2 * {r} THEN 1 - ({d} - {r}) / {r} ELSE 0.0 END"
 
 
@@ -245,7 +245,7 @@ def _hits_sql(words: list[str], where: str) -> str:
     f"""
 SELECT id, round(good, 6) AS good, round(bad, 6) AS bad, round((0.5 * good + 0.3 * office - 1.0 * bad) / 0.8, 6) AS final FROM (
   SELECT id, 1 - exp(-(2.0 * ({_hits_sql(KEYWORDS, 'title')}) + ({_hits_sql(KEYWORDS, 'body')})) / 3.0) AS good,
-         least(1.0, ({_hits_sql(UNWANTED, 'title')}) + 0.25 * ({_hits_sql(UNWANTED, 'body')})) AS bad,
+         least(1.0::DOUBLE, ({_hits_sql(UNWANTED, 'title')}) + 0.25::DOUBLE * ({_hits_sql(UNWANTED, 'body')})) AS bad,
          CASE WHEN home_office THEN 1.0 WHEN regexp_matches(b, '(?i)home\\s?-?office|homeoffice|remote|telearbeit|mobiles?\\s+arbeiten|hybrid') THEN 0.9 ELSE 0.35 END AS office
   FROM (SELECT id, home_office, lower(title) AS t, lower({_strip('description_md')}) AS b FROM jobs))
 """
@@ -291,7 +291,7 @@ def rule_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
-@query("SELECT id, len(occupation_codes) AS codes, len(categories) AS n_categories FROM jobs WHERE len(list_filter(occupation_codes, c -> starts_with(c, '1') OR starts_with(c, '73'))) > 0")
+@query("SELECT id, len(occupation_codes) AS codes, len(categories) AS n_categories FROM jobs WHERE len(list_filter(occupation_codes, lambda c: starts_with(c, '1') OR starts_with(c, '73'))) > 0")
 def occupation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a code under one of the prefixes."""
     jobs = table(spark, sf_dir, "jobs", "id", "occupation_codes", "categories")
@@ -434,7 +434,7 @@ def embedded_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 SELECT DISTINCT id::VARCHAR AS source_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, workplace_zip AS postal_code, type_value_min AS workload_min,
        CASE WHEN type_value_min > type_value_max THEN type_value_min ELSE coalesce(type_value_max, type_value_min) END AS workload_max, CASE WHEN home_office THEN true END AS home_office,
-       len(list_filter(categories, c -> coalesce(c.title, '') <> '')) AS n_categories, length({_strip("concat_ws(chr(10), nullif(activity, ''), nullif(requirements, ''))")}) < 350 AS short_text
+       len(list_filter(categories, lambda c: coalesce(c.title, '') <> '')) AS n_categories, length({_strip("concat_ws(chr(10), nullif(activity, ''), nullif(requirements, ''))")}) < 350 AS short_text
 FROM ch_media_vacancies WHERE coalesce(trim(title), '') <> '' AND coalesce(trim(company.name), '') <> ''
 """
 )

@@ -58,7 +58,7 @@ def _title(c: str, city: str) -> str:
 
 def _hits(lang: str, c: str = "text") -> str:
     words = ", ".join(_q(w) for w in V.STOP_WORDS[lang].split())
-    return f"len(list_filter(regexp_extract_all(lower(substr({c}, 1, {V.LANGUAGE_SAMPLE_CHARS})), '[a-zà-öø-ÿ]+'), w -> w IN ({words})))"
+    return f"len(list_filter(regexp_extract_all(lower(substr({c}, 1, {V.LANGUAGE_SAMPLE_CHARS})), '[a-zà-öø-ÿ]+'), lambda w: w IN ({words})))"
 
 
 _DETECT = f"""
@@ -178,8 +178,8 @@ def company_near_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1
-                    ELSE len(list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')))) END AS shingles
-FROM (SELECT doc_id, list_filter(string_split(lower({_strip('text')}), ' '), x -> x <> '') AS w FROM documents)
+                    ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) END AS shingles
+FROM (SELECT doc_id, list_filter(string_split(lower({_strip('text')}), ' '), lambda x: x <> '') AS w FROM documents)
 """
 )
 def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +286,7 @@ _TERM_STOP = ", ".join(_q(w) for w in sorted(set(terms.TERM_STOP_WORDS.split()))
 
 @query(
     f"""
-WITH d AS (SELECT lang AS g, list_filter(list_distinct(regexp_extract_all(lower({_strip('text')}), '[a-zäöüß]{{4,}}')), w -> w NOT IN ({_TERM_STOP})) AS w FROM documents),
+WITH d AS (SELECT lang AS g, list_filter(list_distinct(regexp_extract_all(lower({_strip('text')}), '[a-zäöüß]{{4,}}')), lambda w: w NOT IN ({_TERM_STOP})) AS w FROM documents),
      t AS (SELECT g, unnest(w) AS term FROM d), b AS (SELECT g, term, count(*) AS df FROM t GROUP BY ALL),
      a AS (SELECT term, sum(df) AS df_all FROM b GROUP BY term), n AS (SELECT g, count(*) AS n FROM d WHERE g IS NOT NULL GROUP BY g)
 SELECT g AS lang, term, df, position FROM (
@@ -311,7 +311,7 @@ def _skill_sql(names: list[str]) -> str:
 @query(
     "WITH d AS (SELECT lang AS g, list_filter(["
     + ", ".join(f"CASE WHEN regexp_matches({_strip('text')}, {_skill_sql([k, *v])}) THEN '{k}' END" for k, v in SKILLS.items())
-    + """], x -> x IS NOT NULL) AS s FROM documents WHERE lang IS NOT NULL),
+    + """], lambda x: x IS NOT NULL) AS s FROM documents WHERE lang IS NOT NULL),
 n AS (SELECT g, count(*) AS n FROM d GROUP BY g)
 SELECT lang, skill, demand, share, own, NOT own AND share >= 0.15 AS gap FROM (
   SELECT t.g AS lang, skill, count(*) AS demand, round(count(*) / any_value(n.n), 3) AS share, skill IN ('Excel') AS own

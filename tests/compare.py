@@ -53,7 +53,7 @@ if __name__ == "__main__":
     from gleaner.session import get_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g")
+    spark = get_session("compare", os.environ.get("COMPARE_MASTER", "local[8]"), spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     names, sql = sys.argv[2:], entry.oracle_sql()
     for name, f in entry.queries().items():
