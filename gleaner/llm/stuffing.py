@@ -66,10 +66,12 @@ def stuffed_share(text: str) -> float:
         t = t.replace("&nbsp;", " ").replace("&amp;", "&")
     lines = [u for u in _CUT.split(t) if u and not u.isspace()]
     cuts = [_tokens(u) for u in lines]
-    counts = Counter(w for words, _, _ in cuts for w in words)
-    total = sum(counts.values())
-    if not total:
+    if not any(words or links for words, links, _ in cuts):
         return 0.0
+    # a line that is there twice says nothing about its words
+    distinct = dict(zip(lines, cuts))
+    counts = Counter(w for words, _, _ in distinct.values() for w in words)
+    total = sum(counts.values())
     often = max(3, 0.02 * total)
     frequent = {w for w, n in counts.items() if n >= often and w not in _FUNCTION and not w.isdigit()}
     odds, sizes = [], []

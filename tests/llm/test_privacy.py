@@ -53,7 +53,7 @@ def test_names(text, want):
 
 def test_corpus_teaches_names(spark):
     firsts = ["Beat", "Petra", "Gian"]
-    data = [(i, f"Frau {firsts[i % 3]} Muster{chr(97 + i)} hilft. Technische Pläne prüfen.", "z") for i in range(24)]
+    data = [(i, f"Frau {firsts[i % 3]} Muster{chr(97 + i)} hilft. " + "Technische Pläne prüfen. " * 9, "z") for i in range(24)]
     data += [(100, "Gezeichnet wird hier von Petra Neumann persönlich. Technische Pläne", "z"), (101, None, "z"), (102, "", "z"), (103, "Technische Pläne", "z")]
     df = spark.createDataFrame(data, "id long, t string, findings string")
     done = {r.id: r for r in P.sanitised(df, key=["id"], text="t").collect()}
