@@ -231,16 +231,11 @@ def observed(df: DataFrame, text: str) -> DataFrame:
 def revealing(counts: DataFrame, *, min_bits: float = 2.0, min_share: float = 0.2, min_support: int = 3, min_context_share: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Terms (term, bits) and contexts (context, share) that reveal a person."""
     counts = cut(counts)
-    base = counts.agg((F.sum("n_anchored") / F.sum("n")).alias("base"))
+    base = counts.agg((F.sum("n_anchored") / F.sum("n")).alias("base")).first()["base"] or 1.0  # one number
     per_term = counts.where(F.col("term") != "x.").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_anchored").alias("k"))
-    bits = F.log2((F.col("k") / F.col("n")) / F.col("base"))
-    terms = (
-        per_term.where((F.col("k") >= min_support) & (F.col("k") / F.col("n") >= min_share))
-        .join(F.broadcast(base))  # one row
-        .select("term", bits.alias("bits"))
-        .where(F.col("bits") >= min_bits)
-    )
-    terms = cut(terms)
+    bits = F.log2((F.col("k") / F.col("n")) / F.lit(float(base)))
+    terms = per_term.where((F.col("k") >= min_support) & (F.col("k") / F.col("n") >= min_share)).select("term", bits.alias("bits"))
+    terms = cut(terms.where(F.col("bits") >= min_bits))
     shares = (
         counts.where(F.col("context") != "")
         .join(terms.select("term", F.lit(1).alias("known")), "term", "left")
@@ -321,29 +316,54 @@ def redact(text: str, found: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[last:]
 
 
-def _lexicon(df: DataFrame, key: str, value: str, max_terms: int) -> dict[str, float]:
-    if not at_most(df, max_terms):
-        raise ValueError(f"more than {max_terms} revealing {key}s: raise min_support or max_terms")
-    return {r[key]: r[value] for r in df.select(key, value).collect()}
+def own_lexicon(texts: DataFrame, terms: DataFrame, contexts: DataFrame) -> DataFrame:
+    """texts(h, text) → (h, lexicon): the revealing terms and contexts that occur in each text itself."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = set()
+            for h, t in zip(pdf["h"], pdf["text"]):
+                for words, starts in runs(t):
+                    found.update((h, "t", w) for w in words)
+                    found.update((h, "c", context_of(t, at)) for at in starts)
+            yield pd.DataFrame(list(found), columns=["h", "kind", "value"])
+
+    occurring = texts.mapInPandas(emit, "h long, kind string, value string")
+    known = terms.select(F.lit("t").alias("kind"), F.col("term").alias("value"), F.col("bits").alias("score")).unionByName(
+        contexts.select(F.lit("c").alias("kind"), F.col("context").alias("value"), F.col("share").alias("score"))
+    )
+    return occurring.join(known, ["kind", "value"]).groupBy("h").agg(F.collect_list(F.struct("kind", "value", "score")).alias("lexicon"))
 
 
 def sanitised(df: DataFrame, *, key: list[str], text: str, min_bits: float = 2.0, min_support: int = 3, max_terms: int = 500_000) -> DataFrame:
     """`key` columns, `clean_text` with placeholders and `findings` array<struct<kind, found_text, start, end>>.
 
-    The lexicon of revealing terms needs `min_support` anchored observations of each, and is bounded by
-    `max_terms` (about 20 MB on each worker); beyond it the call fails rather than drop a term.
+    `max_terms` bounds the lexicon that is sent to every worker (about 20 MB); a larger one is joined
+    to the terms of each text.
     """
     source = df.select(*key, F.col(text).alias("__text"))
     terms, contexts = revealing(observed(source, "__text"), min_bits=min_bits, min_support=min_support)
-    lexicon = df.sparkSession.sparkContext.broadcast((_lexicon(terms, "term", "bits", max_terms), _lexicon(contexts, "context", "share", max_terms)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     schema += ", clean_text string, findings array<struct<kind:string,found_text:string,start:int,end:int>>"
+    if at_most(terms, max_terms) and at_most(contexts, max_terms):
+        lexicon = df.sparkSession.sparkContext.broadcast(({r["term"]: r["bits"] for r in terms.collect()}, {r["context"]: r["share"] for r in contexts.collect()}))
+    else:
+        lexicon = None
+        hashed = source.withColumn("__h", F.xxhash64("__text"))
+        texts = hashed.where(F.length("__text") > 0).select(F.col("__h").alias("h"), F.col("__text").alias("text")).dropDuplicates(["h"])
+        own = own_lexicon(texts, terms, contexts).select(F.col("h").alias("__h"), F.col("lexicon").alias("__own"))
+        source = hashed.join(own, "__h", "left").drop("__h")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, leads = lexicon.value
+        known, leads = lexicon.value if lexicon else ({}, {})
         for pdf in batches:
             texts, lists = [], []
-            for t in pdf["__text"]:
+            for i, t in enumerate(pdf["__text"]):
+                if lexicon is None and t:
+                    own = pdf["__own"].iloc[i]
+                    entries = own if own is not None and not isinstance(own, float) else []
+                    known = {e["value"]: e["score"] for e in entries if e["kind"] == "t"}
+                    leads = {e["value"]: e["score"] for e in entries if e["kind"] == "c"}
                 found = find(t, known, leads) if t else []
                 texts.append(redact(t, found) if found else t)
                 lists.append([{"kind": k, "found_text": t[a:b], "start": a, "end": b} for k, a, b in found])

@@ -63,10 +63,13 @@ def test_corpus_teaches_names(spark):
     assert P.sanitised(df.limit(0), key=["id"], text="t").count() == 0
 
 
-def test_lexicon_bound_fails_loudly(spark):
-    df = spark.createDataFrame([(i, f"Frau {n} Muster") for i in range(5) for n in ("Beat", "Petra")], "id long, t string")
-    with pytest.raises(ValueError):
-        P.sanitised(df, key=["id"], text="t", min_bits=-9.0, max_terms=1)
+def test_large_lexicons_are_joined(spark):
+    data = [(i, f"Frau {n} Muster{i} hilft. " + "Technische Pläne prüfen. " * 9) for i in range(5) for n in ("Beat", "Petra")]
+    data += [(50, "Gezeichnet hat Petra Neumann. Technische Pläne"), (51, None), (52, "")]
+    df = spark.createDataFrame(data, "id long, t string")
+    small = sorted(map(str, P.sanitised(df, key=["id"], text="t").collect()))
+    large = sorted(map(str, P.sanitised(df, key=["id"], text="t", max_terms=1).collect()))
+    assert small == large and any("Petra Neumann" in x for x in large)
 
 
 def test_redaction_keeps_the_rest():
