@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import fixed_values as V
 from gleaner.functions.text import content_hash, dedup_block, normalize_company, normalize_title, shingles, url_key
 from gleaner.operators.fuzzy import token_set, token_sort
+from gleaner.operators.grouped import map_groups
 
 
 def portal_rank(portal: Column) -> Column:
@@ -144,7 +145,7 @@ def cross_portal_clusters(jobs: DataFrame, max_group: int = 5_000) -> DataFrame:
     big = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group).select("block", F.lit(True).alias("big"))
     grouped = placed.join(big, "block", "left").withColumn("part", F.when(F.col("big"), F.col("company_key")).otherwise(""))
     shape = "block string, title_key string, company_key string, postal string, place string, head struct<portal_rank:int,id:bigint>"
-    found = grouped.select(*keys, "part", "o").groupBy("block", "part").applyInPandas(_greedy, shape)
+    found = map_groups(grouped.select(*keys, "part", "o"), ["block", "part"], ["o"], _greedy, shape)
     heads = found.unionByName(entries.where("block = '?'").select(*keys, F.col("o").cast("struct<portal_rank:int,id:bigint>").alias("head")))
     rows = keyed.select("id", "portal_rank", "apply_key", *keys)
     with_head = rows.join(heads, [rows[k].eqNullSafe(heads[k]) for k in keys]).select(rows["id"], rows["block"], rows["apply_key"], rows["portal_rank"], "head")
@@ -156,7 +157,6 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     from gleaner.operators.fuzzy import token_set_ratio, token_sort_ratio
 
     w = V.SIMILARITY_WEIGHTS
-    pdf = pdf.assign(r=[o["portal_rank"] for o in pdf["o"]], i=[o["id"] for o in pdf["o"]]).sort_values(["r", "i"])
     heads: list[tuple] = []
     out = []
     for title, company, postal, place, o in zip(pdf["title_key"], pdf["company_key"], pdf["postal"], pdf["place"], pdf["o"]):

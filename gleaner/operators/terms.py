@@ -28,13 +28,13 @@ def characteristic_terms(docs: DataFrame, *, group: str, text: str, top: int = 6
     the shares; only positive scores. Rows without a group count among all rows only.
     """
     rows = docs.select(F.col(group).alias("g"), words_of(F.col(text)).alias("w"))
-    total = rows.agg(F.count(F.lit(1)).alias("n_all"))
+    total = rows.count()
     sizes = rows.where(F.col("g").isNotNull()).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     by_group = rows.select("g", F.explode("w").alias("term")).groupBy("g", "term").agg(F.count(F.lit(1)).alias("df"))
     overall = by_group.groupBy("term").agg(F.sum("df").alias("df_all"))
     kept = by_group.where(F.col("g").isNotNull()).join(sizes, "g").where(F.col("df") >= F.greatest(F.lit(3), F.floor(F.col("n") * 0.10)))
-    shares = kept.join(overall, "term").join(F.broadcast(total))  # one row
-    inside, everywhere = F.col("df") / F.col("n"), F.col("df_all") / F.col("n_all")
+    shares = kept.join(overall, "term")
+    inside, everywhere = F.col("df") / F.col("n"), F.col("df_all") / F.lit(max(1, total))
     scored = shares.withColumn("score", inside * F.ln(inside / everywhere + 1e-9)).where(F.col("score") > 0)
     position = F.row_number().over(Window.partitionBy("g").orderBy(F.col("score").desc(), "term"))
     return scored.withColumn("position", position).where(F.col("position") <= top).select(F.col("g").alias(group), "term", "df", "score", "position")
@@ -62,17 +62,17 @@ def skill_demand(docs: DataFrame, *, group: str, text: str, skills: dict[str, li
     return demand.join(sizes, "g").select(F.col("g").alias(group), "skill", "demand", part.alias("share"), has.alias("own"), (~has & (part >= share)).alias("gap"))
 
 
-def nearest(points: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """points(p_id, v), refs(r_id, r_v, …) → the k refs with the largest dot product per point.
+def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """queries(p_id, v), rows(r_id, r_v, …) → the k rows with the largest dot product per query.
 
-    `refs` is a stated reference set (a taxonomy), scanned in full against each point; it is broadcast
-    only if provably small.
+    `queries` is a stated set, broadcast if provably small, against which every row is held once where it
+    lies; the window keeps k rows per query in each partition before the shuffle.
     """
     from gleaner.operators.lookup import _dim
 
-    pairs = points.join(_dim(refs)).withColumn("similarity", dot(F.col("v"), F.col("r_v")))
+    pairs = rows.join(_dim(queries)).withColumn("similarity", dot(F.col("v"), F.col("r_v"))).drop("v", "r_v")
     position = F.row_number().over(Window.partitionBy("p_id").orderBy(F.col("similarity").desc(), "r_id"))
-    return pairs.withColumn("position", position).where(F.col("position") <= k).drop("v", "r_v")
+    return pairs.withColumn("position", position).where(F.col("position") <= k)
 
 
 def majority_vote(neighbours: DataFrame, label: str, share: float = V.VOTE_SHARE) -> DataFrame:
