@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.markup import HEADING, HOLD, HOLD_END, ITEM, LINK, LINK_END, QUOTE, ROW, lex
-from gleaner.session import table
+from gleaner.session import texts
 
 LANGUAGES = ("de", "fr", "it", "en")
 BUCKET_BITS = 15
@@ -250,7 +250,7 @@ def languages_of(df: DataFrame, model: LanguageModel, *, key: str, text: str, su
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "jobs", "id", "description_language", "description_md")
+    jobs = texts(spark, sf_dir, "jobs", "id", "description_language", "description_md")
     return jobs.select("id", known_label(F.col("description_language")).alias("label"), F.col("description_md").alias("text"))
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import table
+from gleaner.session import table, texts
 
 MIN_WORDS = 12
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ"
@@ -153,7 +153,7 @@ def leaked_pairs(found: DataFrame) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+    return leaks(texts(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

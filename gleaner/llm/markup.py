@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import table
+from gleaner.session import texts
 
 FAMILIES = ("html", "markdown", "wiki", "latex")
 HEADING, ITEM, QUOTE, LINK, LINK_END, HOLD, HOLD_END, ROW = "\ue001\ue002\ue003\ue004\ue005\ue006\ue007\ue008"
@@ -486,8 +486,8 @@ def clean_texts(df: DataFrame, *, key: list[str], text: str) -> DataFrame:
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "jobs", "id", "description_md")
-    raw = table(spark, sf_dir, "ch_media_vacancies", "id", "activity")
+    jobs = texts(spark, sf_dir, "jobs", "id", "description_md")
+    raw = texts(spark, sf_dir, "ch_media_vacancies", "id", "activity")
     return jobs.select(F.lit("jobs").alias("src"), F.col("id").alias("row_id"), F.col("description_md").alias("text")).unionByName(
         raw.select(F.lit("ch_media_vacancies").alias("src"), F.col("id").alias("row_id"), F.col("activity").alias("text"))
     )

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import cut, table
+from gleaner.session import cut, texts
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -181,7 +181,7 @@ def pack(sizes: DataFrame, *, capacity: int = CAPACITY, shard_items: int = 50_00
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of `documents` in containers of 2,048 tokens."""
-    return pack(token_counts(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return pack(token_counts(texts(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 QUERIES = {"p8_pack": p8_pack}

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import at_most, cut, table
+from gleaner.session import at_most, cut, texts
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
@@ -376,8 +376,8 @@ def sanitised(df: DataFrame, *, key: list[str], text: str, min_bits: float = 2.0
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "jobs", "id", "description_md")
-    raw = table(spark, sf_dir, "ch_media_vacancies", "id", "requirements")
+    jobs = texts(spark, sf_dir, "jobs", "id", "description_md")
+    raw = texts(spark, sf_dir, "ch_media_vacancies", "id", "requirements")
     return jobs.select(F.lit("jobs").alias("src"), F.col("id").alias("row_id"), F.col("description_md").alias("text")).unionByName(
         raw.select(F.lit("ch_media_vacancies").alias("src"), F.col("id").alias("row_id"), F.col("requirements").alias("text"))
     )

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.session import cut, table
+from gleaner.session import cut, texts
 
 # Function words by language.
 FUNCTION_WORDS = {
@@ -208,7 +208,7 @@ def stuffed_pages(pages: DataFrame, *, doc: tuple[str, str] = ("doc_id", "text")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text")
+    return texts(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

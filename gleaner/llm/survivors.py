@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import table
+from gleaner.session import texts
 
 OLDEST = -(1 << 62)
 
@@ -157,13 +157,13 @@ def _job_picks(jobs: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each cluster of two or more rows and each field the row whose value survives."""
-    picks = _job_picks(table(spark, sf_dir, "jobs", *JOB_COLUMNS))
+    picks = _job_picks(texts(spark, sf_dir, "jobs", *JOB_COLUMNS))
     return picks.select(F.col("group_key").alias("cluster_id"), "field_name", F.col("row_id").alias("job_id"))
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving record of each cluster, built from the surviving fields, with their origins."""
-    jobs = table(spark, sf_dir, "jobs", *JOB_COLUMNS)
+    jobs = texts(spark, sf_dir, "jobs", *JOB_COLUMNS)
     names = [f.name for f in job_fields()]
     return built_records(jobs, _job_picks(jobs), row_id="id", values={n: n for n in names}).withColumnRenamed("group_key", "cluster_id")
 
