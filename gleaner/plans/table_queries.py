@@ -12,7 +12,7 @@ from gleaner.operators import company, dedup, delivery, ranking, store, terms
 from gleaner.operators.lookup import geocode
 from gleaner.operators.spatial import points_in_regions, points_within
 from gleaner.plans.text_queries import _company, _strip
-from gleaner.session import table
+from gleaner.session import table, texts
 from gleaner.sources import raw, web
 
 QUERIES: dict = {}
@@ -74,7 +74,7 @@ FROM m LEFT JOIN c ON c.k = m.k LEFT JOIN s ON s.k = m.k
 
 
 def _jobs_for_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "jobs", "id", "company_name", "occupation_codes", "city", "lat", "lon", "company_is_agency", "description_md")
+    return texts(spark, sf_dir, "jobs", "id", "company_name", "occupation_codes", "city", "lat", "lon", "company_is_agency", "description_md")
 
 
 @query(_PROFILES)
@@ -255,7 +255,7 @@ def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.functions import fixed_values as V
     from gleaner.functions.text import rx, strip_html
 
-    jobs = table(spark, sf_dir, "jobs", "id", "title", "description_md", "home_office").select("id", "home_office", F.lower("title").alias("t"), F.lower(strip_html(F.col("description_md"))).alias("b"))
+    jobs = texts(spark, sf_dir, "jobs", "id", "title", "description_md", "home_office").select("id", "home_office", F.lower("title").alias("t"), F.lower(strip_html(F.col("description_md"))).alias("b"))
     in_title = lambda ws: sum((F.contains(F.col("t"), F.lit(w)).cast("int") for w in ws), F.lit(0))
     in_body = lambda ws: sum(((F.contains(F.col("b"), F.lit(w)) & ~F.contains(F.col("t"), F.lit(w))).cast("int") for w in ws), F.lit(0))
     good = ranking.saturation(in_title(KEYWORDS), in_body(KEYWORDS))
@@ -409,7 +409,7 @@ def clustered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def portal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One vacancy on several portals, by fuzzy titles and companies."""
-    return dedup.cross_portal_clusters(table(spark, sf_dir, "jobs", "id", "portal", "title", "company_name", "city", "postal_code", "description_md", "apply_url"))
+    return dedup.cross_portal_clusters(texts(spark, sf_dir, "jobs", "id", "portal", "title", "company_name", "city", "postal_code", "description_md", "apply_url"))
 
 
 # --- sources ---------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from gleaner.functions import cast, language, pii, text
 from gleaner.functions import fixed_values as V
 from gleaner.operators import requirements, terms
 from gleaner.operators.dedup import exact_groups, near_merges, with_keys
-from gleaner.session import table
+from gleaner.session import texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,14 +73,14 @@ FROM (SELECT *, greatest(de, fr, it, en) AS m, list_sort([de, fr, it, en])[3] AS
 @query(f"SELECT lang AS declared, detected, count(*) AS n FROM ({_DETECT}) GROUP BY ALL")
 def language_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language by stop words against the declared one."""
-    docs = table(spark, sf_dir, "documents", "lang", "text").where(F.col("text").isNotNull())
+    docs = texts(spark, sf_dir, "documents", "text", "lang").where(F.col("text").isNotNull())
     return docs.select(F.col("lang").alias("declared"), language.detect_language(F.col("text")).alias("detected")).groupBy("declared", "detected").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT doc_id FROM ({_DETECT}) WHERE detected IS NULL OR detected IN ('de', 'it')")
 def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in a wanted language; unknown languages pass."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.col("text").isNotNull())
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").where(F.col("text").isNotNull())
     return docs.where(language.matches_language(language.detect_language(F.col("text")), ["de", "it"])).select("doc_id")
 
 
@@ -91,14 +91,14 @@ def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mailboxes and phone numbers replaced."""
-    jobs = table(spark, sf_dir, "jobs", "id", "description_md").where(F.col("description_md").isNotNull())
+    jobs = texts(spark, sf_dir, "jobs", "id", "description_md").where(F.col("description_md").isNotNull())
     return jobs.select("id", F.md5(pii.redact_text(F.col("description_md"))).alias("redacted"))
 
 
 @query(f"SELECT DISTINCT id, md5({_strip('activity')}) AS stripped, md5({_UNESCAPE.format(c='requirements')}) AS unescaped FROM ch_media_vacancies")
 def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags stripped; Markdown escapes removed (F1, F2)."""
-    rows = table(spark, sf_dir, "ch_media_vacancies", "id", "activity", "requirements")
+    rows = texts(spark, sf_dir, "ch_media_vacancies", "id", "activity", "requirements")
     return rows.select("id", F.md5(text.strip_html(F.col("activity"))).alias("stripped"), F.md5(text.unescape_markdown(F.col("requirements"))).alias("unescaped")).distinct()
 
 
@@ -112,7 +112,7 @@ FROM (SELECT id, {_UNESCAPE.format(c=_strip('description_md'))} AS t FROM jobs)
 )
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads of the stripped texts, cut at a space."""
-    return table(spark, sf_dir, "jobs", "id", "description_md").select("id", text.snippet(F.col("description_md")).alias("snippet"))
+    return texts(spark, sf_dir, "jobs", "id", "description_md").select("id", text.snippet(F.col("description_md")).alias("snippet"))
 
 
 @query(
@@ -123,7 +123,7 @@ FROM (SELECT id, description_md, trim(regexp_replace(translate(""" + _UNESCAPE.f
 )
 def short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line per text for a table cell; whether the embedding limit cuts it."""
-    jobs = table(spark, sf_dir, "jobs", "id", "description_md")
+    jobs = texts(spark, sf_dir, "jobs", "id", "description_md")
     d = F.col("description_md")
     return jobs.select("id", text.short(d).alias("short"), (text.truncate(d) == F.trim(F.coalesce(d, F.lit("")))).alias("whole"))
 
@@ -131,7 +131,7 @@ def short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def relevant_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task and requirement sections, and the text to embed."""
-    jobs = table(spark, sf_dir, "jobs", "id", "title", "company_name", "description_md")
+    jobs = texts(spark, sf_dir, "jobs", "id", "title", "company_name", "description_md")
     return jobs.select("id", F.length(text.extract_relevant(F.col("description_md"))).alias("kept"), F.length(text.job_text(F.col("title"), F.col("company_name"), F.col("description_md"))).alias("embedded"))
 
 
@@ -139,7 +139,7 @@ def relevant_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT id, {_title('title', 'city')} AS title_key, {_company('company_name')} AS company_key FROM jobs")
 def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparable titles and company names."""
-    jobs = table(spark, sf_dir, "jobs", "id", "title", "city", "company_name")
+    jobs = texts(spark, sf_dir, "jobs", "id", "title", "city", "company_name")
     return jobs.select("id", text.normalize_title(F.col("title"), F.col("city")).alias("title_key"), text.normalize_company(F.col("company_name")).alias("company_key"))
 
 
@@ -149,7 +149,7 @@ _HASH = f"substr(sha256(coalesce({_title('title', 'city')}, '') || '|' || lower(
 @query(f"SELECT h AS content_hash, count(*) AS n, min(id) AS first_id FROM (SELECT id, {_HASH} AS h FROM jobs) GROUP BY h HAVING count(*) > 1")
 def content_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal content hashes."""
-    keyed = with_keys(table(spark, sf_dir, "jobs", "id", "title", "city", "company_name", "description_md", "postal_code", "portal"))
+    keyed = with_keys(texts(spark, sf_dir, "jobs", "id", "title", "city", "company_name", "description_md", "postal_code", "portal"))
     return keyed.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
@@ -163,13 +163,13 @@ FROM k WINDOW w AS (PARTITION BY c, t ORDER BY r, source_id, id)
 )
 def company_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal company and title, with their heads."""
-    return exact_groups(table(spark, sf_dir, "jobs", "id", "source_id", "portal", "title", "city", "company_name", "description_md", "postal_code"))
+    return exact_groups(texts(spark, sf_dir, "jobs", "id", "source_id", "portal", "title", "city", "company_name", "description_md", "postal_code"))
 
 
 @query()
 def company_near_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group heads within a company."""
-    jobs = table(spark, sf_dir, "jobs", "id", "source_id", "portal", "title", "city", "company_name", "description_md", "postal_code")
+    jobs = texts(spark, sf_dir, "jobs", "id", "source_id", "portal", "title", "city", "company_name", "description_md", "postal_code")
     heads = exact_groups(jobs).where("is_group_representative").select("id")
     keyed = jobs.select("id", text.normalize_company(F.col("company_name")).alias("company_key"), "description_md")
     return near_merges(keyed.join(heads, "id"))
@@ -184,7 +184,7 @@ FROM (SELECT doc_id, list_filter(string_split(lower({_strip('text')}), ' '), lam
 )
 def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct five-word shingles of every document."""
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(text.shingles(F.col("text"))).cast("long").alias("shingles"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(text.shingles(F.col("text"))).cast("long").alias("shingles"))
 
 
 @query(
@@ -197,13 +197,13 @@ FROM jobs
 )
 def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host and path of application URLs, without tracking."""
-    return table(spark, sf_dir, "jobs", "id", "apply_url").select("id", text.url_key(F.col("apply_url")).alias("url_key"))
+    return texts(spark, sf_dir, "jobs", "id", "apply_url").select("id", text.url_key(F.col("apply_url")).alias("url_key"))
 
 
 @query("SELECT coalesce(nullif(postal_code, ''), nullif(lower(city), ''), '?') AS block, count(*) AS n FROM jobs GROUP BY ALL")
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the blocks that records are compared in (1.4)."""
-    return table(spark, sf_dir, "jobs", "postal_code", "city").groupBy(text.dedup_block(F.col("postal_code"), F.col("city")).alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    return texts(spark, sf_dir, "jobs", "postal_code", "city").groupBy(text.dedup_block(F.col("postal_code"), F.col("city")).alias("block")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- casts, workloads, dates ---------------------------------------------------------------------
@@ -223,7 +223,7 @@ FROM (SELECT *, coalesce(workload_min IS NOT NULL AND workload_max IS NOT NULL A
 )
 def workloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workloads reconciled with titles, and their labels."""
-    jobs = table(spark, sf_dir, "jobs", "id", "title", "workload_min", "workload_max")
+    jobs = texts(spark, sf_dir, "jobs", "id", "title", "workload_min", "workload_max")
     lo, hi, from_title = text.reconcile_workload(F.col("title"), F.col("workload_min"), F.col("workload_max"))
     return jobs.select("id", lo.alias("lo"), hi.alias("hi"), from_title.alias("from_title"), text.workload_label(F.col("workload_min"), F.col("workload_max")).alias("label"))
 
@@ -238,7 +238,7 @@ FROM ch_media_vacancies
 )
 def tolerant_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates with and without time, numbers from text."""
-    rows = table(spark, sf_dir, "ch_media_vacancies", "id", "date_actualization", "date_start", "workplace_zip")
+    rows = texts(spark, sf_dir, "ch_media_vacancies", "id", "date_actualization", "date_start", "workplace_zip")
     moment = lambda c: cast.to_datetime(F.col(c)).cast("timestamp_ntz")
     return rows.select("id", moment("date_actualization").alias("actual"), moment("date_start").alias("start"), cast.to_int(F.col("workplace_zip")).alias("zip")).distinct()
 
@@ -252,7 +252,7 @@ FROM jobs WHERE expires_at IS NOT NULL AND posted_at IS NOT NULL
 )
 def date_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days left at a fixed moment; German dates."""
-    jobs = table(spark, sf_dir, "jobs", "id", "expires_at", "posted_at").where("expires_at IS NOT NULL AND posted_at IS NOT NULL")
+    jobs = texts(spark, sf_dir, "jobs", "id", "expires_at", "posted_at").where("expires_at IS NOT NULL AND posted_at IS NOT NULL")
     now = F.lit("2025-09-01 00:00:00").cast("timestamp")
     return jobs.select("id", cast.expires_in_days(F.col("expires_at"), now).cast("long").alias("days_left"), text.date_label(F.col("posted_at")).alias("posted"))
 
@@ -271,13 +271,13 @@ FROM jobs
 )
 def title_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leadership and senior titles."""
-    return table(spark, sf_dir, "jobs", "id", "title").select("id", requirements.is_leadership(F.col("title")).alias("leadership"), requirements.is_senior(F.col("title")).alias("senior"))
+    return texts(spark, sf_dir, "jobs", "id", "title").select("id", requirements.is_leadership(F.col("title")).alias("leadership"), requirements.is_senior(F.col("title")).alias("senior"))
 
 
 @query()
 def requirement_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Education, years, languages demanded."""
-    jobs = table(spark, sf_dir, "jobs", "id", "title", "description_md")
+    jobs = texts(spark, sf_dir, "jobs", "id", "title", "description_md")
     return jobs.select("id", requirements.requirements(F.col("title"), F.col("description_md")).alias("r")).select("id", "r.*")
 
 
@@ -297,7 +297,7 @@ SELECT g AS lang, term, df, position FROM (
 )
 def terms_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characteristic terms of each declared language."""
-    found = terms.characteristic_terms(table(spark, sf_dir, "documents", "lang", "text"), group="lang", text="text")
+    found = terms.characteristic_terms(texts(spark, sf_dir, "documents", "text", "lang"), group="lang", text="text")
     return found.select("lang", "term", "df", F.col("position").cast("long").alias("position"))
 
 
@@ -320,4 +320,4 @@ SELECT lang, skill, demand, share, own, NOT own AND share >= 0.15 AS gap FROM (
 )
 def skill_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demand for skills by language, and gaps."""
-    return terms.skill_demand(table(spark, sf_dir, "documents", "lang", "text"), group="lang", text="text", skills=SKILLS, own=["Excel"])
+    return terms.skill_demand(texts(spark, sf_dir, "documents", "text", "lang"), group="lang", text="text", skills=SKILLS, own=["Excel"])

@@ -57,6 +57,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows are costly to process: spread by its first column where the files give fewer
+    partitions than there are cores (one small file); files that give enough are read where they lie."""
+    df = table(spark, sf_dir, name, *columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, columns[0]) if df.rdd.getNumPartitions() < cores else df
+
+
 def at_most(df: DataFrame, bound: int) -> bool:
     """Whether `df` has no more than `bound` rows; reads no further than one row past the bound."""
     return df.limit(bound + 1).count() <= bound
