@@ -10,7 +10,7 @@ logarithmic time. Every shard leaves at most one container less than half full;
 that the loss doesn't grow with the number of shards.
 
 Only ids and sizes are shuffled, never texts. Edge cases: null and empty texts (no tokens) take no
-room and get no container; equal texts are packed each; ties go by id; an empty table gives an empty
+room and get no container; equal texts, repeated ids and null ids are packed each; ties go by id; an empty table gives an empty
 result; a size equal to the capacity fills a container.
 """
 
@@ -171,12 +171,11 @@ def pack(sizes: DataFrame, *, capacity: int = CAPACITY, shard_items: int = 50_00
     n = F.ceil(F.col("tokens") / F.lit(capacity)).cast("int")
     pieces = sizes.where("tokens > 0").select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
     pieces = cut(pieces.select("doc_id", "part", F.least(F.lit(capacity), F.col("tokens") - F.col("part") * capacity).cast("long").alias("size")))
-    full = pieces.where(F.col("size") == capacity).select("doc_id", "part", "size", F.concat_ws("-", F.lit("f"), "doc_id", "part").alias("container_id"))
-    first = cut(_pack_shards(pieces.where(F.col("size") < capacity), capacity, shard_items))
+    first = cut(_pack_shards(pieces, capacity, shard_items))
     good = first.where(F.col("fill") >= refill_below * capacity)
     again = _pack_shards(first.where(F.col("fill") < refill_below * capacity).select("doc_id", "part", "size"), capacity, shard_items)
     name = lambda df, mark: df.select("doc_id", "part", "size", F.concat_ws("-", F.lit(mark), "shard", "container").alias("container_id"))
-    return full.unionByName(name(good, "a")).unionByName(name(again, "b"))
+    return name(good, "a").unionByName(name(again, "b"))
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,15 @@ def test_packing(spark, shard):
     assert used / (len(fill) * 2048) > 0.985
 
 
+def test_repeated_and_null_ids(spark):
+    data = [(7, 5000, "x")] * 3 + [(None, 3000, "x")] * 2 + [(None, None, "x")]
+    done = P.pack(spark.createDataFrame(data, "doc_id long, tokens long, container_id string")).collect()
+    fill = {}
+    for r in done:
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.size
+    assert sum(fill.values()) == 21_000 and max(fill.values()) <= 2048
+
+
 def test_edges(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, tokens long")).count() == 0
     check(P.pack(spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, tokens long"), capacity=1), [(1, 1), (2, 1)], 1)
