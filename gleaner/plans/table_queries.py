@@ -276,6 +276,61 @@ def capped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("o_custkey", "o_orderkey", F.col("position").cast("long").alias("position"))
 
 
+@query(
+    f"""
+SELECT profile, category, n FROM (SELECT profile, category, count(*) AS n, avg(final_score) AS mean FROM (
+  SELECT s.profile, s.final_score, unnest(j.categories) AS category FROM {LATEST} s JOIN jobs j ON j.id = s.job_rowid) GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY profile ORDER BY round(mean, 9) DESC, n DESC, category) = 1
+"""
+)
+def best_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The category with the best mean score per profile."""
+    jobs = table(spark, sf_dir, "jobs", F.col("id").alias("job_rowid"), "categories")
+    rows = _latest_scores(spark, sf_dir).select("profile", "job_rowid", "final_score").join(jobs, "job_rowid").select("profile", "final_score", F.explode("categories").alias("category"))
+    means = rows.groupBy("profile", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final_score"), 9).alias("mean"))
+    return ranking.first_per_group(means, ["profile"], [F.desc("mean"), F.desc("n"), F.col("category")]).select("profile", "category", "n")
+
+
+@query(
+    f"""
+SELECT profile, category, n, row_number() OVER (PARTITION BY profile ORDER BY n DESC, category) AS position FROM (SELECT profile, category, count(*) AS n FROM (
+  SELECT s.profile, coalesce(j.categories[1], 'ohne Zuordnung') AS category
+  FROM (SELECT * FROM {LATEST} QUALIFY row_number() OVER (PARTITION BY profile ORDER BY final_score DESC, job_rowid) <= 200) s JOIN jobs j ON j.id = s.job_rowid) GROUP BY ALL) QUALIFY position <= 12
+"""
+)
+def head_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories among the first two hundred of each profile."""
+    head = ranking.cap_per_group(_latest_scores(spark, sf_dir), partition=["profile"], group="job_rowid", order=ORDER(), cap=1, top=200)
+    jobs = table(spark, sf_dir, "jobs", F.col("id").alias("job_rowid"), "categories")
+    named = head.join(jobs, "job_rowid").select("profile", F.coalesce(F.get("categories", F.lit(0)), F.lit("ohne Zuordnung")).alias("category"))
+    counts = named.groupBy("profile", "category").agg(F.count(F.lit(1)).alias("n"))
+    position = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("n"), "category"))
+    return counts.withColumn("position", position.cast("long")).where("position <= 12")
+
+
+@query(
+    f"""
+SELECT s.profile, s.job_rowid, j.portal, f.rating, f.job_rowid IS NOT NULL AS rated, round(s.final_score, 9) AS final_score
+FROM {LATEST} s JOIN jobs j ON j.id = s.job_rowid LEFT JOIN feedback f ON f.profile = s.profile AND f.job_rowid = s.job_rowid
+WHERE j.status = 'active' AND NOT j.company_is_agency AND coalesce(j.workload_max, 100) >= 80 AND coalesce(j.workload_min, 0) <= 100
+"""
+)
+def rated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with their ratings under the filters of a list."""
+    jobs = table(spark, sf_dir, "jobs", F.col("id").alias("job_rowid"), "portal", "status", "company_is_agency", "workload_min", "workload_max")
+    kept = jobs.where((F.col("status") == "active") & ~F.col("company_is_agency") & (F.coalesce("workload_max", F.lit(100)) >= 80) & (F.coalesce("workload_min", F.lit(0)) <= 100))
+    ratings = table(spark, sf_dir, "feedback", "profile", "job_rowid", "rating").withColumn("rated", F.lit(True))
+    joined = _latest_scores(spark, sf_dir).join(kept, "job_rowid").join(ratings, ["profile", "job_rowid"], "left")
+    return joined.select("profile", "job_rowid", "portal", "rating", F.coalesce("rated", F.lit(False)).alias("rated"), F.round("final_score", 9).alias("final_score"))
+
+
+@query("SELECT category, n FROM (SELECT category, count(*) AS n FROM (SELECT unnest(categories) AS category FROM jobs) GROUP BY category) ORDER BY n DESC, category LIMIT 5")
+def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent categories."""
+    rows = table(spark, sf_dir, "jobs", "categories").select(F.explode("categories").alias("category"))
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(5)
+
+
 # --- JSON, arrays, sets ----------------------------------------------------------------------------
 @query(
     """

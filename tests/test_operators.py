@@ -163,3 +163,33 @@ def test_vectors(spark):
     e = vectors.HashingEmbedder(32)
     v = spark.createDataFrame([("Koch in Bern",), ("Koch in Bern",), (None,)], "t string").select(vectors.embed_udf(e)("t")).collect()
     assert v[0][0] == v[1][0] and abs(sum(x * x for x in v[0][0]) - 1) < 1e-5
+
+
+def test_table_maintenance(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    seen = spark.createDataFrame([("a", "9", None, None, None), ("a", "10", None, None, None), ("a", "x", None, None, None), ("a", "1", "2025", 200, "p")], "portal string, source_id string, fetched_at string, http_status int, raw_path string")
+    assert [r.source_id for r in store.pending(seen, 2).collect()] == ["10", "9"]
+    results = spark.createDataFrame([("a", "9", "2026", 410, None), ("b", "7", "2026", 200, "q")], seen.schema)
+    done = {(r.portal, r.source_id): r.http_status for r in store.mark_fetched(seen, results, ["portal", "source_id"]).collect()}
+    assert done == {("a", "9"): 410, ("a", "10"): None, ("a", "x"): None, ("a", "1"): 200}
+    path = str(tmp_path / "scores")
+    store.replace_partition(spark.createDataFrame([(1, "p"), (2, "q")], "x int, profile string"), path, "profile")
+    store.replace_partition(spark.createDataFrame([(9, "p")], "x int, profile string"), path, "profile")
+    assert sorted((r.x, r.profile) for r in spark.read.parquet(path).collect()) == [(2, "q"), (9, "p")]
+    now = T.StructType([T.StructField("x", T.LongType()), T.StructField("neu", T.StringType())])
+    assert rows(store.conform(spark.createDataFrame([(1, "weg")], "x int, old string"), now)) == [(1, None)]
+    log = store.run_log(spark, "job_room", "ok", items_seen=3, items_new=1).first()
+    assert (log.source, log.status, log.items_seen, log.items_new) == ("job_room", "ok", 3, 1) and log.finished_at is not None
+    expired = spark.createDataFrame([("active", "2025-01-01"), ("active", None), ("expired", "2030-01-01")], "status string, expires_at string")
+    assert [r.status for r in store.mark_expired(expired, F.lit("2025-06-01")).collect()] == ["expired", "active", "expired"]
+
+
+def test_grouped_functions_come_whole(spark):
+    from gleaner.operators.grouped import map_groups
+
+    df = spark.range(5000).select((F.col("id") % 7).alias("k"), "id", F.when(F.col("id") % 7 == 3, F.lit("hot")).otherwise("cold").alias("x"))
+    f = lambda g: g.iloc[[0]].assign(n=len(g), ok=bool((g["id"].diff().dropna() > 0).all()))[["k", "n", "ok"]]
+    got = rows(map_groups(df, ["k"], ["id"], f, "k long, n long, ok boolean"))
+    assert got == [(k, 5000 // 7 + (k < 5000 % 7), True) for k in range(7)]
+    assert map_groups(df.limit(0), ["k"], ["id"], f, "k long, n long, ok boolean").count() == 0
