@@ -13,9 +13,9 @@
 The pages are shuffled once, by id; counting, ranking and fitting happen in the same stage. Only the
 reference table (languages x length classes, under 200 rows whatever the input) is broadcast.
 
-Edge cases: null, blank and wordless texts are never reported; repeated ids are one page each time
-they occur with equal text and the longest text otherwise; pages of other languages are set against the
-class they fall into; empty tables give an empty result; very long pages are processed whole.
+Edge cases: null, blank and wordless texts and null ids are never reported; rows that share an id
+have one common curve and are measured each; pages of other languages are set against the class they
+fall into; empty tables give an empty result; very long pages are processed whole.
 """
 
 from __future__ import annotations
@@ -195,7 +195,7 @@ def suspects(pages: DataFrame) -> DataFrame:
 
 def stuffed_pages(pages: DataFrame, *, doc: tuple[str, str] = ("doc_id", "text"), threshold: float = 0.5) -> DataFrame:
     """(doc_id, stuffed_share): pages whose words stand in stuffing for more than `threshold`."""
-    pages = pages.select(F.col(doc[0]).cast("long").alias("doc_id"), F.col(doc[1]).alias("text"))
+    pages = pages.select(F.col(doc[0]).cast("long").alias("doc_id"), F.col(doc[1]).alias("text")).where(F.col("doc_id").isNotNull())
     doubtful = pages.where(F.length("text") > 0).join(suspects(pages).select("doc_id").distinct(), "doc_id")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -35,9 +35,9 @@ def test_no_cases(text):
 
 
 def test_whole_operator(spark):
-    pages = [(i, PROSE * (1 + i % 5)) for i in range(60)] + [(100 + k, t) for k, t in enumerate(stuffed().values())] + [(200, None), (201, ""), (202, " "), (203, "Koch " * 30_000)]
+    pages = [(i, PROSE * (1 + i % 5)) for i in range(60)] + [(100 + k, t) for k, t in enumerate(stuffed().values())] + [(200, None), (201, ""), (202, " "), (203, "Koch " * 30_000), (203, "Koch " * 30_000), (None, "Koch " * 90)]
     df = spark.createDataFrame([(i, t, "x") for i, t in pages], "doc_id long, text string, stuffed_share string")
-    assert sorted(r.doc_id for r in S.stuffed_pages(df).collect()) == [*range(100, 106), 203]
+    assert sorted(r.doc_id for r in S.stuffed_pages(df).select("doc_id").distinct().collect()) == [*range(100, 106), 203]
     assert S.stuffed_pages(df.limit(0)).count() == 0
 
 
