@@ -36,6 +36,7 @@ CLIENT_MENTION = (
     r"|für\s+(?:unsere|eine)\s+Kundin\b"
     r"|für\s+ein\s+(?:renommiertes\s+|erfolgreiches\s+)?Unternehmen\s+in\b"
 )
+AGENCY_REASONS = {"name": "Firmenname", "public": "öffentlicher Arbeitgeber", "declared": "Selbstdeklaration (surrogate)", "pattern": "Muster: %d Berufscodes bei %d Inseraten, %d Orte, Streuung %.0f km"}
 PATTERN_MIN_ADS = 25
 PATTERN_MIN_CODE_RATIO = 0.30
 PATTERN_MIN_CITIES = 8

@@ -68,8 +68,8 @@ def verdicts(profiles: DataFrame) -> DataFrame:
     """Adds is_agency and agency_reason; the name decides first, then the pattern of behaviour."""
     named, public = F.col("name").rlike(rx(V.AGENCY_NAME)), F.col("name").rlike(rx(V.PUBLIC_EMPLOYER))
     reason = (
-        F.when(named, "Firmenname").when(public, "öffentlicher Arbeitgeber").when(F.col("declared_agency"), "Selbstdeklaration (surrogate)")
-        .when(matches_pattern(), F.format_string("Muster: %d Berufscodes bei %d Inseraten, %d Orte, Streuung %.0f km", "codes", "ads", "cities", "spread_km"))
+        F.when(named, V.AGENCY_REASONS["name"]).when(public, V.AGENCY_REASONS["public"]).when(F.col("declared_agency"), V.AGENCY_REASONS["declared"])
+        .when(matches_pattern(), F.format_string(V.AGENCY_REASONS["pattern"], "codes", "ads", "cities", "spread_km"))
         .otherwise("")
     )
     agency = named | (~public & (F.col("declared_agency") | matches_pattern()))

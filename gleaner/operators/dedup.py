@@ -17,6 +17,7 @@ from gleaner.functions import fixed_values as V
 from gleaner.functions.text import content_hash, dedup_block, normalize_company, normalize_title, shingles, url_key
 from gleaner.operators.fuzzy import token_set, token_sort
 from gleaner.operators.grouped import map_groups
+from gleaner.session import cut
 
 
 def portal_rank(portal: Column) -> Column:
@@ -67,10 +68,16 @@ def near_merges(heads: DataFrame, threshold: float = V.NEAR_DUPLICATE) -> DataFr
     """heads(company_key, id, description_md) → (id, merged_into): near-duplicate heads of a company.
 
     Within a company, heads are taken in order of id; one whose shingles overlap those of an earlier
-    kept head by `threshold` or more is merged into the first such head. Candidates share a rare
-    shingle (prefix filter over the company's own shingle counts), which loses no pair.
+    kept head by `threshold` or more is merged into the first such head. Equal shingle sets collapse first,
+    in the aggregation, and follow their smallest id. Candidates share a rare shingle (prefix filter
+    over the company's own shingle counts), which loses no pair.
     """
-    grams = heads.select("company_key", "id", shingles(F.col("description_md")).alias("s")).where(F.size("s") > 0)
+    every = heads.select("company_key", "id", shingles(F.col("description_md")).alias("s")).where(F.size("s") > 0)
+    every = every.withColumn("set", F.xxhash64(F.array_sort("s")))
+    reps = every.groupBy("company_key", "set").agg(F.min("id").alias("rep"))
+    placed = cut(every.join(reps, ["company_key", "set"]))
+    grams = placed.where("id = rep").select("company_key", "id", "s")
+    copies = placed.where("id <> rep").select("id", "rep")
     exploded = grams.select("company_key", "id", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("h"))
     freq = exploded.groupBy("company_key", "h").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("company_key", "id").orderBy("df", "h")
@@ -88,7 +95,9 @@ def near_merges(heads: DataFrame, threshold: float = V.NEAR_DUPLICATE) -> DataFr
         .where(jaccard(F.col("sa"), F.col("sb")) >= threshold)
         .select("a", "b")
     )
-    return first_match_merges(checked)
+    merged = first_match_merges(checked)
+    followed = copies.join(merged.select(F.col("id").alias("rep"), "merged_into"), "rep", "left").select("id", F.coalesce("merged_into", "rep").alias("merged_into"))
+    return merged.unionByName(followed)
 
 
 def first_match_merges(pairs: DataFrame) -> DataFrame:
@@ -97,8 +106,6 @@ def first_match_merges(pairs: DataFrame) -> DataFrame:
     Every round settles all rows whose smaller partners are settled: rows without an open smaller
     partner are kept heads, and what they cover is merged into the smallest of them.
     """
-    from gleaner.session import cut
-
     open_pairs = cut(pairs)
     merged = None
     while open_pairs.limit(1).count():

@@ -48,12 +48,6 @@ def first_per_group(df: DataFrame, partition: list[str], order: list[Column]) ->
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def ordered_distinct(value: str, order: str) -> Column:
-    """Aggregate: distinct values by first occurrence."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
-
-
 def weighted_score(positive: dict[str, tuple[float, Column]], penalties: dict[str, tuple[float, Column]]) -> Column:
     """(sum of weight x score - sum of weight x penalty) / sum of positive weights; null for no weight."""
     total = sum(w for w, _ in positive.values())
