@@ -4,7 +4,9 @@
    is fitted to log count over log rank. Slope, residual, and the share of function words (the
    divergence from prose) are set against the pages of the same language and comparable length
    (median and median absolute deviation per language and power of two of the length). A page that
-   stands out in any of them, or is too short for a curve, is a suspect.
+   stands out in any of them, or is too short for a curve, is a suspect. Links are no words of the
+   curve: they are counted beside it as the measure does, and a page with a noticeable share of them
+   (`LINK_SHARE`) is a suspect whatever its words look like, also one without any words.
 2. Exact measure on the suspects: the page is cut into sentences and lines; in each, words are counted
    as function words, words repeated all over the page, links and tags, separators, or others, and a
    two-state Markov chain (prose, stuffing) gives the likeliest reading of the whole page. A page
@@ -13,7 +15,7 @@
 The pages are shuffled once, by id; counting, ranking and fitting happen in the same stage. Only the
 reference table (languages x length classes, under 200 rows whatever the input) is broadcast.
 
-Edge cases: null, blank and wordless texts and null ids are never reported; rows that share an id
+Edge cases: null and blank texts, texts without words and links, and null ids are never reported; rows that share an id
 have one common curve and are measured each; pages of other languages are set against the class they
 fall into; empty tables give an empty result; very long pages are processed whole.
 """
@@ -29,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let
 from gleaner.session import cut, texts
 
 # Function words by language.
@@ -43,12 +46,17 @@ _FUNCTION = frozenset(w for words in _LISTS.values() for w in words)
 SUSPECT_Z = 1.5
 SHORT_WORDS = 32
 FEW_FUNCTION_WORDS = 0.9
+# Links outweigh other words from 17 % of a stretch on, and stuffing is half of a reported page.
+LINK_SHARE = 0.08
 
 _LINK_MD = re.compile(r"!?\[([^\[\]\n]*)\]\((\S*?)\)")
 _LINK_HTML = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.S | re.I)
 _TAG = re.compile(r"<[A-Za-z/!][^<>]*>")
 _CUT = re.compile(r"\n+|(?<=[.!?…])\s+(?=[\"„«]?[A-ZÀ-ÞŒ])")
 _TOKEN = re.compile(r"(?:https?://|www\.)\S+|#\w[\w-]*|[^\W_]+(?:[-.][^\W_]+)*|[|•;·,]|->|»")
+# The tokens as Java patterns, without separators, and those that are links wherever they stand.
+_COUNTED_LINK = r"(?U)(?:https?://|www\.)\S+|#\w[\w-]*"
+_COUNTED = r"(?U)(?:https?://|www\.)\S+|#\w[\w-]*|[^\W_]+(?:[-.][^\W_]+)*"
 _OPEN, _CLOSE = "", ""
 
 # Log-odds of stuffing against prose for each class of token.
@@ -126,37 +134,58 @@ def _is_function(word: Column, lang: str) -> Column:
     return word.isin(_LISTS[lang])
 
 
+def link_share(text: Column) -> Column:
+    """Share of the words and links of a page that are links, counted as `stuffed_share` does."""
+
+    def shares(t: Column) -> Column:
+        inside = F.array_join(F.regexp_extract_all(t, F.lit(f"{_OPEN}([^{_OPEN}{_CLOSE}]*){_CLOSE}"), 1), "\n")
+        outside = F.regexp_replace(t, f"{_OPEN}[^{_OPEN}{_CLOSE}]*{_CLOSE}", " ")
+        links = F.regexp_count(inside, F.lit(_COUNTED)) + F.regexp_count(outside, F.lit(_COUNTED_LINK))
+        return F.when(links > 0, links / (F.regexp_count(inside, F.lit(_COUNTED)) + F.regexp_count(outside, F.lit(_COUNTED)))).otherwise(0.0)
+
+    held = F.regexp_replace(text, r"!?\[([^\[\]\n]*)\]\((\S*?)\)", f"{_OPEN}$1{_CLOSE}")
+    held = F.regexp_replace(held, r"(?is)<a\b[^<>]*>(.*?)</a\s*>", f"{_OPEN}$1{_CLOSE}")
+    held = F.regexp_replace(held, r"<[A-Za-z/!][^<>]*>", " ")
+    return F.when(text.rlike(r"(?U)://|www\.|#\w|\]\(|<[aA]\b"), let(held, shares)).otherwise(0.0)
+
+
 def rank_frequency(pages: DataFrame) -> DataFrame:
-    """pages(doc_id, text) → one row per page with words: the fitted curve and the share of function words.
+    """pages(doc_id, text) → one row per page with words or links: the fitted curve and the shares of
+    function words and of links.
 
-    Columns: doc_id, text, n (words), slope, residual, divergence (1 - share of function words), lang
-    (that of most function words), length_class. The pages are shuffled once; the counts of each
-    page, their ranks by a window, and the fit need no further exchange.
+    Columns: doc_id, n (words), slope, residual, divergence (1 - share of function words), lang
+    (that of most function words), length_class, link_share. A page of links alone has n 0 and no
+    length class. The pages are shuffled once; the counts of each page, their ranks by a window, and
+    the fit need no further exchange.
     """
     placed = pages.where(F.length("text") > 0)
     placed = placed.select("doc_id", "text").repartition("doc_id")
-    words = placed.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.regexp_replace("text", r"https?://\S+|<[A-Za-z/!][^<>]*>|&[a-z]+;", " ")), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("w"))
-    counts = words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("c"))
+    found = F.regexp_extract_all(F.lower(F.regexp_replace("text", r"https?://\S+|<[A-Za-z/!][^<>]*>|&[a-z]+;", " ")), F.lit(r"[\p{L}\p{N}]+"), 0)
+    # one null word per page carries its links through the counts; it has no rank and counts nowhere
+    words = placed.select("doc_id", F.explode(F.concat(F.transform(found, lambda w: F.struct(w.alias("w"), F.lit(None).cast("double").alias("s"))), F.array(F.struct(F.lit(None).cast("string").alias("w"), link_share(F.col("text")).alias("s"))))).alias("e"))
+    counts = words.select("doc_id", "e.w", "e.s").groupBy("doc_id", "w").agg(F.count("w").alias("c"), F.max("s").alias("s"))
     by_rank = Window.partitionBy("doc_id").orderBy(F.col("c").desc())
-    ranked = counts.withColumn("x", F.ln(F.row_number().over(by_rank).cast("double"))).withColumn("y", F.ln(F.col("c").cast("double")))
+    ranked = counts.withColumn("x", F.ln(F.row_number().over(by_rank).cast("double"))).withColumn("y", F.when(F.col("c") > 0, F.ln(F.col("c").cast("double"))))
     fit = ranked.groupBy("doc_id").agg(
         F.sum("c").alias("n"),
         F.regr_slope("y", "x").alias("slope"),
         F.regr_syy("y", "x").alias("syy"),
         F.regr_r2("y", "x").alias("r2"),
-        F.count(F.lit(1)).alias("types"),
+        F.count("w").alias("types"),
+        F.max("s").alias("link_share"),
         *(F.sum(F.when(_is_function(F.col("w"), lang), F.col("c")).otherwise(0)).alias(f"f_{lang}") for lang in _LISTS),
     )
     most = F.greatest(*(F.col(f"f_{lang}") for lang in _LISTS))
     lang = F.coalesce(*(F.when(F.col(f"f_{k}") == most, F.lit(k)) for k in _LISTS))
-    return fit.select(
+    return fit.where("n > 0 OR link_share > 0").select(
         "doc_id",
         "n",
         F.coalesce("slope", F.lit(0.0)).alias("slope"),
-        F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.col("syy") * (1 - F.col("r2")) / F.col("types"), F.lit(0.0)))).alias("residual"),
-        (1 - most / F.col("n")).alias("divergence"),
+        F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.col("syy") * (1 - F.col("r2")) / F.nullif("types", F.lit(0)), F.lit(0.0)))).alias("residual"),
+        F.coalesce(1 - most / F.nullif("n", F.lit(0)), F.lit(1.0)).alias("divergence"),
         lang.alias("lang"),
         F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("length_class"),
+        "link_share",
     )
 
 
@@ -184,13 +213,14 @@ def prose_reference(curves: DataFrame) -> DataFrame:
 
 
 def suspects(pages: DataFrame) -> DataFrame:
-    """(doc_id, z of each measure): pages that stand out from prose of their language and length."""
+    """(doc_id, z of each measure): pages that stand out from prose of their language and length, or have
+    links in plenty."""
     curves = cut(rank_frequency(pages))
-    z = curves.join(F.broadcast(prose_reference(curves)), ["lang", "length_class"])
+    z = curves.join(F.broadcast(prose_reference(curves)), ["lang", "length_class"], "left")
     for m, floor in (("slope", 0.02), ("residual", 0.01), ("divergence", 0.01)):
         z = z.withColumn(f"z_{m}", (F.col(m) - F.col(f"{m}_mid")) / (F.greatest(F.col(f"{m}_off"), F.lit(floor)) * 1.4826))
-    out = (F.abs("z_slope") > 2 * SUSPECT_Z) | (F.col("z_residual") > 2 * SUSPECT_Z) | (F.col("z_divergence") > SUSPECT_Z) | (F.col("divergence") > FEW_FUNCTION_WORDS) | (F.col("n") < SHORT_WORDS)
-    return z.where(out).select("doc_id", "n", "lang", "slope", "residual", "divergence", "z_slope", "z_residual", "z_divergence")
+    out = (F.abs("z_slope") > 2 * SUSPECT_Z) | (F.col("z_residual") > 2 * SUSPECT_Z) | (F.col("z_divergence") > SUSPECT_Z) | (F.col("divergence") > FEW_FUNCTION_WORDS) | (F.col("n") < SHORT_WORDS) | (F.col("link_share") > LINK_SHARE)
+    return z.where(out).select("doc_id", "n", "lang", "slope", "residual", "divergence", "z_slope", "z_residual", "z_divergence", "link_share")
 
 
 def stuffed_pages(pages: DataFrame, *, doc: tuple[str, str] = ("doc_id", "text"), threshold: float = 0.5) -> DataFrame:

@@ -45,3 +45,13 @@ def test_suspects_miss_nothing(spark, sf_dir):
     pages = S._pages(spark, sf_dir)
     exact = sorted((r.doc_id,) for r in pages.collect() if r.text and S.stuffed_share(r.text) > 0.5)
     assert rows(S.p10_found(spark, sf_dir)) == exact
+
+
+def test_links_outside_the_curve(spark):
+    urls = [f"https://a{i}.example/{i}" for i in range(300)]
+    pages = [(i, PROSE * (1 + i % 5)) for i in range(60)] + [(100, "\n".join(urls)), (101, PROSE * 3 + "\n" + "\n".join(urls)), (102, " ".join(urls)), (103, "<img src='a'>\n" * 50), (104, PROSE * 5 + urls[0]), (105, PROSE * 3 + "\n" + "\n".join(f"[und der Lohn]({u})" for u in urls)), (106, " ")]
+    df = spark.createDataFrame(pages, "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.stuffed_pages(df).collect()) == sorted(i for i, t in pages if S.stuffed_share(t) > 0.5) == [100, 101, 102, 105]
+    curves = {r.doc_id: r for r in S.rank_frequency(df).collect()}
+    assert curves[100].n == 0 and curves[100].link_share == 1.0 and not {103, 106} & set(curves)
+    assert curves[105].link_share == pytest.approx(900 / (900 + len(S._tokens(PROSE * 3)[0])))
