@@ -318,14 +318,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per advertisement: its class of copies, its group of near-duplicates, its links."""
     links, members = _near(spark, sf_dir)
+    return grouped(_jobs(spark, sf_dir).select("id"), links, members)
+
+
+def grouped(records: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, class_id, group_id, links, copies) of every id of records(id); one without features stands alone."""
     links = cut(links)
     groups = connected_components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     ends = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    return (
+    placed = (
         members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .join(ends, "rep", "left")
         .select("id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
     )
+    alone = records.select("id").distinct().join(members.select("id"), "id", "left_anti")
+    one = F.lit(1).cast("long")
+    return placed.unionByName(alone.select("id", F.col("id").alias("class_id"), F.col("id").alias("group_id"), (one - 1).alias("links"), one.alias("copies")))
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}

@@ -91,3 +91,13 @@ def test_groups_query(spark, sf_dir):
     found = N.p5_found(spark, sf_dir)
     g = {r.id: r.group_id for r in groups.collect()}
     assert all(g[a] == g[b] for a, b in rows(found)) and groups.count() == len(g)
+
+
+def test_groups_have_every_record(spark, sf_dir):
+    text = " ".join(f"w{i}" for i in range(70))
+    data = [(1, 1, text), (2, 1, text), (3, 1, text + " ende"), (4, 1, None), (5, 1, " "), (6, None, text), (7, 1, "kurz"), (8, 2, text)]
+    df = spark.createDataFrame(data, "id long, block long, text string")
+    got = rows(N.grouped(df, *N.near_duplicates(df, min_words=60)))
+    assert got == [(1, 1, 1, 1, 2), (2, 1, 1, 1, 2), (3, 3, 1, 1, 1), *((i, i, i, 0, 1) for i in (4, 5, 6, 7, 8))]
+    jobs = spark.read.parquet(f"{sf_dir}/jobs.parquet")
+    assert N.p5_groups(spark, sf_dir).count() == jobs.count()
