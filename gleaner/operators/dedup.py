@@ -2,8 +2,8 @@
 
 The grouped, order-dependent operators scan a group front to back and compare each row with the heads
 met so far. Groups are kept small by their keys, exact copies collapse before, and a group larger
-than `max_group` is cut by a further hash of its rows' first title word, so no task holds
-an unbounded group; the docstrings say what that means for the result.
+than `max_group` is settled from its pairs instead, so no task holds an unbounded group; the result
+is the same.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import fixed_values as V
 from gleaner.functions.text import content_hash, dedup_block, normalize_company, normalize_title, shingles, url_key
-from gleaner.operators.fuzzy import token_set, token_sort
+from gleaner.operators.fuzzy import sorted_tokens, token_set, token_sort
 from gleaner.operators.grouped import map_groups
-from gleaner.session import cut
+from gleaner.session import at_most, cut
 
 
 def portal_rank(portal: Column) -> Column:
@@ -141,18 +141,19 @@ def cross_portal_clusters(jobs: DataFrame, max_group: int = 5_000) -> DataFrame:
     an entry joins the first bucket whose head passes the title gate and the weighted similarity, else it
     opens one. Rows sharing an application URL within a block follow the first of them, by a join. The
     block without a place can't reach the gate by names, so only copies and URLs count there. Blocks of
-    more than `max_group` entries are cut by company key, without which the score passes its gate only
-    for companies with words in common.
+    more than `max_group` entries are not scanned in one task: their pairs are found by a join and the
+    same order is settled in rounds (`_pairwise`), with the same heads.
     """
     keyed = with_keys(jobs).withColumn("apply_key", url_key(F.col("apply_url"))).withColumn("postal", F.coalesce("postal_code", F.lit(""))).withColumn("place", F.lower(F.coalesce("city", F.lit(""))))
     keys = ["block", "title_key", "company_key", "postal", "place"]
     order = F.struct("portal_rank", "id")
-    entries = keyed.groupBy(*keys).agg(F.min(order).alias("o"))
+    entries = cut(keyed.groupBy(*keys).agg(F.min(order).alias("o")))
     placed = entries.where("block <> '?'")
-    big = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group).select("block", F.lit(True).alias("big"))
-    grouped = placed.join(big, "block", "left").withColumn("part", F.when(F.col("big"), F.col("company_key")).otherwise(""))
+    big = cut(placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group).select("block"))
     shape = "block string, title_key string, company_key string, postal string, place string, head struct<portal_rank:int,id:bigint>"
-    found = map_groups(grouped.select(*keys, "part", "o"), ["block", "part"], ["o"], _greedy, shape)
+    found = map_groups(placed.join(big, "block", "left_anti").select(*keys, "o"), ["block"], ["o"], _greedy, shape)
+    if not at_most(big, 0):
+        found = found.unionByName(_pairwise(placed.join(big, "block", "left_semi"), keys))
     heads = found.unionByName(entries.where("block = '?'").select(*keys, F.col("o").cast("struct<portal_rank:int,id:bigint>").alias("head")))
     rows = keyed.select("id", "portal_rank", "apply_key", *keys)
     with_head = rows.join(heads, [rows[k].eqNullSafe(heads[k]) for k in keys]).select(rows["id"], rows["block"], rows["apply_key"], rows["portal_rank"], "head")
@@ -160,6 +161,53 @@ def cross_portal_clusters(jobs: DataFrame, max_group: int = 5_000) -> DataFrame:
     return with_head.join(by_url, ["block", "apply_key"], "left").select("id", F.least("head", "url_head")["id"].alias("head_id"))
 
 
+def similar_titles(titles: DataFrame, gate: float) -> DataFrame:
+    """titles(block, t), distinct, words sorted → (block, ta, tb), both ways and each with itself: pairs of
+    a block whose ratio reaches `gate`.
+
+    With a common subsequence of L characters, two titles share 3L - la - lb - 1 pairs of neighbouring
+    characters or more, which is at least (1.5 gate - 1)(la + lb) - 1; the shorter of the two has at
+    least gate / (2 - gate) of the longer's length. So they share one of the rarest pairs of each (prefix
+    filter), and none is lost. Titles below two characters have no pairs and only match themselves.
+    """
+    least = gate / (2.0 - gate)
+    marked = titles.where(F.length("t") > 1)
+    starts = F.sequence(F.lit(1), F.length("t") - 1)
+    grams = marked.select("block", "t", F.explode(F.transform(starts, lambda i: F.substring(F.col("t"), i, F.lit(2)))).alias("g"))
+    numbered = grams.groupBy("block", "t", "g").agg(F.count(F.lit(1)).cast("int").alias("c")).select("block", "t", "g", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("nth"))
+    freq = numbered.groupBy("block", "g", "nth").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("block", "t").orderBy("df", "g", "nth")
+    ranked = numbered.join(freq, ["block", "g", "nth"]).withColumn("k", F.row_number().over(order))
+    # a little below the bound, for its rounding
+    shared = F.ceil(F.lit((1.5 * gate - 1.0) * (1.0 + least)) * F.length("t") - 1.0 - 1e-6)
+    prefix = cut(ranked.where((F.col("k") <= F.length("t") - F.greatest(shared, F.lit(1))) & (F.col("df") > 1)).select("block", "g", "nth", "t"))
+    a, b = prefix.withColumnRenamed("t", "ta"), prefix.withColumnRenamed("t", "tb")
+    la, lb = F.length("ta"), F.length("tb")
+    near = (F.least(la, lb) >= F.lit(least - 1e-9) * F.greatest(la, lb))
+    candidates = a.join(b, ["block", "g", "nth"]).where("ta < tb").where(near).select("block", "ta", "tb").distinct()
+    pairs = cut(candidates.where(token_sort("ta", "tb") >= gate))
+    swapped = pairs.select("block", F.col("tb").alias("ta"), F.col("ta").alias("tb"))
+    return pairs.unionByName(swapped).unionByName(titles.select("block", F.col("t").alias("ta"), F.col("t").alias("tb")))
+
+
+def _pairwise(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, head) as `_greedy` gives it, for blocks of any size: candidates by title, exact scores in
+    tasks of pairs, and the order of the entries settled in rounds."""
+    # the hash tells entries apart that share an id
+    e = F.struct(F.col("o.portal_rank").cast("int").alias("portal_rank"), F.col("o.id").cast("long").alias("id"), F.xxhash64(*keys).alias("h"))
+    entries = cut(placed.select(*keys, e.alias("e"), sorted_tokens(F.coalesce("title_key", F.lit(""))).alias("t")))
+    similar = similar_titles(entries.select("block", "t").distinct(), V.TITLE_GATE)
+
+    def side(x: str) -> DataFrame:
+        return entries.select("block", F.col("t").alias(f"t{x}"), F.col("e").alias(x), F.col("t").alias(f"title_{x}"), F.coalesce("company_key", F.lit("")).alias(f"company_{x}"), F.nullif("postal", F.lit("")).alias(f"postal_{x}"), F.nullif("place", F.lit("")).alias(f"city_{x}"))
+
+    pairs = similar.join(side("a"), ["block", "ta"]).join(side("b"), ["block", "tb"]).where("a < b")
+    close = pair_scores(pairs).where((F.col("title_similarity") >= V.TITLE_GATE) & (F.col("score") >= V.CROSS_PORTAL)).select("a", "b")
+    merged = first_match_merges(close).withColumnRenamed("id", "e")
+    head = F.coalesce("merged_into", "e")
+    return entries.join(merged, "e", "left").select(*keys, F.struct(head["portal_rank"].alias("portal_rank"), head["id"].alias("id")).alias("head"))
+
+
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     from gleaner.operators.fuzzy import token_set_ratio, token_sort_ratio
 

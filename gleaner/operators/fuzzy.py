@@ -49,6 +49,11 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(2.0 * shared / (lx + ly), 2.0 * len(sect) / (len(sect) + lx), 2.0 * len(sect) / (len(sect) + ly))
 
 
+@F.pandas_udf(T.StringType())
+def sorted_tokens(a: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else " ".join(sorted(x.split())) for x in a], dtype="object")
+
+
 def _on_pairs(f):
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

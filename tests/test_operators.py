@@ -50,6 +50,36 @@ def test_cross_portal(spark):
     assert dedup.cross_portal_clusters(spark.createDataFrame([], JOBS)).count() == 0
 
 
+def test_cross_portal_at_any_size(spark):
+    import random
+
+    rng = random.Random(8)
+    titles = ["Projektleiter Bau", "Projektleiterin Bau", "Bau Projektleiter", "Projektleiter Hochbau", "Koch", "Köche", "Kochen", "Sachbearbeiter Verkauf Innendienst", "Sachbearbeiterin Verkauf Innendienst", "Sachbearbeiter Einkauf Innendienst", "", "X", "IT", "ICT"]
+    names = ["Muster AG", "Muster Bau AG", "Muster Bau Gruppe", "Mustermann", "Anders AG", "Anderes", None]
+    data = [(i, rng.choice(["job_room", "ostjob", "myjob"]), str(i), rng.choice(titles), rng.choice(names), rng.choice(["Bern", "Thun", None]), rng.choice(["3000", "3000", "3001"]), "x", None) for i in range(400)]
+    df = spark.createDataFrame(data, JOBS)
+    whole = rows(dedup.cross_portal_clusters(df))
+    assert len(whole) == 400 and sum(i != h for i, h in whole) > 100
+    assert rows(dedup.cross_portal_clusters(df, max_group=1)) == whole
+    two = spark.createDataFrame([(i, "myjob", str(i), "Koch", c, "Bern", "3000", "x", None) for i, c in ((1, "Muster"), (2, "Muster Bau"))], JOBS)
+    assert rows(dedup.cross_portal_clusters(two, max_group=1)) == [(1, 1), (2, 1)]
+
+
+def test_similar_titles_lose_no_pair(spark):
+    import random
+
+    rng = random.Random(9)
+    titles = {"", "a", "b"}
+    while len(titles) < 250:
+        t = list(rng.choice(sorted(titles)[:30]) if rng.random() < 0.8 else "".join(rng.choice("abcde") for _ in range(rng.randint(1, 40))))
+        for _ in range(rng.randint(0, 3)):
+            t.insert(rng.randint(0, len(t)), rng.choice("abcde"))
+        titles.add("".join(t))
+    want = sorted(("p", a, b) for a in titles for b in titles if fuzzy.token_sort_ratio(a, b) >= 0.88)
+    assert len(want) > 400
+    assert rows(dedup.similar_titles(spark.createDataFrame([("p", t) for t in titles], "block string, t string"), 0.88)) == want
+
+
 def test_groups_and_stats(spark):
     data = [(i, p, s, "Koch 100%", "Muster AG", c, None, f"text {i}", None) for i, p, s, c in [(1, "ostjob", "9", "Bern"), (2, "job_room", "5", "Thun"), (3, "job_room", "4", "Biel")]]
     g = dedup.exact_groups(spark.createDataFrame(data, JOBS))
