@@ -91,7 +91,9 @@ def vector_clusters(df: DataFrame, *, key: str, vector: str, min_size: int = 25,
     """(key, label): PCA, bisecting k-means, and label -1 for clusters below `min_size`.
 
     A stand-in for density clustering, which Spark lacks: distributed, seeded, and with the same rule
-    that small clusters are noise. Fewer than 2 x min_size rows give no labels.
+    that small clusters are noise. Fewer than 2 x min_size rows give no labels. Without `k`, the number of
+    clusters grows with the rows, one for every 4 x min_size of them: it follows their number, not
+    their density, so dense groups may be split and groups below that size may share a cluster.
     """
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import PCA
@@ -103,7 +105,9 @@ def vector_clusters(df: DataFrame, *, key: str, vector: str, min_size: int = 25,
         return rows.select(key, F.lit(-1).alias("label")).limit(0)
     size = rows.first()["f"].size
     reduced = PCA(k=min(dims, size), inputCol="f", outputCol="r").fit(rows).transform(rows)
-    model = BisectingKMeans(k=k or max(2, min(64, n // (4 * min_size))), seed=seed, featuresCol="r", predictionCol="label", minDivisibleClusterSize=float(2 * min_size)).fit(reduced)
+    k = k or max(2, n // (4 * min_size))
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="r", predictionCol="label", minDivisibleClusterSize=float(2 * min_size)).fit(reduced)
     labelled = model.transform(reduced).select(key, "label")
     sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return labelled.join(F.broadcast(sizes), "label").select(key, F.when(F.col("n") < min_size, -1).otherwise(F.col("label")).alias("label"))  # one row per cluster, at most k
+    few = F.broadcast(sizes) if k <= 100_000 else sizes  # one row per cluster, at most k
+    return labelled.join(few, "label").select(key, F.when(F.col("n") < min_size, -1).otherwise(F.col("label")).alias("label"))

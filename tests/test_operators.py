@@ -223,3 +223,13 @@ def test_grouped_functions_come_whole(spark):
     got = rows(map_groups(df, ["k"], ["id"], f, "k long, n long, ok boolean"))
     assert got == [(k, 5000 // 7 + (k < 5000 % 7), True) for k in range(7)]
     assert map_groups(df.limit(0), ["k"], ["id"], f, "k long, n long, ok boolean").count() == 0
+
+
+def test_number_of_clusters_grows_with_the_rows(spark):
+    import random
+
+    rng = random.Random(5)
+    centres = [[rng.uniform(-10, 10) for _ in range(6)] for _ in range(80)]
+    data = [(i, [x + rng.gauss(0, 0.01) for x in centres[i % 80]]) for i in range(2400)]
+    got = dict(rows(terms.vector_clusters(spark.createDataFrame(data, "id long, v array<double>"), key="id", vector="v", min_size=6, dims=6)))
+    assert len(got) == 2400 and len(set(got.values()) - {-1}) > 64
