@@ -7,7 +7,8 @@ its range, and an outlier is worth at most 1.
 
 * Where more than half of the values are equal, the MAD is 0 and the mean absolute deviation
   (x 1.2533) takes its place; where that is 0 too, the score says nothing and counts as 1/2.
-* A score that is null, NaN or infinite, or missing from an item's map, counts as 1/2 (unknown).
+* A score that is null, NaN or infinite, or missing from an item's map, counts as 1/2 (unknown); so does
+  an item of a list without any finite score. Items without a list are left out.
 * Median and deviation are quantile sketches with a rank error of at most n / ACCURACY in a list of
   n items: they merge from partial aggregates, so that a list holding a third of all rows isn't
   collected into one task. Lists below ACCURACY items get exact values.
@@ -47,11 +48,11 @@ def robust_statistics(items: DataFrame) -> DataFrame:
     return spread.groupBy("list_key").agg(F.map_from_entries(F.collect_list(entry)).alias("stats"))
 
 
-def _with_lists(df: DataFrame, lists: DataFrame, max_broadcast_lists: int = 20_000) -> DataFrame:
+def _with_lists(df: DataFrame, lists: DataFrame, how: str = "inner", max_broadcast_lists: int = 20_000) -> DataFrame:
     """Joins per-list values to items: by broadcast for provably few lists, else by an AQE-split join."""
     if at_most(lists.select("list_key"), max_broadcast_lists):
-        return df.join(F.broadcast(lists), "list_key")
-    return df.join(lists, "list_key")
+        return df.join(F.broadcast(lists), "list_key", how)
+    return df.join(lists, "list_key", how)
 
 
 def fused_ranking(items: DataFrame, *, against: str | None = None, weights: dict[str, float] | None = None, top: int | None = None) -> DataFrame:
@@ -60,10 +61,10 @@ def fused_ranking(items: DataFrame, *, against: str | None = None, weights: dict
     Score names matching the regular expression `against` count against the item. `weights` gives
     weights other than 1 by name. `top` keeps the head of each list.
     """
-    items = items.select("list_key", "item_id", F.transform_values("scores", lambda k, v: _finite(v)).alias("scores"))
+    items = items.where(F.col("list_key").isNotNull()).select("list_key", "item_id", F.transform_values("scores", lambda k, v: _finite(v)).alias("scores"))
     items = cut(items)  # read by the medians, the deviations and the ranking
     stats = robust_statistics(items)
-    known = _with_lists(items, stats)
+    known = _with_lists(items, stats, "left")
 
     def part(k: Column, v: Column) -> Column:
         z = (F.col("scores")[k] - v["median"]) / v["scale"]
@@ -81,7 +82,7 @@ def fused_ranking(items: DataFrame, *, against: str | None = None, weights: dict
         lambda s, p: F.struct((s["w"] + p["w"]).alias("w"), (s["l"] + p["l"]).alias("l")),
         lambda s: F.exp(s["l"] / s["w"]),
     )
-    fused = known.select("list_key", "item_id", total.alias("fused"))
+    fused = known.select("list_key", "item_id", F.coalesce(total, F.lit(0.5)).alias("fused"))
     order = Window.partitionBy("list_key").orderBy(F.col("fused").desc_nulls_last(), "item_id")
     ranked = fused.withColumn("position", F.row_number().over(order))
     return ranked.where(F.col("position") <= top) if top else ranked

@@ -74,3 +74,10 @@ def test_query(spark, sf_dir):
     counts = dict(S.p3_found(spark, sf_dir).groupBy("profile").count().collect())
     assert counts and all(n == 10 for n in counts.values())
     assert median([1, 2, 3]) == 2 and rows(S.p3_ranking(spark, sf_dir).where(F.col("position") == 1).select("position"))
+
+
+def test_lists_without_finite_scores(spark):
+    data = [("p", 1, {"a": 1.0}), ("p", 2, {"a": 2.0}), ("q", 9, {"a": None}), ("q", 4, {"a": math.nan, "b": math.inf}), ("q", 5, {}), (None, 7, {"a": 1.0})]
+    got = S.fused_ranking(items(spark, data))
+    assert rows(got.where("list_key = 'q'").select("item_id", "fused", "position")) == [(4, 0.5, 1), (5, 0.5, 2), (9, 0.5, 3)]
+    assert got.count() == 5
