@@ -1,23 +1,27 @@
-"""Keyword-stuffed pages and link lists, by rank-frequency curves and an exact measure.
-
-1. Rank-frequency curves with SQL windows: the words of a page are counted and ranked by count; a line
-   is fitted to log count over log rank. Slope, residual, and the share of function words (the
-   divergence from prose) are set against the pages of the same language and comparable length
-   (median and median absolute deviation per language and power of two of the length). A page that
-   stands out in any of them, or is too short for a curve, is a suspect. Links are no words of the
-   curve: they are counted beside it as the measure does, and a page with a noticeable share of them
-   (`LINK_SHARE`) is a suspect whatever its words look like, also one without any words.
-2. Exact measure on the suspects: the page is cut into sentences and lines; in each, words are counted
-   as function words, words repeated all over the page, links and tags, separators, or others, and a
-   two-state Markov chain (prose, stuffing) gives the likeliest reading of the whole page. A page
-   whose words stand in stuffing for more than half is reported.
-
-The pages are shuffled once, by id; counting, ranking and fitting happen in the same stage. Only the
-reference table (languages x length classes, under 200 rows whatever the input) is broadcast.
-
-Edge cases: null and blank texts, texts without words and links, and null ids are never reported; rows that share an id
-have one common curve and are measured each; pages of other languages are set against the class they
-fall into; empty tables give an empty result; very long pages are processed whole.
+"""Keyword-stuffed pages and link lists, by rank-frequency curves and their divergence from prose.
+
+1. One pass over the texts, where they lie: each page becomes its frequency spectrum (how many different
+   words occur c times, function words apart from others), its links, and per sentence or line
+   the numbers of function words, words repeated all over the page, links and tags, separators,
+   codes and other words. Texts are never shuffled; what is shuffled is the spectrum, a few rows a page.
+2. Curves by SQL windows: the window over a page's spectrum gives the ranks; a line is fitted to log count
+   over log rank (slope, residual), and the words' mass in each octave of ranks, function words
+   apart from others, gives a distribution of `2 * BANDS` cells. Its Jensen-Shannon divergence from
+   the middle distribution of the pages of the same language and comparable length (power of two)
+   is the page's divergence. Slope, residual and divergence are set against the same pages.
+   A page extreme in any of them is flagged; so is one too short for a curve, or with a noticeable
+   share of links, which are no words of the curve.
+3. Exact check of the flagged pages against "more than half": a two-state Markov chain (prose, stuffing)
+   over a page's sentences and lines gives the likeliest reading. Its rates are those of the corpus:
+   of what a first reading by `PRIOR` takes for stuffing in flagged pages, and for prose anywhere; the
+   prior counts as `PRIOR_WORDS` further words on both sides, so that a small or clean table has rates too.
+
+Only the reference table (languages x length classes, under 200 rows whatever the input) and one row of
+rates reach the driver or are broadcast.
+
+Edge cases: null and blank texts, texts without words and links, and null ids are never reported; rows that
+share an id are measured each, exact repeats as one; pages of other languages are set against the
+class they fall into; empty tables give an empty result; very long pages are processed whole.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import let
 from gleaner.session import cut, texts
 
 # Function words by language.
@@ -41,11 +45,17 @@ FUNCTION_WORDS = {
     "it": "il lo la i gli le l un uno una di del dello della dei degli delle d a al allo alla ai agli alle da dal dalla dai dalle in nel nella nei nelle su sul sulla con per tra fra e ed o ma che chi cui se non più meno molto anche come quando dove noi voi loro si ci vi è sono era essere avere ha hanno abbiamo avete suo sua nostro nostra vostro vostra questo questa secondo senza dopo prima durante circa dovrebbe perché alcuni molte diverse",
     "en": "the a an of in on at to from by for with without about into over under between after before during since until and or but because if although while when as than that this these those it its he she they we you his her their our your is are was were be been being have has had do does did can could will would shall should may might must not no only also more most some any each every all other who which what where there so very",
 }
-_LISTS = {lang: sorted(set(words.split())) for lang, words in FUNCTION_WORDS.items()}
-_FUNCTION = frozenset(w for words in _LISTS.values() for w in words)
+_LANGS = tuple(FUNCTION_WORDS)
+_SPOKEN: dict[str, tuple[int, ...]] = {}
+for _k, _words in enumerate(FUNCTION_WORDS.values()):
+    for _w in _words.split():
+        _SPOKEN[_w] = (*(x for x in _SPOKEN.get(_w, ()) if x != _k), _k)
+
 SUSPECT_Z = 1.5
-SHORT_WORDS = 32
-FEW_FUNCTION_WORDS = 0.9
+NEAR_Z = 1.0
+SHORT_WORDS = 64
+FEW_FUNCTION_WORDS = 0.1
+BANDS = 8
 # Links outweigh other words from 17 % of a stretch on, and stuffing is half of a reported page.
 LINK_SHARE = 0.08
 
@@ -54,45 +64,26 @@ _LINK_HTML = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.S | re.I)
 _TAG = re.compile(r"<[A-Za-z/!][^<>]*>")
 _CUT = re.compile(r"\n+|(?<=[.!?…])\s+(?=[\"„«]?[A-ZÀ-ÞŒ])")
 _TOKEN = re.compile(r"(?:https?://|www\.)\S+|#\w[\w-]*|[^\W_]+(?:[-.][^\W_]+)*|[|•;·,]|->|»")
-# The tokens as Java patterns, without separators, and those that are links wherever they stand.
-_COUNTED_LINK = r"(?U)(?:https?://|www\.)\S+|#\w[\w-]*"
-_COUNTED = r"(?U)(?:https?://|www\.)\S+|#\w[\w-]*|[^\W_]+(?:[-.][^\W_]+)*"
 _OPEN, _CLOSE = "", ""
 
-# Log-odds of stuffing against prose for each class of token.
-WEIGHTS = {"function": math.log(0.04 / 0.30), "repeated": math.log(0.45 / 0.10), "link": math.log(0.20 / 0.01), "separator": math.log(0.30 / 0.02), "code": math.log(0.10 / 0.01), "other": math.log(0.31 / 0.57)}
+CLASSES = ("function", "repeated", "link", "separator", "code", "other")
+FUNCTION, REPEATED, LINK, SEPARATOR, CODE, OTHER = range(len(CLASSES))
+# What a stretch of stuffing and one of prose are made of, before a corpus is seen.
+PRIOR = {"stuffing": (0.04, 0.45, 0.20, 0.30, 0.10, 0.31), "prose": (0.30, 0.10, 0.01, 0.02, 0.01, 0.57)}
+PRIOR_WORDS = 20_000
 SWITCH = 2.5
+# The occurrences of one word are not independent of each other.
+REPEATS = 0.9
 
 
-def stuffed_share(text: str) -> float:
-    """Share of a page's words that stand in stuffing instead of sentences."""
-    t = _LINK_MD.sub(lambda m: f"{_OPEN}{m[1]}{_CLOSE}", text)
-    if "<" in t:
-        t = _LINK_HTML.sub(lambda m: f"{_OPEN}{m[1]}{_CLOSE}", t)
-        t = _TAG.sub(" ", t.replace("<br", "\n<br").replace("<li", "\n<li").replace("<LI", "\n<LI").replace("</p", "\n</p"))
-    if "&" in t:
-        t = t.replace("&nbsp;", " ").replace("&amp;", "&")
-    lines = [u for u in _CUT.split(t) if u and not u.isspace()]
-    cuts = [_tokens(u) for u in lines]
-    if not any(words or links for words, links, _ in cuts):
-        return 0.0
-    # a line that is there twice says nothing about its words
-    distinct = dict(zip(lines, cuts))
-    counts = Counter(w for words, _, _ in distinct.values() for w in words)
-    total = sum(counts.values())
-    often = max(3, 0.02 * total)
-    frequent = {w for w, n in counts.items() if n >= often and w not in _FUNCTION and not w.isdigit()}
-    odds, sizes = [], []
-    for words, links, separators in cuts:
-        n = len(words) + links
-        score = links * WEIGHTS["link"]
-        # a comma for every four words is usual in sentences
-        score += max(0.0, separators - len(words) / 4) * WEIGHTS["separator"]
-        for w in words:
-            score += WEIGHTS["function" if w in _FUNCTION else "repeated" if w in frequent else "code" if w.isdigit() and len(w) > 3 else "other"]
-        odds.append(score)
-        sizes.append(n)
-    return sum(n for n, s in zip(sizes, _likeliest(odds)) if s) / max(1, sum(sizes))
+def log_odds(stuffing: tuple | None = None, prose: tuple | None = None) -> np.ndarray:
+    """Log-odds of stuffing against prose of each class, from class counts of both and the prior."""
+    rates = []
+    for seen, name in ((stuffing, "stuffing"), (prose, "prose")):
+        before = np.array(PRIOR[name])
+        counts = before * PRIOR_WORDS + (np.array(seen, float) if seen is not None else 0.0)
+        rates.append(counts / counts.sum() * before.sum())
+    return np.log(rates[0] / rates[1])
 
 
 def _tokens(unit: str) -> tuple[list[str], int, int]:
@@ -113,6 +104,56 @@ def _tokens(unit: str) -> tuple[list[str], int, int]:
     return words, links, separators
 
 
+def page_profile(text: str) -> tuple[Counter, np.ndarray] | None:
+    """(counts of the words outside links, class counts per stretch), or None without words and links."""
+    t = _LINK_MD.sub(lambda m: f"{_OPEN}{m[1]}{_CLOSE}", text)
+    if "<" in t:
+        t = _LINK_HTML.sub(lambda m: f"{_OPEN}{m[1]}{_CLOSE}", t)
+        t = _TAG.sub(" ", t.replace("<br", "\n<br").replace("<li", "\n<li").replace("<LI", "\n<LI").replace("</p", "\n</p"))
+    if "&" in t:
+        t = t.replace("&nbsp;", " ").replace("&amp;", "&")
+    lines = [u for u in _CUT.split(t) if u and not u.isspace()]
+    distinct = dict.fromkeys(lines)
+    for u in distinct:
+        distinct[u] = _tokens(u)
+    counts = Counter(w for u in lines for w in distinct[u][0])
+    if not counts and not any(links for _, links, _ in distinct.values()):
+        return None
+    # a line that is there twice says nothing about its words
+    once = counts if len(distinct) == len(lines) else Counter(w for words, _, _ in distinct.values() for w in words)
+    often = max(3, 0.02 * sum(once.values()))
+    kind = {w: FUNCTION if w in _SPOKEN else REPEATED if n >= often and not w.isdigit() else CODE if w.isdigit() and len(w) > 3 else OTHER for w, n in once.items()}
+    rows = np.zeros((len(lines), len(CLASSES)), np.uint32)
+    for i, u in enumerate(lines):
+        words, links, separators = distinct[u]
+        row = [0, 0, links, separators, 0, 0]
+        for w in words:
+            row[kind[w]] += 1
+        rows[i] = row
+    return counts, rows
+
+
+def _as_evidence(rows: np.ndarray) -> np.ndarray:
+    """Class counts with only the separators beyond the usual comma for every four words of a sentence."""
+    out = rows.astype(np.float64)
+    words = out[:, FUNCTION] + out[:, REPEATED] + out[:, CODE] + out[:, OTHER]
+    out[:, SEPARATOR] = np.maximum(0.0, out[:, SEPARATOR] - words / 4)
+    return out
+
+
+def share_of(rows: np.ndarray, odds: np.ndarray) -> float:
+    """Share of a page's words and links that stand in stuffing."""
+    sizes = rows.sum(axis=1) - rows[:, SEPARATOR]
+    stuffed = np.array(_likeliest((_as_evidence(rows) @ odds).tolist()), bool)
+    return float(sizes[stuffed].sum() / max(1, sizes.sum()))
+
+
+def stuffed_share(text: str, odds: np.ndarray | None = None) -> float:
+    """Share of a page's words that stand in stuffing instead of sentences; by the prior without `odds`."""
+    made = page_profile(text)
+    return 0.0 if made is None else share_of(made[1], log_odds() if odds is None else odds)
+
+
 def _likeliest(odds: list[float]) -> list[bool]:
     """Viterbi over the two states; `odds` favour stuffing where positive."""
     prose, stuff = 0.0, -1.0
@@ -130,76 +171,141 @@ def _likeliest(odds: list[float]) -> list[bool]:
     return out[::-1]
 
 
-def _is_function(word: Column, lang: str) -> Column:
-    return word.isin(_LISTS[lang])
-
+def rank_bands(spectrum: dict[tuple[int, int], int]) -> list[float]:
+    """Share of the words in each octave of ranks, first of function words, then of others."""
+    mass, a = [0] * (2 * BANDS), 1
+    for (c, own), v in sorted(spectrum.items(), reverse=True):
+        b = a + v - 1
+        for k in range(min(BANDS, a.bit_length()) - 1, min(BANDS, b.bit_length())):
+            high = (2 << k) - 1 if k < BANDS - 1 else b
+            mass[(0 if own else BANDS) + k] += (min(b, high) - max(a, 1 << k) + 1) * c
+        a = b + 1
+    return [x / max(1, sum(mass)) for x in mass]
 
-def link_share(text: Column) -> Column:
-    """Share of the words and links of a page that are links, counted as `stuffed_share` does."""
 
-    def shares(t: Column) -> Column:
-        inside = F.array_join(F.regexp_extract_all(t, F.lit(f"{_OPEN}([^{_OPEN}{_CLOSE}]*){_CLOSE}"), 1), "\n")
-        outside = F.regexp_replace(t, f"{_OPEN}[^{_OPEN}{_CLOSE}]*{_CLOSE}", " ")
-        links = F.regexp_count(inside, F.lit(_COUNTED)) + F.regexp_count(outside, F.lit(_COUNTED_LINK))
-        return F.when(links > 0, links / (F.regexp_count(inside, F.lit(_COUNTED)) + F.regexp_count(outside, F.lit(_COUNTED)))).otherwise(0.0)
+_PROFILE = "doc_id long, h long, n long, links long, spoken array<long>, bands array<double>, spectrum array<struct<c:int,own:int,v:int>>, rows binary"
 
-    held = F.regexp_replace(text, r"!?\[([^\[\]\n]*)\]\((\S*?)\)", f"{_OPEN}$1{_CLOSE}")
-    held = F.regexp_replace(held, r"(?is)<a\b[^<>]*>(.*?)</a\s*>", f"{_OPEN}$1{_CLOSE}")
-    held = F.regexp_replace(held, r"<[A-Za-z/!][^<>]*>", " ")
-    return F.when(text.rlike(r"(?U)://|www\.|#\w|\]\(|<[aA]\b"), let(held, shares)).otherwise(0.0)
 
+def page_profiles(pages: DataFrame) -> DataFrame:
+    """pages(doc_id, text) → one row for every page with words or links, made where the page lies.
 
-def rank_frequency(pages: DataFrame) -> DataFrame:
-    """pages(doc_id, text) → one row per page with words or links: the fitted curve and the shares of
-    function words and of links.
+    `spectrum` says how many different words (`v`) of a kind (`own` 1: function words) occur `c` times.
+    """
 
-    Columns: doc_id, n (words), slope, residual, divergence (1 - share of function words), lang
-    (that of most function words), length_class, link_share. A page of links alone has n 0 and no
-    length class. The pages are shuffled once; the counts of each page, their ranks by a window, and
-    the fit need no further exchange.
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for d, h, t in zip(pdf["doc_id"], pdf["h"], pdf["text"]):
+                made = page_profile(t)
+                if made is None:
+                    continue
+                counts, rows = made
+                spoken = [0] * len(_LANGS)
+                spectrum: Counter = Counter()
+                for w, c in counts.items():
+                    langs = _SPOKEN.get(w, ())
+                    spectrum[c, 1 if langs else 0] += 1
+                    for k in langs:
+                        spoken[k] += c
+                out.append((d, h, sum(counts.values()), int(rows[:, LINK].sum()), spoken, rank_bands(spectrum), [{"c": c, "own": o, "v": v} for (c, o), v in spectrum.items()], rows.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "h", "n", "links", "spoken", "bands", "spectrum", "rows"])
+
+    source = pages.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return source.mapInPandas(make, _PROFILE)
+
+
+def rank_frequency(profiles: DataFrame) -> DataFrame:
+    """Profiles → one row per page with the fitted curve.
+
+    Columns: doc_id, h, n (words), slope, residual, bands (see `rank_bands`), lang (that of most function words), length_class, link_share.
+    A page whose words are function words of one language for less than `FEW_FUNCTION_WORDS` has no language. A page of links alone has n 0 and no length class. Only spectra are shuffled, once; ranks by a window
+    and the fit need no further exchange. The sums over the ranks a … b of words with equal counts are
+    integrals from a - 1/2 to b + 1/2.
     """
-    placed = pages.where(F.length("text") > 0)
-    placed = placed.select("doc_id", "text").repartition("doc_id")
-    found = F.regexp_extract_all(F.lower(F.regexp_replace("text", r"https?://\S+|<[A-Za-z/!][^<>]*>|&[a-z]+;", " ")), F.lit(r"[\p{L}\p{N}]+"), 0)
-    # one null word per page carries its links through the counts; it has no rank and counts nowhere
-    words = placed.select("doc_id", F.explode(F.concat(F.transform(found, lambda w: F.struct(w.alias("w"), F.lit(None).cast("double").alias("s"))), F.array(F.struct(F.lit(None).cast("string").alias("w"), link_share(F.col("text")).alias("s"))))).alias("e"))
-    counts = words.select("doc_id", "e.w", "e.s").groupBy("doc_id", "w").agg(F.count("w").alias("c"), F.max("s").alias("s"))
-    by_rank = Window.partitionBy("doc_id").orderBy(F.col("c").desc())
-    ranked = counts.withColumn("x", F.ln(F.row_number().over(by_rank).cast("double"))).withColumn("y", F.when(F.col("c") > 0, F.ln(F.col("c").cast("double"))))
-    fit = ranked.groupBy("doc_id").agg(
-        F.sum("c").alias("n"),
-        F.regr_slope("y", "x").alias("slope"),
-        F.regr_syy("y", "x").alias("syy"),
-        F.regr_r2("y", "x").alias("r2"),
-        F.count("w").alias("types"),
-        F.max("s").alias("link_share"),
-        *(F.sum(F.when(_is_function(F.col("w"), lang), F.col("c")).otherwise(0)).alias(f"f_{lang}") for lang in _LISTS),
-    )
-    most = F.greatest(*(F.col(f"f_{lang}") for lang in _LISTS))
-    lang = F.coalesce(*(F.when(F.col(f"f_{k}") == most, F.lit(k)) for k in _LISTS))
-    return fit.where("n > 0 OR link_share > 0").select(
+    facts = F.struct("n", "links", "spoken", "bands")
+    no_word = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).alias("own"), F.lit(0).alias("v")))
+    # one entry without words carries what is known of the page already
+    entries = profiles.select("doc_id", "h", facts.alias("page"), F.explode(F.concat("spectrum", no_word)).alias("e"))
+    placed = entries.select("doc_id", "h", F.when(F.col("e.c") == 0, F.col("page")).alias("page"), "e.*").repartition("doc_id", "h")
+    once = placed.groupBy("doc_id", "h", "c", "own").agg(F.first("v").alias("v"), F.first("page").alias("page"))
+    down = Window.partitionBy("doc_id", "h").orderBy(F.col("c").desc(), F.col("own").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = once.withColumn("b", F.sum("v").over(down)).withColumn("a", F.col("b") - F.col("v") + 1)
+    lo, hi, y = F.col("a") - 0.5, F.col("b") + 0.5, F.when(F.col("c") > 0, F.ln(F.col("c").cast("double")))
+    first = lambda x: x * F.ln(x) - x
+    second = lambda x: x * F.ln(x) * F.ln(x) - 2 * x * F.ln(x) + 2 * x
+    ranked = ranked.withColumn("y", y).withColumn("x1", F.when(F.col("c") > 0, first(hi) - first(lo))).withColumn("x2", F.when(F.col("c") > 0, second(hi) - second(lo)))
+
+    fit = ranked.groupBy("doc_id", "h").agg(
+        F.max("page").alias("page"),
+        F.sum("v").cast("double").alias("w"), F.sum("x1").alias("sx"), F.sum("x2").alias("sxx"),
+        F.sum(F.col("v") * F.col("y")).alias("sy"), F.sum(F.col("v") * F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x1") * F.col("y")).alias("sxy"),
+    )
+    spread, off, both = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("w"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("w"), F.col("sxy") - F.col("sx") * F.col("sy") / F.col("w")
+    slope = F.when((F.col("w") > 1) & (spread > 1e-9), both / spread)
+    n = F.col("page.n")
+    most = F.array_max("page.spoken")
+    return fit.where("page IS NOT NULL").select(
         "doc_id",
-        "n",
-        F.coalesce("slope", F.lit(0.0)).alias("slope"),
-        F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.col("syy") * (1 - F.col("r2")) / F.nullif("types", F.lit(0)), F.lit(0.0)))).alias("residual"),
-        F.coalesce(1 - most / F.nullif("n", F.lit(0)), F.lit(1.0)).alias("divergence"),
-        lang.alias("lang"),
-        F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("length_class"),
-        "link_share",
+        "h",
+        n.alias("n"),
+        F.coalesce(slope, F.lit(0.0)).alias("slope"),
+        F.coalesce(F.sqrt(F.greatest(F.lit(0.0), (off - slope * both) / F.col("w"))), F.lit(0.0)).alias("residual"),
+        F.col("page.bands").alias("bands"),
+        F.when(most >= FEW_FUNCTION_WORDS * n, F.element_at(F.array(*(F.lit(k) for k in _LANGS)), F.array_position("page.spoken", most).cast("int"))).alias("lang"),
+        F.when(n > 0, F.floor(F.log2(n.cast("double"))).cast("int")).alias("length_class"),
+        (F.col("page.links") / (n + F.col("page.links"))).alias("link_share"),
     )
 
 
+def jensen_shannon(p: Column, q: Column) -> Column:
+    """Divergence (natural logarithm) of two distributions given as arrays of one length."""
+
+    def part(a: Column, b: Column) -> Column:
+        m = (a + b) / 2
+        return F.when(a > 0, a * F.ln(a / m)).otherwise(0.0) / 2 + F.when(b > 0, b * F.ln(b / m)).otherwise(0.0) / 2
+
+    return F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda s, x: s + x)
+
+
 MEASURES = ("slope", "residual", "divergence")
+_CLASS = ("lang", "length_class")
+
+
+def _own_share() -> Column:
+    return F.aggregate(F.slice("bands", 1, BANDS), F.lit(0.0), lambda t, x: t + x)
+
+
+def with_divergence(curves: DataFrame) -> DataFrame:
+    """Adds `divergence`: Jensen-Shannon, from the middle distribution of prose of the page's language and length.
+
+    Prose of a class are its pages whose share of function words is not far below the class: middle and
+    scale of that share are inferred from its upper tail (75th and 90th percentile), as stuffing can only lower
+    it. The divergence is positive for pages with fewer function words than that, else negative; a page
+    of no language has the largest, log 2.
+    """
+    cells = range(2 * BANDS)
+    placed = curves.withColumn("own", _own_share())
+    known = placed.where(F.col("lang").isNotNull() & F.col("length_class").isNotNull())
+    tail = known.groupBy(*_CLASS).agg(F.percentile_approx("own", 0.75, 1000).alias("u75"), F.percentile_approx("own", 0.90, 1000).alias("u90"))
+    least = F.col("u75") - (F.col("u90") - F.col("u75")) * (0.674 + 2.0) / 0.607
+    # at most 4 languages x 64 length classes
+    prose = known.join(F.broadcast(tail), list(_CLASS)).where(F.col("own") >= least)
+    middle = prose.groupBy(*_CLASS).agg(*(F.percentile_approx(F.col("bands")[i], 0.5, 1000).alias(f"q_{i}") for i in cells))
+    total = F.nullif(sum((F.col(f"q_{i}") for i in cells), F.lit(0.0)), F.lit(0.0))
+    usual = middle.select(*_CLASS, F.array(*(F.coalesce(F.col(f"q_{i}") / total, F.lit(0.0)) for i in cells)).alias("usual"))
+    usual_own = F.aggregate(F.slice("usual", 1, BANDS), F.lit(0.0), lambda t, x: t + x)
+    sign = F.when(F.col("own") < usual_own, 1.0).otherwise(-1.0)
+    return placed.join(F.broadcast(usual), list(_CLASS), "left").withColumn("divergence", F.coalesce(sign * jensen_shannon(F.col("bands"), F.col("usual")), F.lit(math.log(2.0)))).drop("usual", "own")
 
 
 def prose_reference(curves: DataFrame) -> DataFrame:
     """Middle and scale of each measure per language and length class; at most 4 x 64 rows.
 
-    Slope and residual: median and median absolute deviation. Stuffing can only lower the share of
-    function words, and may be common in a class, so for the divergence both are inferred from the
-    lower tail: a normal curve through the 10th and 25th percentile.
+    Slope and residual: median and median absolute deviation. Stuffing can only raise the
+    divergence, and may be common in a class, so both are inferred from the lower tail: a normal
+    curve through the 10th and 25th percentile.
     """
-    keys = ["lang", "length_class"]
+    keys = list(_CLASS)
     low, quarter = F.percentile_approx("divergence", 0.10, 10_000), F.percentile_approx("divergence", 0.25, 10_000)
     medians = curves.groupBy(*keys).agg(
         *(F.percentile_approx(m, 0.5, 10_000).alias(f"{m}_mid") for m in ("slope", "residual")),
@@ -212,29 +318,57 @@ def prose_reference(curves: DataFrame) -> DataFrame:
     )
 
 
-def suspects(pages: DataFrame) -> DataFrame:
-    """(doc_id, z of each measure): pages that stand out from prose of their language and length, or have
-    links in plenty."""
-    curves = cut(rank_frequency(pages))
-    z = curves.join(F.broadcast(prose_reference(curves)), ["lang", "length_class"], "left")
-    for m, floor in (("slope", 0.02), ("residual", 0.01), ("divergence", 0.01)):
+def scored(curves: DataFrame) -> DataFrame:
+    """Curves with divergence, the z of each measure among pages of the language and length, and `flagged`."""
+    known = cut(with_divergence(curves))
+    z = known.join(F.broadcast(prose_reference(known)), list(_CLASS), "left")
+    for m, floor in (("slope", 0.02), ("residual", 0.01), ("divergence", 0.004)):
         z = z.withColumn(f"z_{m}", (F.col(m) - F.col(f"{m}_mid")) / (F.greatest(F.col(f"{m}_off"), F.lit(floor)) * 1.4826))
-    out = (F.abs("z_slope") > 2 * SUSPECT_Z) | (F.col("z_residual") > 2 * SUSPECT_Z) | (F.col("z_divergence") > SUSPECT_Z) | (F.col("divergence") > FEW_FUNCTION_WORDS) | (F.col("n") < SHORT_WORDS) | (F.col("link_share") > LINK_SHARE)
-    return z.where(out).select("doc_id", "n", "lang", "slope", "residual", "divergence", "z_slope", "z_residual", "z_divergence", "link_share")
+    odd = (F.abs("z_slope") > 2 * SUSPECT_Z) | (F.col("z_residual") > 2 * SUSPECT_Z) | (F.col("n") < SHORT_WORDS)
+    # what has clearly more function words than prose isn't stuffing, however odd its curve
+    extreme = (F.col("z_divergence") > SUSPECT_Z) | (odd & (F.col("z_divergence") > -NEAR_Z))
+    keep = ["doc_id", "h", "n", "lang", "length_class", *MEASURES, *(f"z_{m}" for m in MEASURES), "link_share"]
+    return z.withColumn("flagged", F.coalesce(extreme, F.lit(True)) | (F.col("link_share") > LINK_SHARE)).select(*keep, "flagged")
+
+
+def corpus_odds(profiles: DataFrame, flagged: DataFrame) -> np.ndarray:
+    """Log-odds of the classes as the corpus has them: what the chain with the prior rates reads as stuffing in
+    flagged pages, against what it reads as prose in all pages. One row reaches the driver."""
+    odds = log_odds()
+    n = len(CLASSES)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for d, h, r in zip(pdf["doc_id"], pdf["h"], pdf["rows"]):
+                seen = _as_evidence(np.frombuffer(r, np.uint32).reshape(-1, n))
+                stuffed = np.array(_likeliest((seen @ odds).tolist()), bool)
+                out.append((d, h, bool(stuffed.any()), seen[stuffed].sum(axis=0).tolist(), seen[~stuffed].sum(axis=0).tolist()))
+            yield pd.DataFrame(out, columns=["doc_id", "h", "any", "stuffing", "prose"])
+
+    read_so = cut(profiles.select("doc_id", "h", "rows").mapInPandas(read, "doc_id long, h long, any boolean, stuffing array<double>, prose array<double>"))
+    sums = lambda name: [F.coalesce(F.sum(F.col(name)[i]), F.lit(0.0)).alias(f"{name}_{i}") for i in range(n)]
+    prose = read_so.agg(*sums("prose")).first()
+    stuffing = read_so.where("any").select("doc_id", "h", "stuffing").join(flagged, ["doc_id", "h"]).agg(*sums("stuffing")).first()
+    found = log_odds(tuple(stuffing), tuple(prose))
+    found[REPEATED] *= REPEATS
+    return found
 
 
 def stuffed_pages(pages: DataFrame, *, doc: tuple[str, str] = ("doc_id", "text"), threshold: float = 0.5) -> DataFrame:
-    """(doc_id, stuffed_share): pages whose words stand in stuffing for more than `threshold`."""
-    pages = pages.select(F.col(doc[0]).cast("long").alias("doc_id"), F.col(doc[1]).alias("text")).where(F.col("doc_id").isNotNull())
-    doubtful = pages.where(F.length("text") > 0).join(suspects(pages).select("doc_id").distinct(), "doc_id")
+    """(doc_id, stuffed_share): flagged pages whose words stand in stuffing for more than `threshold`."""
+    profiles = cut(page_profiles(pages.select(F.col(doc[0]).cast("long").alias("doc_id"), F.col(doc[1]).alias("text"))))
+    flagged = cut(scored(cut(rank_frequency(profiles))).where("flagged").select("doc_id", "h"))
+    odds = corpus_odds(profiles, flagged)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            shares = [stuffed_share(t) for t in pdf["text"]]
-            found = pd.DataFrame({"doc_id": pdf["doc_id"], "stuffed_share": shares})
+            shares = [share_of(np.frombuffer(r, np.uint32).reshape(-1, len(CLASSES)), odds) for r in pdf["rows"]]
+            found = pd.DataFrame({"doc_id": pdf["doc_id"], "h": pdf["h"], "stuffed_share": shares})
             yield found[found["stuffed_share"] > threshold]
 
-    return doubtful.select("doc_id", "text").mapInPandas(measure, "doc_id long, stuffed_share double")
+    measured = profiles.select("doc_id", "h", "rows").mapInPandas(measure, "doc_id long, h long, stuffed_share double")
+    return measured.join(flagged, ["doc_id", "h"]).select("doc_id", "stuffed_share").distinct()
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +381,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fitted rank-frequency curve of every page."""
-    return rank_frequency(_pages(spark, sf_dir))
+    """The fitted rank-frequency curve of every page, and how far it is from prose."""
+    return scored(cut(rank_frequency(page_profiles(_pages(spark, sf_dir))))).drop("h")
 
 
 QUERIES = {"p10_found": p10_found, "p10_curves": p10_curves}
