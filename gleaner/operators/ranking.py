@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def rank_spread(df: DataFrame, partition: list[str], value: str, tie: str, out: str = "spread") -> DataFrame:
     """Ascending stable rank / (n - 1) within a partition; a single row gets 1, null values null.
 
-    For a pool that must not be sorted in one task use `rank_spread_distributed`.
+    A partition is sorted in one task; `ranked_within` and `rank_spread_distributed` do without that.
     """
     has = F.col(value).isNotNull()
     w = Window.partitionBy(*partition, has).orderBy(value, tie)
@@ -32,6 +32,23 @@ def rank_spread_distributed(df: DataFrame, value: str, tie: str, out: str = "spr
     return ranked.withColumn(out, spread).drop("__p", "before", "total")
 
 
+def ranked_within(df: DataFrame, group: list[str], order: list[Column], out: str = "position") -> DataFrame:
+    """Adds the row's rank (1, 2, …) in `order` within its group; no group has to fit in one task.
+
+    Rows are put in range partitions of (group, order); a rank is that within the partition plus the rows
+    of the group in the partitions before. `order` should be total, else ties are ranked either way.
+    Groups are not null.
+    """
+    from gleaner.session import cut
+
+    parts = cut(df.repartitionByRange(*(F.col(g) for g in group), *order).withColumn("__p", F.spark_partition_id()))
+    keys = ["__p", *group]
+    sizes = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))  # one row per group and partition that it meets
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__p")) - F.col("__n")
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return parts.join(sizes.select(*keys, before.alias("__before")), keys).withColumn(out, F.col("__before") + local).drop("__p", "__before")
+
+
 def cap_per_group(df: DataFrame, *, partition: list[str], group: str, order: list[Column], cap: int, top: int) -> DataFrame:
     """The first `top` rows of each partition in `order`, at most `cap` of each group; `position` 1..top.
 
