@@ -9,9 +9,12 @@ its range, and an outlier is worth at most 1.
   (x 1.2533) takes its place; where that is 0 too, the score says nothing and counts as 1/2.
 * A score that is null, NaN or infinite, or missing from an item's map, counts as 1/2 (unknown); so does
   an item of a list without any finite score. Items without a list are left out.
-* Median and deviation are quantile sketches with a rank error of at most n / ACCURACY in a list of
-  n items: they merge from partial aggregates, so that a list holding a third of all rows isn't
-  collected into one task. Lists below ACCURACY items get exact values.
+* Medians and deviations are lower medians. By default they are quantile sketches, which merge from
+  partial aggregates: exact in a list below ACCURACY items, with a rank error of at most n / ACCURACY in one
+  of n items. With `exact` they are exact in any list, from range-partitioned counts of the distinct
+  values; a list holding a third of all rows is spread over tasks either way.
+* The whole ranking is range-partitioned as well; only the head (`top`) is cut by a window, which keeps
+  `top` rows of a list in every task before the exchange.
 * Ties in the ranking go to the smallest item id. Empty input gives an empty result.
 """
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.ranking import ranked_within
 from gleaner.session import at_most, cut, table
 
 ACCURACY = 20_000
@@ -30,22 +34,36 @@ def _finite(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
-def robust_statistics(items: DataFrame) -> DataFrame:
+def lower_medians(long: DataFrame, value: str, exact: bool) -> DataFrame:
+    """long(list_key, name, <value>) → (list_key, name, median): the lower median of each list and name."""
+    keys = ["list_key", "name"]
+    if not exact:
+        return long.groupBy(*keys).agg(F.percentile_approx(value, 0.5, ACCURACY).alias("median"))
+    counts = long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    parts = cut(counts.repartitionByRange(*keys, value).withColumn("p", F.spark_partition_id()))
+    sizes = parts.groupBy("p", *keys).agg(F.sum("c").alias("n"))  # one row per list, name and partition met
+    of_list = Window.partitionBy(*keys)
+    offsets = sizes.select("p", *keys, (F.sum("n").over(of_list.orderBy("p")) - F.col("n")).alias("before"), F.floor((F.sum("n").over(of_list) + 1) / 2).alias("wanted"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("p", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = parts.join(offsets, ["p", *keys]).withColumn("upto", upto)
+    return ranked.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("c") < F.col("wanted"))).select(*keys, F.col(value).alias("median"))
+
+
+def robust_statistics(items: DataFrame, exact: bool = False) -> DataFrame:
     """items(list_key, scores map<string,double>) → (list_key, stats map<name, struct<median, scale>>).
 
     One row per list, holding one entry per score name.
     """
     long = items.select("list_key", F.explode("scores").alias("name", "x")).where(F.col("x").isNotNull())
-    medians = long.groupBy("list_key", "name").agg(F.percentile_approx("x", 0.5, ACCURACY).alias("median"))
-    packed = medians.groupBy("list_key").agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("medians"))
-    joined = _with_lists(long, packed)
+    packed = cut(lower_medians(long, "x", exact).groupBy("list_key").agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("medians")))
     off = F.abs(F.col("x") - F.col("medians")[F.col("name")])
-    spread = joined.select("list_key", "name", off.alias("off"), F.col("medians")[F.col("name")].alias("median")).groupBy("list_key", "name", "median").agg(
-        F.percentile_approx("off", 0.5, ACCURACY).alias("mad"), F.avg("off").alias("mean_off")
-    )
+    offs = _with_lists(long, packed).select("list_key", "name", off.alias("off"))
+    mads, means = lower_medians(offs, "off", exact).withColumnRenamed("median", "mad"), offs.groupBy("list_key", "name").agg(F.avg("off").alias("mean_off"))
     scale = F.when(F.col("mad") > 0, F.col("mad") * 1.4826).when(F.col("mean_off") > 0, F.col("mean_off") * 1.2533)
-    entry = F.struct(F.col("name"), F.struct(F.col("median").alias("median"), scale.alias("scale")).alias("v"))
-    return spread.groupBy("list_key").agg(F.map_from_entries(F.collect_list(entry)).alias("stats"))
+    scales = mads.join(means, ["list_key", "name"]).groupBy("list_key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("name"), scale.alias("scale")))).alias("scales"))
+    both = packed.join(scales, "list_key", "left")
+    stats = F.transform_values("medians", lambda k, m: F.struct(m.alias("median"), F.col("scales")[k].alias("scale")))
+    return cut(both.select("list_key", stats.alias("stats")))
 
 
 def _with_lists(df: DataFrame, lists: DataFrame, how: str = "inner", max_broadcast_lists: int = 20_000) -> DataFrame:
@@ -55,7 +73,7 @@ def _with_lists(df: DataFrame, lists: DataFrame, how: str = "inner", max_broadca
     return df.join(lists, "list_key", how)
 
 
-def fused_ranking(items: DataFrame, *, against: str | None = None, weights: dict[str, float] | None = None, top: int | None = None) -> DataFrame:
+def fused_ranking(items: DataFrame, *, against: str | None = None, weights: dict[str, float] | None = None, top: int | None = None, exact: bool = False) -> DataFrame:
     """items(list_key, item_id, scores map<string,double>) → (list_key, item_id, fused, position).
 
     Score names matching the regular expression `against` count against the item. `weights` gives
@@ -63,7 +81,7 @@ def fused_ranking(items: DataFrame, *, against: str | None = None, weights: dict
     """
     items = items.where(F.col("list_key").isNotNull()).select("list_key", "item_id", F.transform_values("scores", lambda k, v: _finite(v)).alias("scores"))
     items = cut(items)  # read by the medians, the deviations and the ranking
-    stats = robust_statistics(items)
+    stats = robust_statistics(items, exact)
     known = _with_lists(items, stats, "left")
 
     def part(k: Column, v: Column) -> Column:
@@ -75,7 +93,7 @@ def fused_ranking(items: DataFrame, *, against: str | None = None, weights: dict
             w = F.when(k == name, float(value)).otherwise(w)
         return F.struct(w.alias("w"), (w * F.ln(F.greatest(bounded, F.lit(FLOOR)))).alias("l"))
 
-    parts = F.map_values(F.transform_values("stats", part))
+    parts = F.map_values(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values("stats", part)))))  # one order of summing
     total = F.aggregate(
         parts,
         F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("l")),
@@ -83,9 +101,11 @@ def fused_ranking(items: DataFrame, *, against: str | None = None, weights: dict
         lambda s: F.exp(s["l"] / s["w"]),
     )
     fused = known.select("list_key", "item_id", F.coalesce(total, F.lit(0.5)).alias("fused"))
-    order = Window.partitionBy("list_key").orderBy(F.col("fused").desc_nulls_last(), "item_id")
-    ranked = fused.withColumn("position", F.row_number().over(order))
-    return ranked.where(F.col("position") <= top) if top else ranked
+    order = [F.col("fused").desc(), F.col("item_id")]
+    if top is None:
+        return ranked_within(fused, ["list_key"], order)
+    ranked = fused.withColumn("position", F.row_number().over(Window.partitionBy("list_key").orderBy(*order)))
+    return ranked.where(F.col("position") <= top)
 
 
 def latest_scores(scores: DataFrame) -> DataFrame:
@@ -118,8 +138,37 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole combined ranking of every profile."""
     ranked = fused_ranking(latest_scores(_scores(spark, sf_dir)), against="_penalty$")
-    return ranked.select(F.col("list_key").alias("profile"), F.col("item_id").alias("job_rowid"), "fused", "position")
-
+    return ranked.select(F.col("list_key").alias("profile"), F.col("item_id").alias("job_rowid"), F.round("fused", 6).alias("fused"), "position")
+
+
+_RANKED_SQL = """
+WITH last AS (
+  SELECT profile, job_rowid, final_score, semantic_raw, rules_json FROM scores
+  WHERE profile IS NOT NULL AND job_rowid IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY profile, job_rowid ORDER BY computed_at DESC NULLS LAST, final_score DESC NULLS LAST, semantic_raw DESC NULLS LAST, rules_json DESC NULLS LAST) = 1
+), entries AS (
+  SELECT profile, job_rowid, 'final_score' AS name, final_score AS x FROM last
+  UNION ALL SELECT profile, job_rowid, 'semantic_raw', semantic_raw FROM last
+  UNION ALL SELECT l.profile, l.job_rowid, e.key, TRY_CAST(e.value AS DOUBLE)
+  FROM (SELECT * FROM last WHERE json_valid(rules_json)) l, json_each(l.rules_json, '$.scores') e
+  WHERE e.key NOT IN ('final_score', 'semantic_raw')
+), finite AS (SELECT * FROM entries WHERE x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)),
+mid AS (SELECT profile, name, quantile_disc(x, 0.5) AS m FROM finite GROUP BY ALL),
+dev AS (SELECT profile, name, m, quantile_disc(abs(x - m), 0.5) AS mad, avg(abs(x - m)) AS mean_off FROM finite JOIN mid USING (profile, name) GROUP BY ALL),
+stat AS (SELECT profile, name, m, CASE WHEN mad > 0 THEN mad * 1.4826 WHEN mean_off > 0 THEN mean_off * 1.2533 END AS s FROM dev),
+part AS (
+  SELECT l.profile, l.job_rowid, t.name,
+         ln(greatest(coalesce(1.0 / (1.0 + exp(-(CASE WHEN ends_with(t.name, '_penalty') THEN -1 ELSE 1 END) * (f.x - t.m) / t.s)), 0.5), 1e-9)) AS l
+  FROM last l LEFT JOIN stat t ON l.profile = t.profile
+  LEFT JOIN finite f ON f.profile = l.profile AND f.job_rowid = l.job_rowid AND f.name = t.name
+), fused AS (
+  SELECT profile, job_rowid, coalesce(exp(list_sum(list(l ORDER BY name) FILTER (name IS NOT NULL)) / count(name)), 0.5) AS fused FROM part GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY profile ORDER BY fused DESC, job_rowid) AS position FROM fused
+)
+"""
+P3_FOUND_SQL = _RANKED_SQL + "SELECT profile, job_rowid FROM ranked WHERE position <= 10"
+P3_RANKING_SQL = _RANKED_SQL + "SELECT profile, job_rowid, round(fused, 6) AS fused, position FROM ranked"
 
 QUERIES = {"p3_found": p3_found, "p3_ranking": p3_ranking}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"p3_found": P3_FOUND_SQL, "p3_ranking": P3_RANKING_SQL}

@@ -81,3 +81,31 @@ def test_lists_without_finite_scores(spark):
     got = S.fused_ranking(items(spark, data))
     assert rows(got.where("list_key = 'q'").select("item_id", "fused", "position")) == [(4, 0.5, 1), (5, 0.5, 2), (9, 0.5, 3)]
     assert got.count() == 5
+
+
+def test_exact_medians_in_a_hot_list(spark, monkeypatch):
+    """Exact ranks over range partitions, where sketches of few values are off; ties and repeats included."""
+    import random
+
+    rng = random.Random(5)
+    data = [("hot" if i % 5 else "cold", i, {"a": rng.choice([1.0, 2.0, rng.random()]), "b": rng.gauss(0, 1)}) for i in range(3000)]
+    df = items(spark, data)
+    monkeypatch.setattr(S, "ACCURACY", 10)
+    stats = {r.list_key: r.stats for r in S.robust_statistics(df, exact=True).collect()}
+    for key in ("hot", "cold"):
+        for name in ("a", "b"):
+            values = sorted(s[name] for k, _, s in data if k == key)
+            mid = values[(len(values) - 1) // 2]
+            mad = sorted(abs(v - mid) for v in values)[(len(values) - 1) // 2]
+            assert abs(stats[key][name]["median"] - mid) < 1e-12 and abs(stats[key][name]["scale"] - mad * 1.4826) < 1e-12
+    ranked = S.fused_ranking(df, exact=True).collect()
+    for key in ("hot", "cold"):
+        own = sorted((r for r in ranked if r.list_key == key), key=lambda r: (-r.fused, r.item_id))
+        assert [r.position for r in own] == list(range(1, len(own) + 1))
+
+
+def test_queries_beside_sql(spark, sf_dir):
+    from tests.compare import differences
+
+    for name in ("p3_found", "p3_ranking"):
+        assert differences(spark, sf_dir, name, S.QUERIES[name], S.ORACLE_SQL[name]) is None
