@@ -1,12 +1,18 @@
-"""One surviving record per duplicate group, field by field, by skyline selection.
-
-For every field the records of a group are points in (completeness, trust, recency): completeness is
-0 for an unusable value, 1 for a cut-off one, 2 for a whole one. Within one (completeness, trust)
-cell only the most recent record (then the smallest id) can be undominated, so the group first
-shrinks to one record per cell, with partial aggregation before the shuffle. A group of any size
-thus reaches the second step as at most 3 x (number of trust ranks) points per field. There the Pareto front is
-computed; the lexicographic policy (completeness, trust, recency, smallest id) picks from it, and
-while a front holds no usable value it is removed and the next dominance layer is asked.
+"""One surviving record per duplicate group, by skyline selection over its records.
+
+A record is a point of (completeness, trust, recency): completeness counts its usable values, whole ones
+above cut-off ones. The records of a group are peeled into dominance layers: the first layer holds those that no other
+record matches or beats in all three and beats in one, the second those that only the first
+layer beats, and so on. The lexicographic policy (trust, recency, smallest id) picks the base record
+from the first layer. Its empty fields are filled from the layers in turn: each layer proposes, for
+each field, its best usable value (whole before cut-off, then trust, recency, id), and a later layer's
+proposal stands where no earlier one has any, or where the policy puts it first – a value of a less
+complete record may be the more trusted one.
+
+Before that a group of any size shrinks, with partial aggregation before the shuffle: of the
+records that are usable in the same fields and equally trusted only the most recent one, then
+the smallest id, can survive anywhere, so a group reaches the second step as at most (2 or 3 levels to
+the number of fields) x (number of trust ranks) records.
 
 Edge cases: null group keys are dropped; groups below `min_rows` give nothing; a field without any
 usable value gives no row; null recency counts as the oldest, null or unknown trust as the last rank;
@@ -34,43 +40,57 @@ class SurvivingField:
     usable: Column
     whole: Column | None = None
 
-    @property
-    def levels(self) -> tuple[int, ...]:
-        return (2,) if self.whole is None else (1, 2)
-
     def level(self) -> Column:
+        """0 for an unusable value, 1 for a cut-off one, 2 for a whole one."""
         whole = F.lit(True) if self.whole is None else F.coalesce(self.whole, F.lit(False))
         return F.when(F.coalesce(self.usable, F.lit(False)), F.when(whole, 2).otherwise(1)).otherwise(0)
 
 
 def _dominated(x: Column, rest: Column) -> Column:
+    """Some record of `rest` is as complete, trusted and recent as `x`, and better in one of these."""
     return F.exists(
         rest,
-        lambda y: (y["level"] >= x["level"])
+        lambda y: (y["complete"] >= x["complete"])
         & (y["trust"] <= x["trust"])
         & (y["age"] <= x["age"])
-        & ((y["level"] > x["level"]) | (y["trust"] < x["trust"]) | (y["age"] < x["age"])),
+        & ((y["complete"] > x["complete"]) | (y["trust"] < x["trust"]) | (y["age"] < x["age"])),
     )
 
 
-def _pick(points: Column, depth: int) -> Column:
-    """Peels Pareto fronts off `points` until one has a usable record; returns that record's id."""
-    nothing = F.lit(None).cast("struct<whole:int,trust:int,age:bigint,id:bigint>")
+def dominance_layers(records: Column, kind: str) -> Column:
+    """Array of arrays: the Pareto layers of an array of records (struct type `kind`) with complete, trust, age."""
 
     def peel(state: Column, _: Column) -> Column:
         rest = state["rest"]
         front = F.filter(rest, lambda x: ~_dominated(x, rest))
-        usable = F.filter(front, lambda x: x["level"] > 0)
-        best = F.array_min(F.transform(usable, lambda x: F.struct((-x["level"]).alias("whole"), x["trust"].alias("trust"), x["age"].alias("age"), x["id"].alias("id"))))
         behind = F.filter(rest, lambda x: _dominated(x, rest))
-        return F.struct(behind.alias("rest"), F.coalesce(state["best"], best.cast("struct<whole:int,trust:int,age:bigint,id:bigint>")).alias("best"))
+        return F.when(F.size(rest) == 0, state).otherwise(F.struct(behind.alias("rest"), F.concat(state["layers"], F.array(front)).alias("layers")))
+
+    start = F.struct(records.alias("rest"), F.array().cast(f"array<array<{kind}>>").alias("layers"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(records)), start, peel, lambda s: s["layers"])
+
+
+def _fill(layers: Column, i: int) -> Column:
+    """(order, layer, id) of the survivor of field `i`, proposed by the layers in turn; null without any."""
+    proposal = "struct<poor:int,trust:int,age:bigint,id:bigint>"
+
+    def best(layer: Column) -> Column:
+        usable = F.filter(layer, lambda x: x["levels"][i] > 0)
+        return F.array_min(F.transform(usable, lambda x: F.struct((-x["levels"][i]).alias("poor"), x["trust"].alias("trust"), x["age"].alias("age"), x["id"].alias("id")).cast(proposal)))
 
-    start = F.struct(points.alias("rest"), nothing.alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, peel, lambda s: s["best"]["id"])
+    def next_layer(state: Column, layer: Column) -> Column:
+        own = best(layer)
+        takes = own.isNotNull() & (state["best"].isNull() | (own < state["best"]))
+        n = state["n"] + 1
+        return F.struct(n.alias("n"), F.when(takes, own).otherwise(state["best"]).alias("best"), F.when(takes, n).otherwise(state["layer"]).alias("layer"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast(proposal).alias("best"), F.lit(0).alias("layer"))
+    return F.aggregate(layers, start, next_layer, lambda s: F.when(s["best"].isNotNull(), F.struct(s["layer"].alias("layer"), s["best"]["id"].alias("id"))))
 
 
 def surviving_rows(df: DataFrame, *, group: Column, fields: list[SurvivingField], trust: Column, recency: Column, row_id: Column, min_rows: int = 2) -> DataFrame:
-    """(group_key, field_name, row_id): for each group and field the row whose value survives.
+    """(group_key, field_name, row_id, layer): for each group and field the row whose value survives, and the
+    dominance layer of that row.
 
     `trust` is an integer rank (smallest is best) from a fixed policy list, `recency` a long.
     """
@@ -79,38 +99,31 @@ def surviving_rows(df: DataFrame, *, group: Column, fields: list[SurvivingField]
         F.coalesce(trust, F.lit(1 << 20)).cast("int").alias("trust"),
         (-F.coalesce(recency, F.lit(OLDEST))).alias("age"),
         row_id.cast("long").alias("id"),
-        *(f.level().cast("int").alias(f"level_{i}") for i, f in enumerate(fields)),
+        F.array(*(f.level().cast("int") for f in fields)).alias("levels"),
     ).where(F.col("group_key").isNotNull())
-    point = F.struct("age", "id")
-    cells = base.groupBy("group_key", "trust").agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.min(F.when(F.col(f"level_{i}") == lv, point)).alias(f"f{i}_{lv}") for i, f in enumerate(fields) for lv in (0, *f.levels)),
-    )
-
-    def lattice(i: int, lv: int) -> Column:
-        c = F.col(f"f{i}_{lv}")
-        return F.when(c.isNotNull(), F.struct(F.lit(lv).alias("level"), F.col("trust").alias("trust"), c["age"].alias("age"), c["id"].alias("id")))
-
-    grouped = cells.groupBy("group_key").agg(
-        F.sum("n").alias("n"),
-        *(F.flatten(F.collect_list(F.array_compact(F.array(*(lattice(i, lv) for lv in (0, *f.levels)))))).alias(f"points_{i}") for i, f in enumerate(fields)),
-    ).where(F.col("n") >= min_rows)
-    # layers beyond the third can't be the first with a usable value: unusable is one level only
-    picks = grouped.select("group_key", *(_pick(F.col(f"points_{i}"), 3).alias(f"pick_{i}") for i in range(len(fields))))
-    stacked = F.explode(F.array(*(F.struct(F.lit(f.name).alias("field_name"), F.col(f"pick_{i}").alias("row_id")) for i, f in enumerate(fields))))
-    return picks.select("group_key", stacked.alias("s")).select("group_key", "s.field_name", "s.row_id").where(F.col("row_id").isNotNull())
+    alike = base.groupBy("group_key", "trust", "levels").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("age", "id")).alias("r"))
+    complete = F.aggregate("levels", F.lit(0), lambda s, x: s + x)
+    record = F.struct(complete.alias("complete"), F.col("trust"), F.col("r.age").alias("age"), F.col("r.id").alias("id"), F.col("levels"))
+    grouped = alike.groupBy("group_key").agg(F.sum("n").alias("n"), F.collect_list(record).alias("records")).where(F.col("n") >= min_rows)
+    kind = grouped.schema["records"].dataType.elementType.simpleString()
+    layered = grouped.select("group_key", dominance_layers(F.col("records"), kind).alias("layers"))
+    stacked = F.explode(F.array(*(F.struct(F.lit(f.name).alias("field_name"), _fill(F.col("layers"), i).alias("s")) for i, f in enumerate(fields))))
+    picks = layered.select("group_key", stacked.alias("p")).where(F.col("p.s").isNotNull())
+    return picks.select("group_key", "p.field_name", F.col("p.s.id").alias("row_id"), F.col("p.s.layer").alias("layer"))
 
 
 def built_records(df: DataFrame, picks: DataFrame, *, row_id: str, values: dict[str, str]) -> DataFrame:
-    """One row per group: every field's surviving value, and the id of the row it comes from.
+    """One row per group: every field's surviving value, the id of the row it comes from, and that row's layer.
 
     `values` maps field names (as in `picks`) to columns of `df`.
     """
     source = df.select(F.col(row_id).cast("long").alias("row_id"), *(F.col(c).alias(f"v_{i}") for i, c in enumerate(values.values())))
     joined = picks.join(source, "row_id")
+    of = lambda name, c: F.min(F.when(F.col("field_name") == name, F.col(c)))
     return joined.groupBy("group_key").agg(
-        *(F.min(F.when(F.col("field_name") == name, F.col(f"v_{i}"))).alias(name) for i, name in enumerate(values)),
-        *(F.min(F.when(F.col("field_name") == name, F.col("row_id"))).alias(f"{name}_from") for name in values),
+        *(of(name, f"v_{i}").alias(name) for i, name in enumerate(values)),
+        *(of(name, "row_id").alias(f"{name}_from") for name in values),
+        *(of(name, "layer").alias(f"{name}_layer") for name in values),
     )
 
 
@@ -165,13 +178,14 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving record of each cluster, built from the surviving fields, with their origins."""
     jobs = texts(spark, sf_dir, "jobs", *JOB_COLUMNS)
     names = [f.name for f in job_fields()]
-    return built_records(jobs, _job_picks(jobs), row_id="id", values={n: n for n in names}).withColumnRenamed("group_key", "cluster_id")
+    built = built_records(jobs, _job_picks(jobs), row_id="id", values={n: n for n in names})
+    return built.select(F.col("group_key").alias("cluster_id"), *names, *(f"{n}_from" for n in names))
 
 
 _STAND_INS_SQL = ", ".join("'" + s + "'" for s in STAND_INS)
 _USABLE_SQL = "{c} IS NOT NULL AND trim({c}, ' \t\n\r') <> '' AND lower(trim({c}, ' \t\n\r')) NOT IN (" + _STAND_INS_SQL + ")"
 
-P2_FOUND_SQL = f"""
+_PICKS_SQL = f"""
 WITH j AS (
   SELECT *, CASE regexp_replace(lower(portal), '[^a-z]', '', 'g')
               WHEN 'jobroom' THEN 0 WHEN 'myjob' THEN 1 WHEN 'ostjob' THEN 2 WHEN 'zentraljob' THEN 3 ELSE 9 END AS trust,
@@ -187,10 +201,20 @@ WITH j AS (
   UNION ALL SELECT cluster_id, 'expires_at', id, trust, last_seen_at, n, 0 FROM j WHERE year(expires_at) BETWEEN 1901 AND 9998
   UNION ALL SELECT cluster_id, 'apply_url', id, trust, last_seen_at, n, 0 FROM j WHERE {_USABLE_SQL.format(c='apply_url')}
 )
-SELECT cluster_id, field_name, id AS job_id
-FROM f WHERE n >= 2
-QUALIFY row_number() OVER (PARTITION BY cluster_id, field_name ORDER BY cut, trust, last_seen_at DESC NULLS LAST, id) = 1
+, picks AS (
+  SELECT cluster_id, field_name, id AS job_id FROM f WHERE n >= 2
+  QUALIFY row_number() OVER (PARTITION BY cluster_id, field_name ORDER BY cut, trust, last_seen_at DESC NULLS LAST, id) = 1
+)
 """
+P2_FOUND_SQL = _PICKS_SQL + "SELECT cluster_id, field_name, job_id FROM picks"
+
+_BUILT = ["description_md", "postal_code", "workload_max", "expires_at", "apply_url"]
+P2_RECORDS_SQL = (
+    _PICKS_SQL
+    + "SELECT p.cluster_id, "
+    + ", ".join(f"max(CASE WHEN field_name = '{c}' THEN r.{c} END) AS {c}, max(CASE WHEN field_name = '{c}' THEN job_id END) AS {c}_from" for c in _BUILT)
+    + " FROM picks p JOIN jobs r ON r.id = p.job_id GROUP BY p.cluster_id"
+)
 
 QUERIES = {"p2_found": p2_found, "p2_records": p2_records}
-ORACLE_SQL = {"p2_found": P2_FOUND_SQL}
+ORACLE_SQL = {"p2_found": P2_FOUND_SQL, "p2_records": P2_RECORDS_SQL}
