@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from gleaner.session import cut
 
 
+def _checksum(edges: DataFrame) -> tuple:
+    """Number of edges and two sums of their hashes: equal for equal sets, in one aggregation."""
+    h = F.xxhash64("u", "v")
+    low, high = F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))
+    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(low), F.lit(0)), F.coalesce(F.sum(high), F.lit(0))).first())
+
+
 def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """links(a, b) → (node, component): the smallest node each node can reach.
 
@@ -18,6 +25,7 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     empty result; self links and repeated links change nothing.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    mark = _checksum(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -27,9 +35,9 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         after = cut(small.where("u > v").distinct())
-        changed = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        now = _checksum(after)
+        settled, edges, mark = now == mark, after, now
+        if settled:
             nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -6,17 +6,24 @@ J being the Jaccard similarity of the shingle sets, so pairs of similarity `thre
 within an error budget that is known for every depth d of the trie: the expected number of differing
 bits plus `SIGMAS` standard deviations. Per pair the chance to be lost is below one in a million.
 
-* Copies (equal block and shingle set) first collapse to one representative, with partial aggregation
+* Copies (equal block and shingle set) collapse to one representative. Blocks of at most `split_rows` rows
+  are shuffled once, by block, and collapse in their task; in larger (hot) blocks copies are aggregated
   before the shuffle, so that a group of copies of any size is one signature.
-* Blocks with more than `split_rows` representatives are split by trie prefix into parts, and each pair
-  of parts becomes a group of its own: no group exceeds 2 x split_rows, and no partner is dropped.
-* Within a group the trie is traversed by pairs of nodes: differing bits accumulate from the root, a
-  pair of nodes is pruned as soon as the budget of its depth is exceeded, and small nodes are
-  compared leaf by leaf (64, 128, then 256 bits). Survivors are compared exactly.
+* The representatives of a hot block are ranked by signature (range partitions, no task holds the block)
+  and cut into parts of `split_rows`: each part is an interval of trie nodes. Two parts whose common
+  prefixes differ beyond the budget are pruned as a pair of nodes; every other pair of parts is a
+  group of its own: no group exceeds 2 x split_rows, and no partner is dropped.
+* Within a task the trie is traversed level by level by pairs of nodes, those of all groups at once:
+  differing bits accumulate from the root, a pair of nodes is pruned as soon as the budget of its depth
+  is exceeded, and a path that has come down to one signature on either side is compared to its end.
+  Survivors are compared exactly, by the 64-bit hashes of all their shingles.
+
+`near_duplicates` gives links between representatives and the membership of all records; `pairs` expands
+copies and is for those who need every pair.
 
 Edge cases: null or blank company or title keys and texts below `min_words` words have no partners;
 repeated ids are one record; ties don't matter; an empty table gives empty results; further columns
-are ignored. Very long texts are processed whole.
+are ignored. Very long texts are processed whole. Null ids are left out.
 """
 
 from __future__ import annotations
@@ -33,11 +40,12 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.components import connected_components
 from gleaner.llm.markup import plain_words
+from gleaner.operators.ranking import ranked_within
 from gleaner.session import at_most, cut, texts
 
 BITS = 256
 SIGMAS = 5.5
-LEAF = 64
+WIDE = 1 << 18
 _LETTERS = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20240607)
 _MULTIPLIERS = (_RNG.integers(1, 1 << 63, BITS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -74,54 +82,82 @@ def budget(depth: int, threshold: float) -> int:
     return min(depth, math.floor(p * depth + SIGMAS * math.sqrt(p * (1 - p) * depth)))
 
 
-def trie_join(left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of signatures within the error budget; `right` None joins `left` with itself (i < j)."""
-    own = right is None
-    order_l = np.lexsort(left.T[::-1])
-    order_r = order_l if own else np.lexsort(right.T[::-1])
-    a, b = left[order_l], left[order_l] if own else right[order_r]
-    budgets = [budget(d, threshold) for d in range(BITS + 1)]
-    found_i: list[np.ndarray] = []
-    found_j: list[np.ndarray] = []
-
-    def leaf(l0: int, l1: int, r0: int, r1: int) -> None:
-        if own and l0 == r0:
-            i, j = np.triu_indices(l1 - l0, 1)
-            i, j = i + l0, j + r0
-        else:
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(l0, l1), np.arange(r0, r1), indexing="ij"))
-        errors = np.zeros(len(i), np.int64)
-        for w in range(BITS // 64):
-            errors += np.bitwise_count(a[i, w] ^ b[j, w])
-            keep = errors <= budgets[64 * (w + 1)]
-            i, j, errors = i[keep], j[keep], errors[keep]
-            if not len(i):
-                return
-        found_i.append(order_l[i])
-        found_j.append(order_r[j])
-
-    def split(words: np.ndarray, lo: int, hi: int, depth: int) -> int:
-        """First row in [lo, hi) whose bit at `depth` is 1; the rows are sorted."""
-        bit = (words[lo:hi, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
-        return lo + int(np.searchsorted(bit, 1))
-
-    stack = [(0, len(a), 0, len(b), 0, 0)]
+def trie_pairs(words: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows within the error budget, for every (l0, l1, r0, r1) of `nodes`: rows [l0, l1) with
+    rows [r0, r1), both sorted by signature; equal ranges are joined with themselves (i < j).
+
+    All pairs of nodes go down the trie together; a frontier of more than `WIDE` is cut and its halves go on
+    one after the other.
+    """
+    budgets = np.array([budget(d, threshold) for d in range(BITS + 1)])
+    ones: dict[int, np.ndarray] = {}
+
+    def ones_before(depth: int) -> np.ndarray:
+        if depth not in ones:
+            if len(ones) * len(words) > 4_000_000:
+                ones.clear()
+            bits = (words[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
+            ones[depth] = np.concatenate(([0], np.cumsum(bits.astype(np.int32))))
+        return ones[depth]
+
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    stack = [(0, np.asarray(nodes, np.int64).reshape(-1, 4), np.zeros(len(nodes), np.int64))]
     while stack:
-        l0, l1, r0, r1, depth, errors = stack.pop()
-        if l0 >= l1 or r0 >= r1 or errors > budgets[depth]:
+        depth, n, errors = stack.pop()
+        l0, l1, r0, r1 = n.T
+        own = (l0 == r0) & (l1 == r1)
+        leaf = ((l1 - l0) * (r1 - r0) == 1) & ~own
+        if leaf.any():
+            found.append((l0[leaf], r0[leaf]))
+        on = ~leaf & ~(own & (l1 - l0 < 2))
+        n, errors, own = n[on], errors[on], own[on]
+        if not len(n):
             continue
-        if depth == BITS or (l1 - l0) * (r1 - r0) <= LEAF * LEAF:
-            leaf(l0, l1, r0, r1)
+        if len(n) > WIDE:
+            half = len(n) // 2
+            stack += [(depth, n[:half], errors[:half]), (depth, n[half:], errors[half:])]
             continue
-        lm, rm = split(a, l0, l1, depth), split(b, r0, r1, depth)
-        stack.append((l0, lm, r0, rm, depth + 1, errors))
-        stack.append((lm, l1, rm, r1, depth + 1, errors))
-        stack.append((l0, lm, rm, r1, depth + 1, errors + 1))
-        if not (own and l0 == r0):  # within one node the mirrored pair of children is the same pair
-            stack.append((lm, l1, r0, rm, depth + 1, errors + 1))
-    if not found_i:
+        if depth == BITS:  # equal signatures on either side
+            for (a, b, c, d), mine in zip(n.tolist(), own.tolist()):
+                i, j = (x + a for x in np.triu_indices(b - a, 1)) if mine else (x.ravel() for x in np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij"))
+                found.append((i, j))
+            continue
+        before = ones_before(depth)
+        l0, l1, r0, r1 = n.T
+        lm, rm = l1 - (before[l1] - before[l0]), r1 - (before[r1] - before[r0])
+        # within one node the mirrored pair of children is the same pair
+        other = ~own
+        children = np.concatenate((np.stack((l0, lm, r0, rm), 1), np.stack((lm, l1, rm, r1), 1), np.stack((l0, lm, rm, r1), 1), np.stack((lm, l1, r0, rm), 1)[other]))
+        differing = np.concatenate((errors, errors, errors + 1, errors[other] + 1))
+        alive = (children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3]) & (differing <= budgets[depth + 1])
+        stack.append((depth + 1, children[alive], differing[alive]))
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_i), np.concatenate(found_j)
+    i, j = (np.concatenate(x) for x in zip(*found))
+    # the rest of the paths of single signatures
+    errors = np.zeros(len(i), np.int64)
+    for w in range(BITS // 64):
+        errors += np.bitwise_count(words[i, w] ^ words[j, w])
+        keep = errors <= budgets[64 * (w + 1)]
+        i, j, errors = i[keep], j[keep], errors[keep]
+    return i, j
+
+
+def trie_join(left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of signatures within the error budget; `right` None joins `left` with itself."""
+    orders = [np.lexsort(x.T[::-1]) for x in ((left,) if right is None else (left, right))]
+    words = np.concatenate([x[o] for x, o in zip((left, right), orders)])
+    n = len(left)
+    i, j = trie_pairs(words, np.array([(0, n, 0, n) if right is None else (0, n, n, len(words))]), threshold)
+    return orders[0][i], orders[-1][j if right is None else j - n]
+
+
+def parts_may_meet(low_a: bytes, high_a: bytes, low_b: bytes, high_b: bytes, threshold: float) -> bool:
+    """Whether two intervals of signatures can hold a pair within the budget, by the prefix each has in common."""
+    at = [int.from_bytes(x, "big") for x in (low_a, high_a, low_b, high_b)]
+    common = BITS - max((at[0] ^ at[1]).bit_length(), (at[2] ^ at[3]).bit_length())
+    differing = (at[0] ^ at[2]) >> (BITS - common)
+    return all((differing >> (common - d)).bit_count() <= budget(d, threshold) for d in range(1, common + 1))
 
 
 _FEATURES = "id long, block long, class long, n int, signature binary, shingles binary"
@@ -156,7 +192,6 @@ def _features_of(pdf: pd.DataFrame, known: dict[str, int], shingle: int, min_wor
     if not ids:
         return pd.DataFrame({c: [] for c in ("id", "block", "class", "n", "signature", "shingles")})
     packed = signatures(sets)
-    short = [(s >> np.uint64(32)).astype(np.uint32) for s in sets]  # sorted as the sets are
     return pd.DataFrame(
         {
             "id": ids,
@@ -164,7 +199,7 @@ def _features_of(pdf: pd.DataFrame, known: dict[str, int], shingle: int, min_wor
             "class": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
             "n": [len(s) for s in sets],
             "signature": [row.tobytes() for row in packed.byteswap()],  # the first bytes hold the first bits
-            "shingles": [s.tobytes() for s in short],
+            "shingles": [s.tobytes() for s in sets],
         }
     )
 
@@ -183,7 +218,8 @@ def _join_groups(threshold: float):
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             keys = pdf[["block", "pa", "pb"]].to_numpy()
-            last = int(np.flatnonzero((keys[:-1] != keys[-1]).any(axis=1))[-1]) + 1 if (keys[:-1] != keys[-1]).any() else 0
+            changes = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
+            last = int(changes[-1]) + 1 if len(changes) else 0
             rest = pdf.iloc[last:]
             if last:
                 yield _pairs_of(pdf.iloc[:last], keys[:last], threshold)
@@ -194,68 +230,103 @@ def _join_groups(threshold: float):
 
 
 def _pairs_of(pdf: pd.DataFrame, keys: np.ndarray, threshold: float) -> pd.DataFrame:
-    edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
-    ids, parts, counts = pdf["id"].to_numpy(), pdf["part"].to_numpy(), pdf["n"].to_numpy()
-    words = np.frombuffer(b"".join(pdf["signature"]), ">u8").astype(np.uint64).reshape(len(pdf), -1)
+    """Links within each run of equal keys; copies within a run collapse to the smallest id first."""
+    group = np.r_[0, np.cumsum((keys[1:] != keys[:-1]).any(axis=1))]
+    ids, part, kind, counts = (pdf[c].to_numpy() for c in ("id", "part", "class", "n"))
+    order = np.lexsort((ids, kind, group))
+    first = order[np.r_[True, (group[order][1:] != group[order][:-1]) | (kind[order][1:] != kind[order][:-1])]]
+    size = np.bincount(group[first], minlength=group[-1] + 1)
+    first = first[size[group[first]] > 1]  # nothing to compare with
+    if not len(first):
+        return pd.DataFrame({"rep_a": [], "rep_b": [], "similarity": []})
+    signatures_ = pdf["signature"].to_numpy()[first]
+    words = np.frombuffer(b"".join(signatures_), ">u8").astype(np.uint64).reshape(len(first), -1)
+    order = np.lexsort((*words.T[::-1], part[first], group[first]))
+    first, words = first[order], words[order]
+    g, p = group[first], part[first]
+    edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+    nodes = []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        mid = lo + int(np.searchsorted(p[lo:hi], p[lo], side="right"))
+        if mid < hi:
+            nodes.append((lo, mid, mid, hi))
+        elif keys[first[lo], 1] == keys[first[lo], 2]:
+            nodes.append((lo, hi, lo, hi))
+    i, j = trie_pairs(words, np.array(nodes, np.int64).reshape(-1, 4), threshold)
+    i, j = first[i], first[j]
+    small, large = np.minimum(counts[i], counts[j]), np.maximum(counts[i], counts[j])
+    near = small >= threshold * large
     shingles = pdf["shingles"].to_numpy()
     cache: dict[int, np.ndarray] = {}
 
     def at(k: int) -> np.ndarray:
         if k not in cache:
-            cache[k] = np.frombuffer(shingles[k], np.uint32)
+            cache[k] = np.frombuffer(shingles[k], np.uint64)
         return cache[k]
 
     out = []
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        if hi - lo < 2:
-            continue
-        pa, pb = keys[lo, 1], keys[lo, 2]
-        if pa == pb:
-            i, j = trie_join(words[lo:hi], None, threshold)
-            i, j = i + lo, j + lo
-        else:
-            left, right = lo + np.flatnonzero(parts[lo:hi] == pa), lo + np.flatnonzero(parts[lo:hi] == pb)
-            if not len(left) or not len(right):
-                continue
-            i, j = trie_join(words[left], words[right], threshold)
-            i, j = left[i], right[j]
-        small, large = np.minimum(counts[i], counts[j]), np.maximum(counts[i], counts[j])
-        near = small >= threshold * large
-        for x, y in zip(i[near], j[near]):
-            s = _jaccard(at(int(x)), at(int(y)))
-            if s >= threshold:
-                out.append((min(ids[x], ids[y]), max(ids[x], ids[y]), s))
-        cache.clear()
+    for x, y in zip(i[near].tolist(), j[near].tolist()):
+        s = _jaccard(at(x), at(y))
+        if s >= threshold:
+            out.append((min(ids[x], ids[y]), max(ids[x], ids[y]), s))
     return pd.DataFrame(out, columns=["rep_a", "rep_b", "similarity"])
 
 
+_GROUP = ["block", "pa", "pb"]
+_SHIPPED = [*_GROUP, "part", "class", "id", "n", "signature", "shingles"]
+
+
+def hot_parts(classes: DataFrame, split_rows: int) -> DataFrame:
+    """classes(block, id, signature, …) → with `part`: intervals of `split_rows` signatures of each block."""
+    ranked = ranked_within(classes, ["block"], [F.col("signature"), F.col("id")])
+    return ranked.withColumn("part", F.floor((F.col("position") - 1) / F.lit(split_rows)).cast("int")).drop("position")
+
+
+def part_pairs(placed: DataFrame, threshold: float) -> DataFrame:
+    """(block, pa, pb): the pairs of parts, and each part with itself, that the trie does not prune.
+
+    There is one part for `split_rows` representatives of a hot block.
+    """
+    ends = cut(placed.groupBy("block", "part").agg(F.min("signature").alias("low"), F.max("signature").alias("high")))
+    a = ends.select("block", F.col("part").alias("pa"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    b = ends.select("block", F.col("part").alias("pb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kept = [x == y or parts_may_meet(la, ha, lb, hb, threshold) for x, y, la, ha, lb, hb in zip(pdf["pa"], pdf["pb"], pdf["la"], pdf["ha"], pdf["lb"], pdf["hb"])]
+            yield pdf.loc[kept, ["block", "pa", "pb"]]
+
+    return a.join(b, "block").where("pa <= pb").mapInPandas(prune, "block long, pa int, pb int")
+
+
 def near_duplicates(df: DataFrame, *, threshold: float = 0.8, shingle: int = 5, min_words: int = 1, split_rows: int = 4096, max_hot_blocks: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """df(id, block long, text) → (links, members).
 
     links(rep_a, rep_b, similarity): every pair of class representatives at or above `threshold`
     in one block. members(id, block, rep, copies): the class of every record that has features.
     """
-    rows = cut(features(df.where(F.col("block").isNotNull() & (F.length("text") > 0)).select("id", "block", "text"), shingle=shingle, min_words=min_words))
-    classes = rows.groupBy("block", "class").agg(
-        F.min("id").alias("id"),
-        F.count(F.lit(1)).alias("copies"),
-        F.min("n").alias("n"),
-        F.min("signature").alias("signature"),
-        F.min("shingles").alias("shingles"),
-    )
-    sizes = rows.groupBy("block", "class").agg(F.lit(1).alias("one")).groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    hot = sizes.where(F.col("size") > split_rows).select("block", F.ceil(F.col("size") / split_rows).cast("int").alias("parts"))
-    hot = cut(hot)
-    placed = classes.join(F.broadcast(hot) if at_most(hot, max_hot_blocks) else hot, "block", "left")
-    # the part is the trie node of the signature's leading 32 bits, cut evenly into `parts` ranges
-    lead = F.conv(F.hex(F.substring("signature", 1, 4)), 16, 10).cast("long")
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.floor(lead * F.col("parts") / F.lit(1 << 32)).cast("int"))
-    placed = placed.withColumn("part", part)
-    mates = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
-    spread = placed.withColumn("mate", mates).withColumn("pa", F.least("part", "mate")).withColumn("pb", F.greatest("part", "mate"))
-    spread = spread.select("block", "pa", "pb", "part", "id", "n", "signature", "shingles").repartition("block", "pa", "pb").sortWithinPartitions("block", "pa", "pb")
-    links = spread.mapInPandas(_join_groups(threshold), "rep_a long, rep_b long, similarity double")
-    reps = classes.select("block", "class", F.col("id").alias("rep"), "copies")
+    usable = df.where(F.col("id").isNotNull() & F.col("block").isNotNull() & (F.length("text") > 0))
+    rows = cut(features(usable.select("id", "block", "text"), shingle=shingle, min_words=min_words))
+    hot = cut(rows.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > split_rows).select("block"))
+    schema = "rep_a long, rep_b long, similarity double"
+    whole = lambda d: d.select("block", F.lit(0).alias("pa"), F.lit(0).alias("pb"), F.lit(0).alias("part"), *_SHIPPED[4:])
+    if at_most(hot, 0):
+        cool = whole(rows)
+        links = None
+    else:
+        marked = F.broadcast(hot) if at_most(hot, max_hot_blocks) else hot
+        cool = whole(rows.join(marked, "block", "left_anti"))
+        classes = rows.join(marked, "block", "left_semi").groupBy("block", "class").agg(
+            F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature"), F.min("shingles").alias("shingles")
+        )
+        placed = cut(hot_parts(classes, split_rows))
+        meeting = cut(part_pairs(placed, threshold))
+        mates = meeting.select("block", F.explode(F.array_distinct(F.array("pa", "pb"))).alias("part"), "pa", "pb")
+        spread = placed.join(mates, ["block", "part"]).select(*_SHIPPED).repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+        links = spread.mapInPandas(_join_groups(threshold), schema)
+    cool_links = cool.repartition("block").sortWithinPartitions("block").mapInPandas(_join_groups(threshold), schema)
+    links = cool_links if links is None else cool_links.unionByName(links)
+    reps = rows.groupBy("block", "class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = rows.select("id", "block", "class").join(reps, ["block", "class"]).select("id", "block", "rep", "copies")
     return links, members
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gleaner.llm import near_duplicates as N
@@ -47,6 +48,65 @@ def test_trie_finds_what_the_budget_allows():
     assert {(x, x + 700) for x in range(50)} <= {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
 
 
+def flipped(rng, base, n, most):
+    """`n` signatures of 32 bytes, each up to `most` bits from one of the rows of `base`."""
+    out = base[rng.integers(0, len(base), n)].copy()
+    for i in range(n):
+        for f in rng.integers(0, 256, rng.integers(0, most + 1)):
+            out[i, f // 64] ^= np.uint64(1) << np.uint64(63 - f % 64)
+    return out
+
+
+def test_trie_walks_many_groups_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    words, nodes, want = [], [], set()
+    for size in (2, 3, 40, 150, 1, 64, 2):
+        lo = sum(map(len, words))
+        w = flipped(rng, rng.integers(0, 1 << 63, (max(1, size // 8), 4), dtype=np.uint64), size, 70)
+        w = w[np.lexsort(w.T[::-1])]
+        words.append(w)
+        nodes.append((lo, lo + size, lo, lo + size))
+        for i in range(size):
+            for j in range(i + 1, size):
+                bits = [format(int(x ^ y), "064b") for x, y in zip(w[i], w[j])]
+                if all("".join(bits)[:d].count("1") <= N.budget(d, 0.6) for d in (64, 128, 192, 256)):
+                    want.add((lo + i, lo + j))
+    for wide in (N.WIDE, 7):
+        monkeypatch.setattr(N, "WIDE", wide)
+        i, j = N.trie_pairs(np.concatenate(words), np.array(nodes), 0.6)
+        got = set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+        assert len(got) == len(i) and got <= want and len(want - got) <= 0.005 * len(want)
+
+
+def test_hot_blocks_are_split_evenly(spark):
+    """50,000 signatures that share most of their leading bits: no part exceeds the bound, none is lost."""
+    rng = np.random.default_rng(5)
+    sig = flipped(rng, rng.integers(0, 1 << 63, (2, 4), dtype=np.uint64), 50_000, 12).byteswap()
+    pdf = pd.DataFrame({"block": 1, "id": range(50_000), "signature": [r.tobytes() for r in sig]})
+    placed = N.cut(N.hot_parts(spark.createDataFrame(pdf, "block long, id long, signature binary"), 4096))
+    sizes = placed.groupBy("part").count().collect()
+    assert max(r["count"] for r in sizes) <= 4096 and sum(r["count"] for r in sizes) == 50_000 and len(sizes) == 13
+    pairs = {(r.pa, r.pb) for r in N.part_pairs(placed, 0.9).collect()}
+    assert {(k, k) for k in range(13)} <= pairs and len(pairs) < 13 * 14 / 2  # the two clusters don't meet
+
+
+def test_pruned_parts_hold_no_pair():
+    rng = np.random.default_rng(6)
+    sig = sorted(r.tobytes() for r in flipped(rng, rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64), 400, 30).byteswap())
+    parts = [sig[k : k + 20] for k in range(0, 400, 20)]
+    budgets = [N.budget(d, 0.8) for d in range(257)]
+    pruned = 0
+    for x in range(len(parts)):
+        for y in range(x + 1, len(parts)):
+            if not N.parts_may_meet(parts[x][0], parts[x][-1], parts[y][0], parts[y][-1], 0.8):
+                pruned += 1
+                for a in parts[x]:
+                    for b in parts[y]:
+                        bits = format(int.from_bytes(a, "big") ^ int.from_bytes(b, "big"), "0256b")
+                        assert any(bits[:d].count("1") > budgets[d] for d in range(257))
+    assert pruned
+
+
 def test_against_brute_force(spark):
     data = corpus(260)
     df = spark.createDataFrame(data, "id long, block long, text string")
