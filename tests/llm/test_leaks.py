@@ -52,3 +52,24 @@ def test_long_text_and_empty(spark):
     assert long[run[1] : run[2]] in long and run[1] >= 1_000_000 - 5
     d, i = frames(spark, docs, items)
     assert L.leaks(d, i.limit(0)).count() == 0 and L.leaks(d.limit(0), i).count() == 0
+
+
+def test_scan_is_linear():
+    import time
+
+    words = [f"w{i % 997}x{i}" for i in range(24_000)]
+    took = []
+    for n in (6_000, 24_000):
+        scanner = L.LeakScanner([(1, " ".join(words[:n]))])
+        text = " ".join(words[:n])
+        began = time.perf_counter()
+        (run,) = scanner.scan(text)
+        took.append(time.perf_counter() - began)
+        assert run == (1, 0, len(text), n)
+    assert took[1] < 12 * took[0]
+
+
+def test_query_beside_sql(spark, sf_dir):
+    from tests.compare import differences
+
+    assert differences(spark, sf_dir, "p9_found", L.p9_found, L.P9_FOUND_SQL) is None
