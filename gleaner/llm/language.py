@@ -3,18 +3,21 @@
 Every language has a codeword; each bit of the code splits the languages in two and is predicted by a
 binary naive Bayes classifier on character 3- and 4-grams (hashed). A text gets the language whose
 codeword has the least loss, log(1 + exp(-bit x margin)), the bits weighted by their accuracy on the
-training rows. The confidence is the softmax of the losses; a decision below `sure`, or one
-whose two best codewords are nearly as far, is flagged as ambiguous.
+training rows. The confidence is the softmax of the losses. A decision is flagged as ambiguous below `sure`, and
+where the signs of its bits are no nearer to the language's codeword than to another one.
 
-Training rows come from the labelled rows themselves: at most `per_language` of each label (a
-documented bound; those with the smallest hash of the id), whose labels may be partly wrong: after a first
-fit the rows that the model contradicts are left out and it is fitted again. A few words of each
+Training rows come from the labelled rows themselves: at most `per_language` of each label with 80 to
+`max_chars` characters (documented bounds; whole texts, those with the smallest hash of the id among twice as
+many), whose labels may be partly wrong: after a first fit the rows that the model contradicts are left
+out and it is fitted again. The choice reads ids and labels only. A few words of each
 language are always among them, so that an empty table still gives a model.
 
 Texts lose their markup and code and are cut into sentences and list items. Every cut is scored; the main
 language is that of the whole text, and a passage is a run of at least `min_units` neighbouring
 cuts that are sure to be in one other language, as is their sum.
 
+A run of at least twice as many items, too short each, counts where it has words enough and its sum is sure.
+
 Edge cases: null, blank and letterless texts have no language (null, confidence 0) and no passages;
 a single foreign sentence, slogan or word is no passage; labels that name no known language count as
 missing; repeated rows are treated alike; empty tables give empty results; very long texts are
@@ -156,6 +159,12 @@ def units(text: str) -> list[str]:
     return [u for u in (_MARKS.sub(" ", s).strip() for s in _CUT.split(t)) if u]
 
 
+def tied(margins: np.ndarray, main: int) -> bool:
+    """Whether the bits, by their signs, agree with another codeword as often as with that of `main`."""
+    agreeing = (np.sign(margins)[None, :] == CODE).sum(axis=1)
+    return bool((np.delete(agreeing, main) >= agreeing[main]).any())
+
+
 def label_texts(texts: list[str | None], model: LanguageModel, *, sure: float = 0.8, min_units: int = 2, min_words: int = 4) -> list[tuple]:
     """(language, confidence, ambiguous, passages) of each text; passages are (language, confidence, units, text)."""
     cuts = [units(t) if t and not t.isspace() else [] for t in texts]
@@ -173,7 +182,7 @@ def label_texts(texts: list[str | None], model: LanguageModel, *, sure: float =
         own = model.decode(total)[0]
         main = int(own.argmax())
         passages = _passages(c, margins[lo:at], probabilities[lo:at], best[lo:at], main, model, sure, min_units, min_words)
-        out.append((LANGUAGES[main], float(own[main]), bool(own[main] < sure), passages))
+        out.append((LANGUAGES[main], float(own[main]), bool(own[main] < sure) or tied(total[0], main), passages))
     return out
 
 
@@ -195,6 +204,12 @@ def _passages(cut: list[str], margins: np.ndarray, probabilities: np.ndarray, be
                 break
             j += 1
         full = [m for m in members if probabilities[m, k] >= sure and len(_WORDS.findall(cut[m])) >= min_words]
+        if len(full) < min_units:
+            # items too short to be sure each may be so together, if there are enough words
+            short = [m for m in members if len(_WORDS.findall(cut[m])) < min_words]
+            words = sum(len(_WORDS.findall(cut[m])) for m in members)
+            if len(short) + len(full) >= 2 * min_units and words >= 2 * min_units * min_words:
+                full = members
         if len(full) >= min_units:
             p = model.decode(margins[members].sum(axis=0, keepdims=True))[0]
             if int(p.argmax()) == k and p[k] >= sure:
@@ -212,16 +227,22 @@ def known_label(label: Column) -> Column:
     return out
 
 
-def train(rows: DataFrame, *, per_language: int = 400) -> LanguageModel:
+def train(rows: DataFrame, *, per_language: int = 400, max_chars: int = 20_000) -> LanguageModel:
     """A model from rows(id, label, text), label one of LANGUAGES or null.
 
-    At most `per_language` rows of each label reach the driver.
+    At most `per_language` rows of each label reach the driver, none longer than `max_chars`. The labels of an
+    id that is there several times are each used.
     """
-    narrow = rows.where(F.col("label").isNotNull() & (F.length("text") >= 80)).select("id", "label", F.xxhash64("id").alias("h"))
+    labelled = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull()).select("id", "label").distinct()
     order = Window.partitionBy("label").orderBy("h", "id")
-    chosen = [r.id for r in narrow.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id").collect()]
-    picked = rows.where(F.col("id").isin(chosen)).select("id", "label", "text").limit(2 * len(chosen)).collect() if chosen else []
-    picked = sorted({(r.id, r.label, r.text) for r in picked if r.label})
+    first = labelled.withColumn("h", F.xxhash64("id")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2 * per_language)
+    chosen = [r.id for r in first.select("id").distinct().collect()]
+    if not chosen:
+        return fit([], [])
+    fitting = rows.where(F.col("id").isin(chosen) & F.col("label").isNotNull() & F.length("text").between(80, max_chars))
+    texts_ = fitting.groupBy("label", "id").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("id"))
+    picked = texts_.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "label", "text").collect()
+    picked = sorted((r.id, r.label, r.text) for r in picked)
     return fit([" ".join(units(t)) for _, _, t in picked], [LANGUAGES.index(k) for _, k, _ in picked])
 
 
@@ -254,9 +275,21 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.select("id", known_label(F.col("description_language")).alias("label"), F.col("description_md").alias("text"))
 
 
+_models: dict[tuple, LanguageModel] = {}
+
+
+def _model(spark: SparkSession, sf_dir: str, jobs: DataFrame) -> LanguageModel:
+    """Fitted once for the files of a folder: the queries on a table share it within a session."""
+    key = (spark.sparkContext.applicationId, tuple(sorted(jobs.inputFiles())))
+    if key not in _models:
+        _models.clear()
+        _models[key] = train(jobs)
+    return _models[key]
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = _jobs(spark, sf_dir)
-    model = train(jobs)
+    model = _model(spark, sf_dir, jobs)
     # the label rides along in the key, which spares a join
     keyed = jobs.select(F.struct("id", "label").alias("k"), "text")
     found = languages_of(keyed, model, key="k", text="text")

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +64,11 @@ def token_counts(df: DataFrame, *, doc: tuple[str, str] = ("doc_id", "text"), to
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     source = df.select(F.col(doc[0]).cast("long").alias("doc_id"), F.coalesce(F.col(doc[1]), F.lit("")).alias("text"))
 
+    df.sparkSession.sparkContext.addFile(tokenizer)  # shipped, so that workers need no file of their own
+    name = os.path.basename(tokenizer)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(tokenizer)
+        encode = _encoder(SparkFiles.get(name))
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": encode(list(pdf["text"]))})
 

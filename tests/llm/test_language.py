@@ -69,3 +69,29 @@ def test_query(spark, sf_dir):
     labels = L.p6_labels(spark, sf_dir).where("label IS NOT NULL AND lang IS NOT NULL")
     agree = labels.where("label = lang").count() / labels.count()
     assert agree > 0.85
+
+
+def test_ties_are_flagged():
+    bits = L.CODE[0].copy()
+    assert not L.tied(bits, 0)
+    bits[L.CODE[0] != L.CODE[1]] = 0.0  # nothing speaks for the one or the other
+    assert L.tied(bits, 0)
+
+
+def test_lists_of_short_items():
+    model = L.fit([], [])
+    german = "Wir suchen für die Abteilung eine Person, die mit uns und für die Kunden arbeitet und nicht nur eine Aufgabe haben will.\n"
+    short = "- le service des soins\n- dans les ateliers\n- pour nos clients\n- avec vous\n- les plus belles\n- sur la route\n- et votre ville\n- par les rues\n"
+    (done,) = L.label_texts([german * 6 + short], model)
+    assert done[0] == "de" and [p[0] for p in done[3]] == ["fr"]
+    (done,) = L.label_texts([german * 6 + "- avec vous\n"], model)
+    assert done[3] == []
+
+
+def test_training_is_bounded_and_whole(spark):
+    text = {"de": L.SEEDS["de"] + " ", "fr": L.SEEDS["fr"] + " "}
+    data = [(i, k, text[k] * (1 + i % 3)) for k in text for i in range(30)] + [(100, "de", text["de"] * 5000), (101, None, text["de"]), (None, "de", text["de"]), (5, "de", text["de"])]
+    df = spark.createDataFrame(data, "id long, label string, text string")
+    model = L.train(df, per_language=10)
+    assert L.label_texts(["Wir sind nicht auf der Suche nach einer Stelle"], model)[0][0] == "de"
+    assert L.train(df.limit(0)).margins(["und die"]).shape == (1, L.CODE.shape[1])
