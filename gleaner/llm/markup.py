@@ -4,12 +4,14 @@ A text passes a lexer that takes notations off one after the other and notes eac
 is set aside first (its content is no markup, its delimiters are), then formulas, HTML, wiki, LaTeX
 and Markdown. Left is flat text in which private-use characters mark headings, list items, quotes,
 links, code and formulas. This is cut into flat blocks; every block not yet marked is classified by
-a decision tree on its word count, link density, and those of its neighbours (trained on a
-small labelled table below), as text, heading, list item or boilerplate.
+a decision tree on its word count, link density, and those of its neighbours (trained on the
+small set of labelled texts below), as text, heading, list item, boilerplate or code. Code found so is
+set aside and the text lexed again without it, so the families of a text are those of its other blocks.
 
 Edge cases: null gives null text, no families and no blocks; empty and blank texts give "" and
 nothing else; unbalanced delimiters (an unclosed tag, fence or brace) are ordinary text; repeated
-rows are treated one by one; very long texts are processed whole, every pattern is linear in
+rows are treated one by one; words outside of markup are never lost (a wiki template leaves its arguments, a
+sign of per cent is no LaTeX comment); very long texts are processed whole, every pattern is linear in
 practice as none nests unbounded repeats. An escape counts for LaTeX where the text has LaTeX
 structure and for Markdown elsewhere.
 """
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from html.entities import html5
@@ -80,7 +82,8 @@ _TEX_URL = re.compile(r"\\url\{([^{}\n]*)\}")
 _TEX_ARGUMENT = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}")
 _TEX_OTHER = re.compile(r"\\[A-Za-z]+\*?[ \t]?")
 _TEX_ESCAPE = re.compile(r"\\([#$%&_{}])")
-_TEX_COMMENT = re.compile(r"(?m)(?<!\\)%[^\n]*$")
+_TEX_COMMENT = re.compile(r"(?m)^[ \t]*%[^\n]*\n?")
+_TEX_COMMENT_IN_DOCUMENT = re.compile(r"(?m)(?<![\\\d])(?<!\d[ \u00a0\u202f])%[^\n]*$")
 _TEX_BREAK = re.compile(r"\\\\(?:\[[^\]\n]*\])?")
 
 _MD_HEAD = re.compile(r"^[ ]{0,3}#{1,6}[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", re.M)
@@ -114,8 +117,8 @@ class Lexed:
     held: list[tuple[str, str]] = field(default_factory=list)
 
 
-def lex(text: str) -> Lexed:
-    """Takes all notations off a text."""
+def lex(text: str, aside: Callable[[str], bool] | None = None) -> Lexed:
+    """Takes all notations off a text; lines that `aside` picks are held as code."""
     out = Lexed(_PRIVATE.sub("", text.replace("\r\n", "\n").replace("\r", "\n")))
     seen = out.families
 
@@ -146,6 +149,8 @@ def lex(text: str) -> Lexed:
         return hold("inline_code", m["tc"].strip())
 
     t = out.text
+    if aside is not None:
+        t = "\n".join(hold("code", line.strip()) if line.strip() and aside(line) else line for line in t.split("\n"))
     if "`" in t or "~~~" in t or "<" in t or "\\" in t:
         t = _CODE.sub(code, t)
 
@@ -222,8 +227,11 @@ def _take_wiki(t: str, seen: set[str]) -> str:
     heads = found
     if "[[" in t:
         t = take(_WIKI_LINK, lambda m: f"{LINK}{m[1]}{LINK_END}", t)
-    if "{{" in t:
-        t = take(_WIKI_TEMPLATE, "", t)
+    while "{{" in t:  # templates within templates, from the inside
+        before = found
+        t = take(_WIKI_TEMPLATE, lambda m: _arguments(m.group()), t)
+        if found == before:
+            break
     if "''" in t:
         t = take(_WIKI_QUOTES, lambda m: m[2], t)
     if "{|" in t or "|}" in t:
@@ -238,11 +246,20 @@ def _take_wiki(t: str, seen: set[str]) -> str:
     return t
 
 
+def _arguments(template: str) -> str:
+    """The values of a template's arguments; those of one without arguments are none."""
+    values = (part.partition("=")[2] if "=" in part else part for part in template[2:-2].split("|")[1:])
+    return " ".join(v for v in map(str.strip, values) if v)
+
+
 def _take_latex(t: str, seen: set[str]) -> tuple[str, bool]:
     if not _COMMAND.search(t):
         return t, False
     seen.add("latex")
+    # a sign of per cent is no comment: only at the start of a line, or in a whole document after no number
     t = _TEX_COMMENT.sub("", t)
+    if "\\documentclass" in t or "\\begin{document}" in t:
+        t = _TEX_COMMENT_IN_DOCUMENT.sub("", t)
     t = _TEX_HEAD.sub(lambda m: f"\n{HEADING}{m[1]}\n", t)
     t = _TEX_ENV.sub("\n", t)
     t = _TEX_ITEM.sub("\n" + ITEM, t)
@@ -250,10 +267,9 @@ def _take_latex(t: str, seen: set[str]) -> tuple[str, bool]:
     t = _TEX_URL.sub(lambda m: f"{LINK}{m[1]}{LINK_END}", t)
     # a line that is one bold argument and a line break is a heading
     t = re.sub(r"(?m)^[ \t]*\\textbf\{([^{}\n]*)\}[ \t]*(?:\\\\)?[ \t]*$", lambda m: f"{HEADING}{m[1]}", t)
-    for _ in range(4):  # arguments within arguments, from the inside
+    n = 1
+    while n:  # arguments within arguments, from the inside; every round takes off a command
         t, n = _TEX_ARGUMENT.subn(lambda m: m[1], t)
-        if not n:
-            break
     t = _TEX_BREAK.sub("\n", t)
     t = _TEX_ESCAPE.sub(lambda m: m[1], t)
     t = _TEX_OTHER.sub("", t)
@@ -308,31 +324,170 @@ def _take_markdown(t: str, seen: set[str], tex: bool) -> str:
 
 # --- blocks and their classification -----------------------------------------------------------
 
-# A small labelled table: (words, link density, ends a sentence, ends with a colon, starts lower or
-# with a digit, words before, link density before, words after, link density after) → label.
-TEXT, HEAD, LIST, BOILERPLATE = range(4)
-LABELLED = [
-    ((28, 0.0, 1, 0, 0, 0, 0.0, 2, 0.0), TEXT), ((17, 0.0, 1, 0, 0, 24, 0.0, 3, 0.0), TEXT),
-    ((45, 0.05, 1, 0, 0, 12, 0.0, 30, 0.0), TEXT), ((9, 0.0, 1, 0, 0, 6, 0.0, 0, 0.0), TEXT),
-    ((12, 0.1, 1, 0, 0, 2, 0.0, 11, 0.0), TEXT), ((6, 0.0, 1, 0, 0, 3, 0.0, 14, 0.0), TEXT),
-    ((21, 0.0, 0, 0, 0, 16, 0.0, 2, 0.0), TEXT), ((33, 0.2, 1, 0, 0, 9, 0.0, 9, 0.0), TEXT),
-    ((4, 0.0, 1, 0, 0, 8, 0.0, 2, 0.0), TEXT), ((15, 0.0, 1, 0, 1, 2, 0.0, 0, 0.0), TEXT),
-    ((60, 0.0, 1, 0, 0, 0, 0.0, 0, 0.0), TEXT), ((11, 0.0, 0, 0, 0, 0, 0.0, 2, 0.0), TEXT),
-    ((2, 0.0, 0, 1, 0, 22, 0.0, 7, 0.0), HEAD), ((1, 0.0, 0, 1, 0, 9, 0.0, 12, 0.0), HEAD),
-    ((3, 0.0, 0, 0, 0, 25, 0.0, 6, 0.0), HEAD), ((2, 0.0, 0, 0, 0, 0, 0.0, 30, 0.0), HEAD),
-    ((4, 0.0, 0, 1, 0, 8, 0.0, 8, 0.0), HEAD), ((1, 0.0, 0, 0, 0, 14, 0.0, 9, 0.0), HEAD),
-    ((5, 0.0, 0, 1, 0, 7, 0.0, 9, 0.0), HEAD), ((4, 0.0, 0, 0, 0, 18, 0.0, 10, 0.0), HEAD),
-    ((3, 0.0, 0, 1, 0, 0, 0.0, 5, 0.0), HEAD), ((2, 0.0, 0, 0, 0, 10, 0.0, 16, 0.0), HEAD),
-    ((7, 0.0, 0, 0, 0, 6, 0.0, 8, 0.0), LIST), ((6, 0.0, 0, 0, 0, 7, 0.0, 7, 0.0), LIST),
-    ((9, 0.0, 0, 0, 0, 8, 0.0, 7, 0.0), LIST), ((8, 0.0, 0, 0, 1, 6, 0.0, 9, 0.0), LIST),
-    ((10, 0.0, 0, 0, 0, 9, 0.0, 9, 0.0), LIST), ((6, 0.1, 0, 0, 0, 6, 0.0, 8, 0.0), LIST),
-    ((7, 0.0, 0, 0, 1, 9, 0.0, 6, 0.0), LIST), ((8, 0.0, 0, 0, 0, 7, 0.0, 2, 0.0), LIST),
-    ((2, 1.0, 0, 0, 0, 1, 1.0, 2, 1.0), BOILERPLATE), ((1, 1.0, 0, 0, 0, 2, 1.0, 1, 1.0), BOILERPLATE),
-    ((6, 0.9, 0, 0, 0, 8, 0.8, 5, 1.0), BOILERPLATE), ((12, 0.8, 0, 0, 0, 9, 0.9, 7, 0.7), BOILERPLATE),
-    ((3, 1.0, 0, 0, 0, 20, 0.0, 2, 1.0), BOILERPLATE), ((9, 1.0, 0, 0, 0, 4, 1.0, 0, 0.0), BOILERPLATE),
-    ((20, 0.75, 0, 0, 0, 15, 0.9, 11, 0.8), BOILERPLATE), ((4, 0.7, 0, 0, 1, 3, 1.0, 3, 1.0), BOILERPLATE),
-]
-LABEL_NAMES = ("text", "heading", "item", "boilerplate")
+# A small labelled set of texts: one line per block, its label before it (see LABELS).
+LABELLED_TEXTS = (
+    """
+B [Startseite](/) [Stellen](/s) [Kontakt](/k)
+H Wer wir sind
+T Das Spital am See behandelt seit vielen Jahren Menschen aus der ganzen Region und bildet Fachleute aus.
+H Ihre Aufgaben:
+L Sie planen die Einsätze der Abteilung
+L Sie schreiben Berichte für die Leitung
+L Pflege der Daten im System
+H Ihr Profil
+L Abgeschlossene Ausbildung in der Pflege
+L Gute Kenntnisse in Deutsch und Englisch
+L 3 Jahre Erfahrung auf einer Station
+T Wir freuen uns auf Ihre Bewerbung bis Ende Monat.
+B [Impressum](/i) | [Datenschutz](/d)
+""",
+    """
+H Notre offre
+T Nous vous proposons une place dans une équipe motivée, des horaires souples et un salaire juste.
+T Le poste est à pourvoir de suite ou à convenir.
+H Votre mission :
+L Conseiller les clients au guichet
+L Rédiger les offres et suivre les commandes
+L tenir à jour le catalogue
+H Contact
+T Pour toute question, notre service du personnel vous répond volontiers le matin.
+B [Plus d'annonces](/a)
+B [Toutes les régions](/r)
+""",
+    """
+H About the role
+T You join a small team that looks after the machines of three plants, and you report to the head of maintenance.
+L Plan inspections and order spare parts
+L Keep the records up to date
+L train new colleagues
+H What we offer:
+L Five weeks of holiday
+L A free parking space
+T Please send your documents as one file. We answer within a week.
+B [Jobs](/j) [Companies](/c) [Salaries](/l) [Login](/in)
+""",
+    """
+T Der folgende Ausschnitt zeigt, wie die Liste eingelesen wird.
+C int total = 0;
+C for (i = 0; i < rows.length; i++) {
+C total += rows[i].size();
+C }
+T Danach steht die Summe bereit, und der Bericht kann gedruckt werden.
+C def load(path, mode="r"):
+C return open(path, mode).read()
+H Hinweise
+T Die Funktion liest ganze Dateien, deshalb sollte man sie nicht für grosse Mengen verwenden.
+""",
+    """
+H Compiti
+L Gestire la cassa e il magazzino
+L Accogliere gli ospiti alla reception
+L Preparare le camere secondo il piano
+H Requisiti:
+L Diploma di commercio o formazione simile
+L Buone conoscenze di tedesco
+T Offriamo un contratto a tempo indeterminato e una mensa aperta anche la sera.
+T Inizio: subito o da convenire.
+B [Altri annunci](/x) [Torna su](#top)
+""",
+    """
+H Lohn und Vertrag
+T Der Lohn richtet sich nach den Empfehlungen des Verbandes. Er wird dreizehnmal bezahlt.
+T Ein Pensum von 80 Prozent ist möglich, wenn die Schichten im Team verteilt werden können.
+T Mehr dazu steht im [Merkblatt](/m) der Stadt.
+H Ablauf
+L Gespräch mit der Leitung
+L Schnuppertag im Betrieb
+L Entscheid innert zwei Wochen
+B [A](/a) [B](/b) [C](/c)
+B [Weitere Stellen in Bern](/bern)
+""",
+    """
+T Die Abfrage liefert die offenen Stellen je Ort.
+C SELECT city, count(*) AS n FROM jobs WHERE status = 'open' GROUP BY city;
+T Sie läuft jede Nacht.
+C if (n > 10) { send(mail, n); }
+C x = a[0] * b[1] + c[2];
+T Wer das Skript ändert, meldet es der Leitung.
+H Wie die Quote berechnet wird
+T E_h = Ertrag/Stunden ≥ 0.85
+T ∑ w_i s_i
+T Ergebnis = 2 x + y
+""",
+    """
+T Mit rund 20 Mitarbeitenden gestaltet die Werkstatt den Alltag in der Region und sucht Verstärkung.
+H Das bringen Sie mit:
+L - Berufserfahrung in der Küche
+L - Freude am Umgang mit Gästen
+H Darauf dürfen Sie sich freuen
+L - Fünf Wochen Ferien
+L - Ein Zimmer im Haus, 80 %, [auf Wunsch]
+H Haben wir Ihr Interesse geweckt?
+T Senden Sie Ihre Unterlagen an die Leitung der Küche, wir melden uns bald.
+T Sie finden uns an der Adresse Musterweg 1, gleich beim Bahnhof. Das Gespräch findet in zwei Wochen statt. Koch
+T Ansprechperson: Anna Muster / anna@muster.example
+T x^2 + y_n = k
+T E-Mail: anna.muster+jobs (at) muster.example
+""",
+    """
+H Ce que vous apportez
+L - Un diplôme de commerce
+L - Au moins deux ans de pratique
+H Nous vous offrons les avantages suivants :
+L - Une place de parc
+L - Des horaires souples
+T Le poste est à pourvoir de suite ou à convenir, et nous vous attendons avec plaisir.
+T Questions : A. Exemple, tél. +41 00 000 00 00
+H Intéressé ?
+T Nous nous réjouissons de recevoir votre dossier complet.
+H Your next steps with us
+L - An interview on site
+L - A trial day
+H How to reach our office
+T The office is open in the morning, and the team answers calls until noon.
+""",
+)
+LABELS = {"T": "text", "H": "heading", "L": "item", "B": "boilerplate", "C": "code"}
+LABEL_NAMES = tuple(LABELS.values())
+_CODE_SIGN = re.compile(r"[{};=<>|]|(?<=\w)[(\[]")
+
+
+def block_features(parts: list[tuple[str, int, float, float]], listed: list[bool], i: int) -> tuple:
+    """Features of block `i` of parts as `_flat` gives them: its own, and words, links and list marks around it."""
+    line, n, links, signs = parts[i]
+    before = parts[i - 1] if i else ("", 0, 0.0, 0.0)
+    after = parts[i + 1] if i + 1 < len(parts) else ("", 0, 0.0, 0.0)
+    return (n, links, line[-1] in ".!…", line[-1] == ":", line[0].islower() or line[0].isdigit(), signs, line[-1] in ";{}", before[1], before[2], after[1], after[2], i > 0 and listed[i - 1], i + 1 < len(parts) and listed[i + 1])
+
+
+def labelled_blocks(texts_: tuple[str, ...]) -> tuple[list[tuple], list[int]]:
+    """Features and labels of the blocks of labelled texts, but for items with a mark of their own."""
+    rows, labels = [], []
+    for text in texts_:
+        lines = [line for line in text.split("\n") if line]
+        listed = [bool(_BULLET.match(line[2:])) for line in lines]
+        plain = [_BULLET.sub("", line[2:], count=1) for line in lines]
+        parts = [_flat(lex(x), lex(x).text if line[0] != "C" else x) for line, x in zip(lines, plain)]
+        rows += [block_features(parts, listed, i) for i in range(len(parts)) if not listed[i]]
+        labels += [list(LABELS).index(line[0]) for i, line in enumerate(lines) if not listed[i]]
+    return rows, labels
+
+
+_HELD = re.compile(rf"{HOLD}(\d+){HOLD_END}")
+
+
+def _flat(lexed: Lexed, line: str) -> tuple[str, int, float, float]:
+    """(text, words, link density, share of code signs outside formulas and code) of one line of lexed text."""
+    linked = sum(len(s.split(LINK_END)[0].split()) for s in line.split(LINK)[1:])
+    line = line.replace(LINK, "").replace(LINK_END, "")
+    if HOLD in line:
+        own = _HELD.sub("", line)
+        line = _HELD.sub(lambda m: _inline(lexed.held[int(m[1])]), line)
+    else:
+        own = line
+    line = _SPACES.sub(" ", line).strip()
+    n = len(line.split())
+    return line, n, linked / n if n else 0.0, len(_CODE_SIGN.findall(own)) / max(1, len(own))
 
 
 class DecisionTree:
@@ -368,13 +523,14 @@ class DecisionTree:
 
 @cache
 def block_tree() -> DecisionTree:
-    x = np.array([r for r, _ in LABELLED], dtype=float)
-    return DecisionTree(x, np.array([k for _, k in LABELLED]))
+    rows, labels = labelled_blocks(LABELLED_TEXTS)
+    return DecisionTree(np.array(rows, dtype=float), np.array(labels))
 
 
 def blocks(lexed: Lexed) -> list[tuple[str, str]]:
     """(kind, text) of the flat blocks; boilerplate is among them, marked as such."""
-    raw: list[tuple[str | None, str, int, float]] = []
+    kinds: list[str | None] = []
+    flat: list[tuple[str, int, float, float]] = []
     for line in lexed.text.split("\n"):
         kind = None
         for mark, name in ((HEADING, "heading"), (ITEM, "item"), (QUOTE, "quote"), (ROW, "row")):
@@ -384,29 +540,25 @@ def blocks(lexed: Lexed) -> list[tuple[str, str]]:
         if _BULLET.match(line):
             kind = kind or "item"
             line = _BULLET.sub("", line, count=1)
-        alone = re.fullmatch(rf"\s*{HOLD}(\d+){HOLD_END}\s*", line)
+        alone = re.fullmatch(rf"\s*{HOLD}(\d+){HOLD_END}\s*", line) if HOLD in line else None
         if alone:
             what, content = lexed.held[int(alone[1])]
-            raw.append((what.removeprefix("inline_"), content, len(content.split()), 0.0))
+            kinds.append(what.removeprefix("inline_"))
+            flat.append((content, len(content.split()), 0.0, 0.0))
             continue
-        linked = sum(len(s.split(LINK_END)[0].split()) for s in line.split(LINK)[1:])
-        line = line.replace(LINK, "").replace(LINK_END, "")
-        line = re.sub(rf"{HOLD}(\d+){HOLD_END}", lambda m: _inline(lexed.held[int(m[1])]), line)
-        line = _SPACES.sub(" ", line).strip()
-        n = len(line.split())
-        if line:
-            raw.append((kind, line, n, linked / n if n else 0.0))
+        made = _flat(lexed, line)
+        if made[0]:
+            kinds.append(kind)
+            flat.append(made)
+    listed = [k == "item" for k in kinds]
+    tree = block_tree()
+    named = [kind or LABEL_NAMES[tree.predict_one(block_features(flat, listed, i))] for i, kind in enumerate(kinds)]
     out = []
-    tree = None
-    for i, (kind, line, n, links) in enumerate(raw):
-        if kind is None:
-            tree = tree or block_tree()
-            before = raw[i - 1] if i else (None, "", 0, 0.0)
-            after = raw[i + 1] if i + 1 < len(raw) else (None, "", 0, 0.0)
-            row = (n, links, line[-1] in ".!?…", line[-1] == ":", line[0].islower() or line[0].isdigit(), before[2], before[3], after[2], after[3])
-            kind = LABEL_NAMES[tree.predict_one(row)]
-            if kind == "item" and not any(x[0] == "item" for x in (before, after)):
-                kind = "text"  # a list has more than one entry
+    for i, (kind, (line, *_)) in enumerate(zip(named, flat)):
+        if kinds[i] is None and kind == "item" and not any(k == "item" for k in (*named[max(0, i - 1) : i], *named[i + 1 : i + 2])):
+            kind = "text"  # a list has more than one entry
+        elif kinds[i] is None and kind == "code":
+            kind = "loose_code"
         out.append((kind, line))
     return out
 
@@ -438,9 +590,19 @@ def render(parts: list[tuple[str, str]]) -> str:
 
 
 def convert(text: str) -> tuple[list[str], str, list[tuple[str, str]]]:
-    """(families, clean text, blocks) of one text."""
+    """(families, clean text, blocks) of one text.
+
+    Blocks that the tree takes for code without delimiters are set aside like delimited code, and the rest is
+    lexed again: what looks like markup in them counts for no family and is not taken off.
+    """
     lexed = lex(text)
     parts = blocks(lexed)
+    if any(kind == "loose_code" for kind, _ in parts):
+        if lexed.families:
+            loose = {line for kind, line in parts if kind == "loose_code"}
+            lexed = lex(text, aside=lambda line: not _TAG.search(line) and _flat(own := lex(line), own.text)[0] in loose)
+            parts = blocks(lexed)
+        parts = [("code" if kind == "loose_code" else kind, line) for kind, line in parts]
     return [f for f in FAMILIES if f in lexed.families], render(parts), parts
 
 
@@ -452,13 +614,13 @@ def plain_words(text: str) -> str:
 
 
 def markup_families(df: DataFrame, *, key: list[str], text: str) -> DataFrame:
-    """`key` columns and `family`: one row for each family of markup in `text`."""
+    """`key` columns and `family`: one row for each family of markup in the blocks of `text` that aren't code."""
     keys = df.select(*key, F.col(text).alias("__text")).where(F.length("__text") > 0)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields[:-1]) + ", family string"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [sorted(lex(t).families) for t in pdf["__text"]]
+            found = [convert(t)[0] for t in pdf["__text"]]
             rows = np.repeat(np.arange(len(pdf)), [len(f) for f in found])
             out = pdf[key].iloc[rows].copy()
             out["family"] = [f for fs in found for f in fs]
