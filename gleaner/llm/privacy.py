@@ -1,7 +1,7 @@
 """Personal data in free text: found, listed, and replaced by typed placeholders.
 
-Mailboxes, phone numbers, identity numbers and street addresses have a form of their own. Names have
-not, and are found by what the corpus says about how strongly a term reveals a person:
+Candidates come from their form (mailboxes, phone and identity numbers, streets with a number) or from capital
+letters (names); what the corpus says about how strongly their terms reveal a person decides on them:
 
 1. Every pair of capitalised words (and initial + word) is an observation of a term (the word in the
    first-name position) in a context (the words before it up to the last sentence end). It is
@@ -12,6 +12,11 @@ not, and are found by what the corpus says about how strongly a term reveals a p
    A context reveals one if a large share of its observations hold a revealing term.
 3. A text's words are then generalised to [NAME] where a revealing term, form of address or context
    together with the shape of a name exceeds the threshold.
+4. Every longer number with its label (the words before it) is an observation too, whatever its form. It is anchored when a
+   form of address or a mailbox stands near it. The disclosure of a label is the pointwise mutual information
+   of the two, log2 P(anchored | label) / P(anchored). Where even its upper bound (two standard deviations) is
+   below `clear_bits`, the label reveals no person (numbers of companies, articles, advertisements …), and what it
+   labels stays as it is. For labels seen less than `min_label_support` times the fixed lists below decide.
 
 The counts are summed within each batch before they are shuffled. The revealing terms and contexts
 are sent to the workers only within `max_terms` (counted before); a larger lexicon is joined
@@ -26,9 +31,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +93,14 @@ _STREET_HINT = re.compile(rf"(?:{_ALTERNATIVES(STREET_ENDS)})(?:\s(?:Nord|Süd|O
 _DIGIT = re.compile(r"\d\d")
 _CONTEXT_CUT = re.compile(r"[.!?>\n|]\s*|&nbsp;")
 
+# Any longer number with its label; forms of address and mailboxes near it are its anchors.
+_NUMBER = re.compile(r"(?<![\w.+])[+(]?[A-Z]{0,2}\d[\d./'’() -]{4,20}\d(?!\w)")
+_ANCHOR = re.compile(rf"@|(?<!\w)(?:{_ALTERNATIVES([t for t in TITLES if len(t) > 2])})\s[A-ZÀ-Þ]")
+_LABEL_CUT = re.compile(r"[.!?](?=\s)|[,;:>\n|()]|&nbsp;")
+_NEAR = 110
+LABEL = "#"
+SURE_SHARE = 0.9
+
 # Two or more adjacent capitalised words, titles, initials and particles.
 _WORD = rf"(?:[A-ZÀ-ÖØ-Þ]\.(?:-[A-ZÀ-ÖØ-Þ]\.)?|(?:{_ALTERNATIVES([t for t in TITLES if t.endswith('.') or '.' in t])})|[A-ZÀ-ÖØ-Þ][\w’'-]*)"
 _RUN = re.compile(rf"(?<![\w@.+/-])(?:{_WORD}|signora?|sig\.(?:ra)?|med\.)(?:\s(?:{_WORD}|med\.|(?:{_ALTERNATIVES(PARTICLES)})(?=\s[A-ZÀ-ÖØ-Þ])))+(?![@\w])")
@@ -129,8 +143,8 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(1) - len(left) + s.start(), m.end(1)
 
 
-def structured(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of everything but names; no two overlap."""
+def structured(text: str, cleared=frozenset()) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of everything but names; no two overlap. Numbers with a `cleared` label are none."""
     found: list[tuple[str, int, int]] = [("email", a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
         for m in _AHV.finditer(text):
@@ -143,6 +157,8 @@ def structured(text: str) -> list[tuple[str, int, int]]:
             if not _BLOCKED.search(_before(text, m.start())):
                 found.append(("phone", *m.span()))
         found += [("address", a, b) for a, b in _addresses(text)]
+    if cleared and found:
+        found = [f for f in found if f[0] == "email" or label_of(text, f[1]) not in cleared]
     if len(found) < 2:
         return found
     kept: list[tuple[str, int, int]] = []
@@ -152,7 +168,26 @@ def structured(text: str) -> list[tuple[str, int, int]]:
     return kept
 
 
-@cache
+def label_of(text: str, at: int) -> str:
+    """The words that label what stands at a place: at most two, back to a sentence end, comma or tag."""
+    left = text[max(0, at - 48) : at].rstrip(" :#.")
+    return " ".join(w for w in _LABEL_CUT.split(left)[-1].lower().split()[-2:])
+
+
+def labels(text: str) -> Iterator[tuple[str, bool]]:
+    """(label, anchored) of every number of a text that has a label."""
+    anchors = None
+    for m in _NUMBER.finditer(text):
+        label = label_of(text, m.start())
+        if not label or not any(c.isalpha() for c in label):
+            continue
+        if anchors is None:
+            anchors = [a.start() for a in _ANCHOR.finditer(text)]
+        i = bisect_left(anchors, m.start() - _NEAR)
+        yield label, i < len(anchors) and anchors[i] <= m.end() + _NEAR
+
+
+@lru_cache(maxsize=200_000)
 def _folded(word: str) -> str:
     word = word.lower().replace("ä", "ae").replace("ö", "oe").replace("ü", "ue")
     return "".join(c for c in unicodedata.normalize("NFD", word) if c.isalpha())
@@ -201,7 +236,7 @@ def observations(text: str) -> Iterator[tuple[str, str, bool]]:
 
 
 def observed(df: DataFrame, text: str) -> DataFrame:
-    """(context, term, n, n_anchored) over all texts of a column, summed."""
+    """(context, term, n, n_anchored) over all texts of a column, summed; labels of numbers have the term LABEL."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
@@ -219,6 +254,11 @@ def observed(df: DataFrame, text: str) -> DataFrame:
                     n[context, term] += 1
                     if sure:
                         anchored[context, term] += 1
+                if _DIGIT.search(t):
+                    for label, sure in labels(t):
+                        n[label, LABEL] += 1
+                        if sure:
+                            anchored[label, LABEL] += 1
             if len(n) > 200_000:
                 yield flush()
         yield flush()
@@ -230,7 +270,7 @@ def observed(df: DataFrame, text: str) -> DataFrame:
 
 def revealing(counts: DataFrame, *, min_bits: float = 2.0, min_share: float = 0.2, min_support: int = 3, min_context_share: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Terms (term, bits) and contexts (context, share) that reveal a person."""
-    counts = cut(counts)
+    counts = counts.where(F.col("term") != LABEL)
     base = counts.agg((F.sum("n_anchored") / F.sum("n")).alias("base")).first()["base"] or 1.0  # one number
     per_term = counts.where(F.col("term") != "x.").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_anchored").alias("k"))
     bits = F.log2((F.col("k") / F.col("n")) / F.lit(float(base)))
@@ -247,11 +287,20 @@ def revealing(counts: DataFrame, *, min_bits: float = 2.0, min_share: float = 0.
     return terms, cut(contexts)
 
 
+def cleared_labels(counts: DataFrame, *, clear_bits: float = -0.45, min_support: int = 100) -> DataFrame:
+    """(label, bits): labels whose numbers reveal no person, as their disclosure is surely below `clear_bits`."""
+    own = counts.where(F.col("term") == LABEL)
+    sums = own.agg(F.sum("n_anchored").alias("k"), F.sum("n").alias("n")).first()  # one row
+    base = (sums["k"] or 1) / (sums["n"] or 1)
+    upper = (F.col("n_anchored") + 2 * F.sqrt(F.col("n_anchored") + 1.0)) / F.col("n")
+    return cut(own.where(F.col("n") >= min_support).select(F.col("context").alias("label"), F.log2(upper / F.lit(float(base))).alias("bits")).where(F.col("bits") < clear_bits))
+
+
 def names(text: str, terms, contexts) -> list[tuple[int, int]]:
     """Places of persons' names, without titles, given the revealing terms and contexts."""
     out = []
     for words, starts in runs(text):
-        if not any(w in _TITLE_SET or w in terms or w.isupper() or w[-1] == "." for w in words):
+        if not any(w in _TITLE_SET or w in terms or w.isupper() or w[-1] == "." for w in words) and not _leads(contexts, text, starts[0], SURE_SHARE):
             continue
         i, titled = 0, False
         while i < len(words):
@@ -275,8 +324,8 @@ def names(text: str, terms, contexts) -> list[tuple[int, int]]:
     return out
 
 
-def _leads(contexts, text: str, at: int) -> bool:
-    return contexts.get(context_of(text, at), 0.0) > 0
+def _leads(contexts, text: str, at: int, share: float = 0.0) -> bool:
+    return contexts.get(context_of(text, at), 0.0) > share
 
 
 def _name_end(words: list[str], j: int, titled: bool, text: str, at: int, terms, contexts) -> int | None:
@@ -294,14 +343,17 @@ def _name_end(words: list[str], j: int, titled: bool, text: str, at: int, terms,
         return surname if surname is not None else j if titled and not company else None
     if len(word) > 2 and word.isupper() and k == j + 1 and following in terms:
         return k
+    # a first name that the corpus hardly knows, where almost only names stand
+    if surname is not None and word not in _COMPANY_SET and _leads(contexts, text, at, SURE_SHARE):
+        return surname
     if titled and not company and word not in _COMPANY_SET:
         return k if k == j + 1 and following in terms else j
     return None
 
 
-def find(text: str, terms, contexts) -> list[tuple[str, int, int]]:
+def find(text: str, terms, contexts, cleared=frozenset()) -> list[tuple[str, int, int]]:
     """All findings of a text in order of place; none overlap."""
-    kept = structured(text)
+    kept = structured(text, cleared)
     for a, b in names(text, terms, contexts):
         if all(b <= x or a >= y for _, x, y in kept):
             kept.append(("name", a, b))
@@ -316,8 +368,8 @@ def redact(text: str, found: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[last:]
 
 
-def own_lexicon(texts: DataFrame, terms: DataFrame, contexts: DataFrame) -> DataFrame:
-    """texts(h, text) → (h, lexicon): the revealing terms and contexts that occur in each text itself."""
+def own_lexicon(texts: DataFrame, terms: DataFrame, contexts: DataFrame, cleared: DataFrame) -> DataFrame:
+    """texts(h, text) → (h, lexicon): the revealing terms and contexts and cleared labels of each text itself."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -326,36 +378,40 @@ def own_lexicon(texts: DataFrame, terms: DataFrame, contexts: DataFrame) -> Data
                 for words, starts in runs(t):
                     found.update((h, "t", w) for w in words)
                     found.update((h, "c", context_of(t, at)) for at in starts)
+                found.update((h, "l", label_of(t, at)) for kind, at, _ in structured(t) if kind != "email")
             yield pd.DataFrame(list(found), columns=["h", "kind", "value"])
 
     occurring = texts.mapInPandas(emit, "h long, kind string, value string")
     known = terms.select(F.lit("t").alias("kind"), F.col("term").alias("value"), F.col("bits").alias("score")).unionByName(
         contexts.select(F.lit("c").alias("kind"), F.col("context").alias("value"), F.col("share").alias("score"))
-    )
+    ).unionByName(cleared.select(F.lit("l").alias("kind"), F.col("label").alias("value"), F.col("bits").alias("score")))
     return occurring.join(known, ["kind", "value"]).groupBy("h").agg(F.collect_list(F.struct("kind", "value", "score")).alias("lexicon"))
 
 
-def sanitised(df: DataFrame, *, key: list[str], text: str, min_bits: float = 2.0, min_support: int = 3, max_terms: int = 500_000) -> DataFrame:
+def sanitised(df: DataFrame, *, key: list[str], text: str, min_bits: float = 2.0, min_support: int = 3, clear_bits: float = -0.45, min_label_support: int = 100, max_terms: int = 500_000) -> DataFrame:
     """`key` columns, `clean_text` with placeholders and `findings` array<struct<kind, found_text, start, end>>.
 
     `max_terms` bounds the lexicon that is sent to every worker (about 20 MB); a larger one is joined
     to the terms of each text.
     """
     source = df.select(*key, F.col(text).alias("__text"))
-    terms, contexts = revealing(observed(source, "__text"), min_bits=min_bits, min_support=min_support)
+    counts = cut(observed(source, "__text"))
+    terms, contexts = revealing(counts, min_bits=min_bits, min_support=min_support)
+    cleared = cleared_labels(counts, clear_bits=clear_bits, min_support=min_label_support)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     schema += ", clean_text string, findings array<struct<kind:string,found_text:string,start:int,end:int>>"
-    if at_most(terms, max_terms) and at_most(contexts, max_terms):
-        lexicon = df.sparkSession.sparkContext.broadcast(({r["term"]: r["bits"] for r in terms.collect()}, {r["context"]: r["share"] for r in contexts.collect()}))
+    if at_most(terms, max_terms) and at_most(contexts, max_terms) and at_most(cleared, max_terms):
+        collected = ({r["term"]: r["bits"] for r in terms.collect()}, {r["context"]: r["share"] for r in contexts.collect()}, frozenset(r["label"] for r in cleared.collect()))
+        lexicon = df.sparkSession.sparkContext.broadcast(collected)
     else:
         lexicon = None
         hashed = source.withColumn("__h", F.xxhash64("__text"))
         texts = hashed.where(F.length("__text") > 0).select(F.col("__h").alias("h"), F.col("__text").alias("text")).dropDuplicates(["h"])
-        own = own_lexicon(texts, terms, contexts).select(F.col("h").alias("__h"), F.col("lexicon").alias("__own"))
+        own = own_lexicon(texts, terms, contexts, cleared).select(F.col("h").alias("__h"), F.col("lexicon").alias("__own"))
         source = hashed.join(own, "__h", "left").drop("__h")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, leads = lexicon.value if lexicon else ({}, {})
+        known, leads, free = lexicon.value if lexicon else ({}, {}, frozenset())
         for pdf in batches:
             texts, lists = [], []
             for i, t in enumerate(pdf["__text"]):
@@ -364,7 +420,8 @@ def sanitised(df: DataFrame, *, key: list[str], text: str, min_bits: float = 2.0
                     entries = own if own is not None and not isinstance(own, float) else []
                     known = {e["value"]: e["score"] for e in entries if e["kind"] == "t"}
                     leads = {e["value"]: e["score"] for e in entries if e["kind"] == "c"}
-                found = find(t, known, leads) if t else []
+                    free = frozenset(e["value"] for e in entries if e["kind"] == "l")
+                found = find(t, known, leads, free) if t else []
                 texts.append(redact(t, found) if found else t)
                 lists.append([{"kind": k, "found_text": t[a:b], "start": a, "end": b} for k, a, b in found])
             out = pdf[key].copy()

@@ -80,3 +80,27 @@ def test_redaction_keeps_the_rest():
 def test_query(spark, sf_dir):
     found = rows(P.p4_found(spark, sf_dir))
     assert len(found) == len(set(found)) and {f[2] for f in found} <= set(P.KINDS)
+
+
+def test_labels_that_reveal_nobody(spark):
+    """The corpus clears a label without persons near, that no list knows; others and rare ones stay."""
+    data = [(i, f"Die Waren liegen bereit. Lagernummer 044 123 45 {i % 90 + 10} ist frei.") for i in range(150)]
+    data += [(200 + i, f"Auskunft gibt Frau Muster. Durchwahl 044 765 43 {i % 90 + 10}, gerne am Morgen.") for i in range(150)]
+    data += [(400, "Regalnummer 044 111 22 33 ist frei."), (401, "Lagernummer 044 123 45 10"), (402, None), (403, "")]
+    df = spark.createDataFrame(data, "id long, t string")
+    counts = P.observed(df, "t")
+    assert [r.label for r in P.cleared_labels(counts).collect()] == ["lagernummer"]
+    for bound in (500_000, 0):
+        done = {r.id: [f.kind for f in r.findings] for r in P.sanitised(df, key=["id"], text="t", max_terms=bound).collect()}
+        assert done[3] == done[401] == [] and "phone" in done[203] and done[400] == ["phone"]
+
+
+def test_label_of():
+    text = "Der Betrieb ist offen. AHV-Nr.: 756.1234.5678.97, Tel. 044 123 45 67"
+    assert P.label_of(text, text.index("756")) == "ahv-nr" and P.label_of(text, text.index("044")) == "tel"
+
+
+def test_rare_first_name_in_a_sure_context():
+    text = "Auskunft erteilt gerne Ottokara Muster am Telefon."
+    assert [text[a:b] for a, b in P.names(text, {}, {"auskunft erteilt gerne": 0.95})] == ["Ottokara Muster"]
+    assert P.names(text, {}, {"auskunft erteilt gerne": 0.6}) == []
