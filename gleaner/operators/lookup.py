@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.session import at_most
-
-BROADCAST_ROWS = 200_000
+from gleaner.session import fits_broadcast
 
 
 def _dim(df: DataFrame) -> DataFrame:
-    """Marks a dimension for broadcast if it is provably small."""
-    return F.broadcast(df) if at_most(df, BROADCAST_ROWS) else df
+    """Marks a dimension for broadcast if it is provably small, in rows and bytes."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def geocode(df: DataFrame, places: DataFrame) -> DataFrame:

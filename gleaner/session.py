@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,12 +34,15 @@ def get_session(app: str = "gleaner", master: str | None = None, **conf: str) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's `spark.checkpoint.dir`.
 
-    Only where neither the context nor the session names one (tests, a laptop) a folder of our
-    own is set, which is removed when the process ends.
+    Only where neither the context nor the session names one and everything runs in this process (tests, a
+    laptop) a folder of our own is set, which is removed when the process ends. On a cluster a
+    missing setting is an error: a folder of one machine would lose blocks with that machine.
     """
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="gleaner-checkpoint-")
         atexit.register(shutil.rmtree, known, ignore_errors=True)
     if not sc.getCheckpointDir():
@@ -57,14 +62,34 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+SPREAD = "spark.gleaner.textPartitions"
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table whose rows are costly to process: spread by its first column where the files give fewer
-    partitions than there are cores (one small file); files that give enough are read where they lie."""
+    """A table whose rows are costly to process, read where it lies: one task per split of its files
+    (`spark.sql.files.maxPartitionBytes`), never shuffled.
+
+    A single small file is one split and keeps one core busy. For that, and only on request, the session
+    setting `spark.gleaner.textPartitions` deals the rows out to so many partitions, one after the other.
+    """
     df = table(spark, sf_dir, name, *columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, columns[0]) if df.rdd.getNumPartitions() < cores else df
+    wanted = spark.conf.get(SPREAD, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def at_most(df: DataFrame, bound: int) -> bool:
     """Whether `df` has no more than `bound` rows; reads no further than one row past the bound."""
     return df.limit(bound + 1).count() <= bound
+
+
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether `df` is small enough for every executor, by rows and by the bytes of all its values.
+
+    Reads no further than one row past the bound. The size is that of the rows as text, which is no
+    less than what a broadcast of numbers takes, and about that of one of strings.
+    """
+    n, total = df.limit(rows + 1).select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return n <= rows and total <= size

@@ -11,7 +11,7 @@ def spark():
     from gleaner.session import get_session
 
     session = get_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g", spark__sql__execution__arrow__maxRecordsPerBatch="1000"
+        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__gleaner__textPartitions="4", spark__driver__memory="4g", spark__sql__execution__arrow__maxRecordsPerBatch="1000"
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
