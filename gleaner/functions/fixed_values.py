@@ -49,7 +49,8 @@ PHONE = r"(?:\+41|0041|\b0)\s?\(?\d{1,2}\)?[\s./-]?\d{3}[\s./-]?\d{2}[\s./-]?\d{
 EMAIL_PLACEHOLDER = "[E-Mail entfernt]"
 PHONE_PLACEHOLDER = "[Telefon entfernt]"
 CONTACT_KEYS = ["email", "emailAddress", "phone", "phoneNumber", "mainPhoneNumber", "telephone", "tel", "mobile", "mobilePhone", "fax", "faxNumber", "firstName", "lastName", "salutation", "rawPostAddress", "postAddress", "contact", "contactPerson"]
-CONTACT_BLOCKS = ["applyChannel", "publicContact", "owner"]
+CONTACT_BLOCKS = ["publicContact", "owner", "jobCenterUserId", "applyChannel", "contact"]
+NUMBER_KEY_HINTS = ["url", "link", "href", "website", "image", "logo", "src", "path", "id"]
 CONTACT_KEY_SUFFIXES = ["phonenumber", "emailaddress", "faxnumber", "mobilenumber"]
 
 # --- languages
@@ -105,3 +106,14 @@ BLOCK_TAG = r"</?(?:br|li|p|div|tr|ul|ol|h[1-6])\b[^>]*>"
 # --- sections
 SECTION_START = r"^\s*[*#_\\\s]*(?:(?:ihre|deine|dein|ihr|unsere|die)?\s*(?:aufgaben|aufgabenbereich|tätigkeit\w*|hauptaufgaben|profil|anforderung\w*|qualifikation\w*|kompetenzen|voraussetzung\w*)|das\s+bringst?\s+du\s+mit|das\s+bringen\s+sie\s+mit|was\s+(?:du|sie)\s+mitbring\w*|damit\s+überzeug\w*|(?:dein|ihr)\s+tätigkeitsgebiet|wen\s+wir\s+suchen|wir\s+suchen)\b[^.!?]{0,70}$"
 SECTION_END = r"^\s*[*#_\\\s]*(?:wir\s+bieten|unser\s+angebot|deine\s+vorteile|ihre\s+vorteile|was\s+wir\s+(?:dir|ihnen|bieten)|darauf\s+kannst\s+du\s+zählen|worauf\s+du\s+zählen\s+kannst|benefits|interessiert|neugierig|haben\s+wir\s+dein\s+interesse|kontakt\w*|ihr\s+ansprechpartner|bewerbung\w*|weitere\s+bewerbungsmöglichkeiten|spontanbewerbung|offene\s+stellen|über\s+uns|wir\s+über\s+uns|das\s+unternehmen|arbeitsort|anstellungsart|einsatzbeginn|pensum)\b.*$"
+
+# --- words that say nothing about a group of advertisements
+TERM_STOP_WORDS = [
+    "und", "oder", "aber", "der", "die", "das", "dem", "den", "des", "ein", "eine", "einer", "eines", "einem", "einen", "ist", "sind", "war", "waren",
+    "sein", "haben", "hat", "hatte", "wird", "werden", "wurde", "für", "von", "mit", "bei", "aus", "auf", "zu", "zum", "zur", "im", "in", "am", "an",
+    "als", "auch", "nach", "über", "unter", "vor", "durch", "sowie", "sich", "ihre", "ihr", "unser", "unsere", "du", "dich", "dir", "sie", "wir",
+    "uns", "ihnen", "man", "wenn", "dass", "damit", "sowohl", "als", "auch", "nicht", "kein", "keine", "mehr", "sehr", "gut", "gute", "guten", "neue",
+    "neuen", "erste", "ersten", "wir", "bieten", "suchen", "bringst", "dein", "deine", "stelle", "stellen", "job", "jobs", "arbeit", "arbeiten",
+    "mitarbeiter", "mitarbeiterin", "aufgaben", "profil", "anforderungen", "angebot", "bewerbung", "team", "unternehmen", "firma", "prozent",
+    "pensum", "region", "schweiz", "ch", "ag", "gmbh", "sa",
+]

@@ -100,6 +100,11 @@ def dedup_block(postal_code: Column, city: Column) -> Column:
     return F.coalesce(F.nullif(postal_code, F.lit("")), F.nullif(F.lower(city), F.lit("")), F.lit("?"))
 
 
+def known_postal_code(c: Column) -> Column:
+    """The code, or null for what merely stands in for one: no digit but zeros ('k.A.', '0000', '-')."""
+    return F.when(c.rlike("[1-9]"), F.trim(c))
+
+
 def content_hash(title_key: Column, description: Column) -> Column:
     """First 32 hex digits of SHA-256 over title key and stripped description."""
     return F.substring(F.sha2(F.concat(F.coalesce(title_key, F.lit("")), F.lit("|"), F.lower(strip_html(description))), 256), 1, 32)
@@ -156,7 +161,7 @@ def quote(text: Column, pattern: str, window: int = 45) -> Column:
     """The first match with up to `window` characters on each side, cut at spaces, with ellipses."""
     t = strip_html(text)
     found = F.regexp_extract(t, rx(pattern), 0)
-    at = F.when(found != "", F.position(found, t))
+    at = F.nullif(F.regexp_instr(t, F.lit(rx(pattern))), F.lit(0))
     start = F.greatest(F.lit(1), at - window)
     end = F.least(F.length(t), at + F.length(found) - 1 + window)
     raw = F.substring(t, start, end - start + 1)

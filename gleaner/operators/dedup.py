@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed_values as V
-from gleaner.functions.text import content_hash, dedup_block, normalize_company, normalize_title, shingles, url_key
+from gleaner.functions.text import content_hash, dedup_block, known_postal_code, normalize_company, normalize_title, shingles, url_key
 from gleaner.operators.fuzzy import sorted_tokens, token_set, token_sort
 from gleaner.operators.grouped import map_groups
 from gleaner.session import at_most, cut
@@ -33,6 +33,7 @@ def with_keys(jobs: DataFrame) -> DataFrame:
         jobs.withColumn("title_key", normalize_title(F.col("title"), F.col("city")))
         .withColumn("company_key", normalize_company(F.col("company_name")))
         .withColumn("content_hash", content_hash(F.col("title_key"), F.col("description_md")))
+        .withColumn("postal_code", known_postal_code(F.col("postal_code")))  # stand-ins are no place
         .withColumn("block", dedup_block(F.col("postal_code"), F.col("city")))
         .withColumn("portal_rank", portal_rank(F.col("portal")))
     )

@@ -38,9 +38,10 @@ def _education(text: Column) -> tuple[Column, Column]:
     level, soft = F.lit("keine"), F.lit(False)
     for name, pattern in reversed(V.EDUCATION_PATTERNS.items()):
         found = F.regexp_extract(text, rx(pattern), 0)
-        at = F.position(found, text)
-        window = F.lower(F.substring(text, F.greatest(F.lit(1), at - 120), F.length(found) + 240))
-        hit = text.rlike(rx(pattern))
+        at = F.regexp_instr(text, F.lit(rx(pattern)))  # of the match, not of its wording
+        start = F.greatest(F.lit(1), at - 120)
+        window = F.lower(F.substring(text, start, at + F.length(found) + 120 - start))
+        hit = at > 0
         level = F.when(hit, name).otherwise(level)
         soft = F.when(hit, _any_of(window, V.SOFT_MARKERS)).otherwise(soft)
     return level, soft
@@ -58,8 +59,14 @@ def _years(text: Column) -> Column:
 
 
 def clause_with(text: Column, pattern: str) -> Column:
-    """The clause (line, list item, part between commas) with the first match; null if none."""
-    return F.get(F.filter(F.split(text, V.CLAUSE_END), lambda c: c.rlike(rx(pattern))), F.lit(0))
+    """The clause (line, list item, part between commas) in which the first match starts; null if none.
+
+    The match is found in the whole text, so it may reach beyond the end of its clause.
+    """
+    at = F.regexp_instr(text, F.lit(rx(pattern)))
+    before = F.element_at(F.split(F.substring(text, F.lit(1), at - 1), V.CLAUSE_END), -1)
+    after = F.element_at(F.split(F.substring(text, at, F.length(text)), V.CLAUSE_END), 1)
+    return F.when(at > 0, F.concat(before, after))
 
 
 def required_languages(description: Column) -> Column:
@@ -91,7 +98,7 @@ def _further_education(lines: Column) -> tuple[Column, Column]:
     clause = clause_with(lines, V.FURTHER_EDUCATION)
     lower = F.lower(clause)
     wanted = clause.isNotNull() & ~_any_of(lower, V.EDUCATION_OFFER_MARKERS)
-    return F.when(wanted, F.regexp_extract(clause, rx(V.FURTHER_EDUCATION), 0)), F.when(wanted, _any_of(lower, V.SOFT_MARKERS))
+    return F.when(wanted, F.regexp_extract(lines, rx(V.FURTHER_EDUCATION), 0)), F.when(wanted, _any_of(lower, V.SOFT_MARKERS))
 
 
 def requirements(title: Column, description: Column) -> Column:

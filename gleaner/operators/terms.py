@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed_values as V
 from gleaner.functions.text import strip_html
-from gleaner.functions.vectors import dot
-
-# Words that say nothing about a group of advertisements.
-TERM_STOP_WORDS = "und oder aber der die das dem den des ein eine einer eines einem einen ist sind war waren sein haben hat hatte wird werden wurde für von mit bei aus auf zu zum zur im in am an als auch nach über unter vor durch sowie sich ihre ihr unser unsere du dich dir sie wir uns ihnen man wenn dass damit sowohl als auch nicht kein keine mehr sehr gut gute guten neue neuen erste ersten wir bieten suchen bringst dein deine stelle stellen job jobs arbeit arbeiten mitarbeiter mitarbeiterin aufgaben profil anforderungen angebot bewerbung team unternehmen firma prozent pensum region schweiz ch ag gmbh sa"
+from gleaner.functions.vectors import embed_udf
 
 
 def words_of(text: Column) -> Column:
     """Distinct words of four or more letters that aren't stop words."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(strip_html(text)), F.lit("[a-zäöüß]{4,}"), 0))
-    return F.filter(found, lambda w: ~w.isin(sorted(set(TERM_STOP_WORDS.split()))))
+    return F.filter(found, lambda w: ~w.isin(sorted(set(V.TERM_STOP_WORDS))))
 
 
 def characteristic_terms(docs: DataFrame, *, group: str, text: str, top: int = 6) -> DataFrame:
@@ -62,17 +62,52 @@ def skill_demand(docs: DataFrame, *, group: str, text: str, skills: dict[str, li
     return demand.join(sizes, "g").select(F.col("g").alias(group), "skill", "demand", part.alias("share"), has.alias("own"), (~has & (part >= share)).alias("gap"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """queries(p_id, v), rows(r_id, r_v, …) → the k rows with the largest dot product per query.
+def nearest(queries: DataFrame, rows: DataFrame, k: int, *, block: int = 2048) -> DataFrame:
+    """queries(p_id, v), rows(r_id, r_v, …) → the k rows with the largest dot product per query, exactly.
 
-    `queries` is a stated set, broadcast if provably small, against which every row is held once where it
-    lies; the window keeps k rows per query in each partition before the shuffle.
+    `queries` is a stated set; it goes to the workers in blocks of at most `block` vectors, and a block is held
+    against every row in one pass over `rows`, where they lie. A task keeps k rows per query, so what
+    is shuffled is at most k x queries x tasks, whatever the number of rows. Null vectors have no neighbours.
     """
-    from gleaner.operators.lookup import _dim
-
-    pairs = rows.join(_dim(queries)).withColumn("similarity", dot(F.col("v"), F.col("r_v"))).drop("v", "r_v")
+    spark = rows.sparkSession
+    p_type, r_type = queries.schema["p_id"].dataType.simpleString(), rows.schema["r_id"].dataType.simpleString()
+    asked = queries.where(F.col("p_id").isNotNull() & F.col("v").isNotNull()).select("p_id", F.col("v").cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // block))
+    held = rows.where(F.col("r_v").isNotNull()).select("r_id", F.col("r_v").cast("array<double>").alias("r_v"))
+    found = None
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("p_id"), F.lit(blocks)) == b)
+        own = part.collect()  # about `block` vectors
+        if not own:
+            continue
+        shared = spark.sparkContext.broadcast(([r["p_id"] for r in own], np.array([r["v"] for r in own])))
+
+        def top(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, vectors = shared.value
+            best_s, best_r = np.empty((len(ids), 0)), np.empty((len(ids), 0), object)
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                sims = np.concatenate((best_s, vectors @ np.stack(pdf["r_v"].to_numpy()).T), axis=1)
+                names = np.concatenate((best_r, np.broadcast_to(pdf["r_id"].to_numpy().astype(object), (len(ids), len(pdf)))), axis=1)
+                if sims.shape[1] > k:
+                    # the k-th largest and whatever ties with it, then the smallest ids
+                    least = np.partition(sims, -k, axis=1)[:, -k]
+                    order = [sorted(np.flatnonzero(s >= m).tolist(), key=lambda i, s=s, n=n: (-s[i], n[i]))[:k] for s, m, n in zip(sims, least, names)]
+                    best_s = np.array([s[o] for s, o in zip(sims, order)])
+                    best_r = np.array([n[o] for n, o in zip(names, order)], dtype=object)
+                else:
+                    best_s, best_r = sims, names
+            width = best_s.shape[1]
+            yield pd.DataFrame({"p_id": np.repeat(np.array(ids, object), width), "r_id": best_r.ravel(), "similarity": best_s.ravel()})
+
+        near = held.mapInPandas(top, f"p_id {p_type}, r_id {r_type}, similarity double")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        found = spark.createDataFrame([], f"p_id {p_type}, r_id {r_type}, similarity double")
     position = F.row_number().over(Window.partitionBy("p_id").orderBy(F.col("similarity").desc(), "r_id"))
-    return pairs.withColumn("position", position).where(F.col("position") <= k)
+    kept = found.withColumn("position", position).where(F.col("position") <= k)
+    return kept.join(rows.drop("r_v"), "r_id")
 
 
 def majority_vote(neighbours: DataFrame, label: str, share: float = V.VOTE_SHARE) -> DataFrame:
@@ -87,6 +122,42 @@ def majority_vote(neighbours: DataFrame, label: str, share: float = V.VOTE_SHARE
     return top.where(F.col("c") / F.col("n") >= share).select("p_id", label, F.round(F.col("c") / F.col("n"), 2).alias("agreement"), "best")
 
 
+def label_clusters(titles: DataFrame, taxonomy: DataFrame, embedder, *, votes: int = V.VOTE_NEIGHBOURS, share: float = V.VOTE_SHARE, per_cluster: int = 12) -> DataFrame:
+    """titles(cluster, title), taxonomy(title, field) → (cluster, field, agreement, best): the field that the
+    occupations nearest to a cluster's most frequent titles agree on; clusters without agreement have no row.
+
+    Titles are compared with titles: the text of a cluster is its `per_cluster` most frequent ones.
+    """
+    named = titles.where(F.col("cluster").isNotNull() & F.col("title").isNotNull())
+    counts = named.groupBy("cluster", "title").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("n").desc(), "title"))
+    heads = counts.withColumn("k", rank).where(F.col("k") <= per_cluster).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("k", "title"))).alias("t"))
+    vector = embed_udf(embedder)
+    asked = heads.select(F.col("cluster").alias("p_id"), vector(F.array_join(F.transform("t", lambda x: x["title"]), "; ")).alias("v"))
+    known = taxonomy.where(F.col("title").isNotNull()).select(F.col("title").alias("r_id"), "field").dropDuplicates(["r_id"])
+    near = nearest(asked, known.select("r_id", "field", vector("r_id").alias("r_v")), votes)
+    size = near.groupBy("p_id").agg(F.count(F.lit(1)).alias("n"))  # those without a field count in the share, not in the vote
+    cast = near.where(F.col("field").isNotNull()).groupBy("p_id", "field").agg(F.count(F.lit(1)).alias("c"), F.min("position").alias("first"), F.min_by("r_id", "position").alias("best"))
+    order = F.row_number().over(Window.partitionBy("p_id").orderBy(F.col("c").desc(), "first"))
+    won = cast.withColumn("k", order).where("k = 1").join(size, "p_id").where(F.col("c") / F.col("n") >= share)
+    return won.select(F.col("p_id").alias("cluster"), "field", F.round(F.col("c") / F.col("n"), 2).alias("agreement"), "best")
+
+
+def cluster_name(cluster: Column, field: Column, words: Column) -> Column:
+    """'field — a, b, c', or what there is of it, else 'Cluster n'."""
+    three = F.nullif(F.array_join(F.slice(F.coalesce(words, F.array().cast("array<string>")), 1, 3), ", "), F.lit(""))
+    return F.when(field.isNotNull(), F.concat_ws(" — ", field, three)).otherwise(F.coalesce(three, F.concat(F.lit("Cluster "), cluster.cast("string"))))
+
+
+def cluster_report(labelled: DataFrame) -> DataFrame:
+    """(clusters, noise, total, noise_share) of labels as `vector_clusters` gives them, -1 being noise."""
+    noise, total = F.count_if(F.col("label") == -1), F.count(F.lit(1))
+    return labelled.agg(
+        F.count_distinct(F.when(F.col("label") != -1, F.col("label"))).alias("clusters"), noise.alias("noise"), total.alias("total"),
+        F.when(total > 0, F.round(100.0 * noise / total, 1)).otherwise(0.0).alias("noise_share"),
+    )
+
+
 def vector_clusters(df: DataFrame, *, key: str, vector: str, min_size: int = 25, k: int | None = None, dims: int = 12, seed: int = 42) -> DataFrame:
     """(key, label): PCA, bisecting k-means, and label -1 for clusters below `min_size`.
 

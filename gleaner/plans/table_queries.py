@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import fixed_values as V
 from gleaner.functions import vectors
 from gleaner.functions.geo import haversine_km
-from gleaner.functions.pii import contact_leaks, scrub_json
+from gleaner.functions.pii import contact_leaks, scrub_source_b
 from gleaner.operators import company, dedup, delivery, ranking, store, terms
 from gleaner.operators.lookup import geocode
 from gleaner.operators.spatial import points_in_regions, points_within
@@ -84,7 +85,26 @@ def company_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("company_key", "name", "ads", "declared_agency", "codes", "cities", F.round("code_ratio", 6).alias("code_ratio"), F.round("spread_km", 4).alias("spread_km"))
 
 
-@query()
+_J = lambda pattern: "'(?i)" + pattern.replace("'", "''") + "'"
+
+
+@query(
+    f"""
+WITH b AS (SELECT {_company('company_name')} AS k, company_name, id, occupation_codes AS codes, nullif(city, '') AS city,
+                  CASE WHEN lon IS NOT NULL THEN lat END AS la, CASE WHEN lat IS NOT NULL THEN lon END AS lo, coalesce(company_is_agency, false) AS d,
+                  regexp_matches({_strip('description_md')}, {_J(V.CLIENT_MENTION)}) AS mention FROM jobs),
+     m AS (SELECT k, arg_min(company_name, id) AS name, count(*) AS ads, bool_or(d) AS declared, count(*) FILTER (mention) AS mentions, avg(la) AS cla, avg(lo) AS clo, count(la) AS points, count(DISTINCT city) AS cities FROM b GROUP BY k),
+     c AS (SELECT k, count(DISTINCT code) AS codes FROM (SELECT k, unnest(codes) AS code FROM b) GROUP BY k),
+     s AS (SELECT b.k, avg(2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(cla - la) / 2), 2) + cos(radians(la)) * cos(radians(cla)) * pow(sin(radians(clo - lo) / 2), 2))))) AS spread
+           FROM b JOIN m ON m.k = b.k WHERE la IS NOT NULL GROUP BY b.k),
+     p AS (SELECT m.k, ads, declared, regexp_matches(name, {_J(V.AGENCY_NAME)}) AS named, regexp_matches(name, {_J(V.PUBLIC_EMPLOYER)}) AS public,
+                  ads >= {V.PATTERN_MIN_ADS} AND coalesce(c.codes, 0) / ads >= {V.PATTERN_MIN_CODE_RATIO} AND mentions >= {V.PATTERN_MIN_CLIENT_MENTIONS}
+                  AND (cities >= {V.PATTERN_MIN_CITIES} OR CASE WHEN points >= 2 THEN spread ELSE 0 END >= {V.PATTERN_MIN_SPREAD_KM}) AS pattern
+           FROM m LEFT JOIN c ON c.k = m.k LEFT JOIN s ON s.k = m.k)
+SELECT CASE WHEN named THEN '{V.AGENCY_REASONS["name"]}' WHEN declared THEN '{V.AGENCY_REASONS["declared"]}' ELSE 'Muster' END AS signal, sum(ads)::BIGINT AS ads
+FROM p WHERE named OR (NOT public AND (declared OR pattern)) GROUP BY signal
+"""
+)
 def publisher_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publishers classified, put back on rows and summed by signal."""
     return company.agency_summary(company.annotate_jobs(_jobs_for_profiles(spark, sf_dir)))
@@ -123,7 +143,7 @@ def top_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.groupBy("company_name").agg(F.count(F.lit(1)).alias("ads"), F.count_distinct("content_hash").alias("texts")).orderBy(F.desc("ads"), "company_name").limit(20)
 
 
-@query("SELECT profile, CASE rating WHEN 1 THEN 'passt' WHEN 0 THEN 'vielleicht' ELSE 'passt nicht' END AS label, coalesce(reason, '') AS reason, count(*) AS n FROM feedback GROUP BY ALL")
+@query("SELECT profile, CASE rating WHEN 1 THEN 'interessant' WHEN 0 THEN 'vielleicht' ELSE 'nein' END AS label, coalesce(reason, '') AS reason, count(*) AS n FROM feedback GROUP BY ALL")
 def feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings by label and reason."""
     label = F.create_map(*(F.lit(x) for kv in delivery.RATING_LABELS.items() for x in kv))[F.col("rating")]
@@ -146,7 +166,7 @@ FROM n JOIN t ON t.profile = n.profile
 )
 def suggested_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights that rejections suggest."""
-    done = delivery.weight_suggestions(table(spark, sf_dir, "feedback"), {"workload": 0.5, "location": 0.8, "agency": 0.35, "semantic": 1.0})
+    done = delivery.weight_suggestions(table(spark, sf_dir, "feedback"), {"workload": 0.5, "location": 0.8, "agency_penalty": 0.35, "semantic": 1.0})
     return done.withColumn("share", F.round("share", 6))
 
 
@@ -173,6 +193,28 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("profile", "job_rowid", "company_name", "is_new", F.col("position").cast("long").alias("position"))
 
 
+@query(
+    f"""
+WITH d AS (SELECT d.profile, f.job_rowid IS NULL AS is_new, row_number() OVER (PARTITION BY d.profile ORDER BY final_score DESC, d.job_rowid) AS position
+  FROM (SELECT s.profile, s.job_rowid, final_score, company_name FROM {LATEST} s JOIN jobs j ON j.id = s.job_rowid
+        QUALIFY row_number() OVER (PARTITION BY s.profile, company_name ORDER BY final_score DESC, s.job_rowid) <= 3) d
+  LEFT JOIN feedback f ON f.profile = d.profile AND f.job_rowid = d.job_rowid),
+  s AS (SELECT profile, count(*) AS n FROM feedback GROUP BY profile),
+  r AS (SELECT profile, count(*) AS shown, count(*) FILTER (is_new) AS new_count FROM d WHERE position <= 15 GROUP BY profile)
+SELECT coalesce(r.profile, s.profile) AS profile, CASE WHEN r.profile IS NULL THEN 0 ELSE 1 END AS digests, coalesce(s.n, 0) + coalesce(new_count, 0) AS already_shown, shown, new_count
+FROM r FULL JOIN s ON s.profile = r.profile
+"""
+)
+def digest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest recorded: the run, what is shown for the first time, and the totals after it."""
+    entries = digests(spark, sf_dir)
+    before = table(spark, sf_dir, "feedback", "profile", "job_rowid", F.col("created_at").alias("first_shown_at"))
+    seen, runs = delivery.record_digest(entries, F.lit(NOW).cast("timestamp_ntz"))
+    after = store.record_entries(before, seen, ["profile", "job_rowid"])
+    last = delivery.last_digest(runs).select("profile", "shown", "new_count")
+    return delivery.digest_stats(runs, after).withColumn("digests", F.col("digests").cast("int")).join(last, "profile", "left")
+
+
 @query(
     f"""
 SELECT profile, job_rowid, row_number() OVER (PARTITION BY profile ORDER BY final_score DESC, job_rowid) AS position FROM (
@@ -439,15 +481,20 @@ def best_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH n AS (SELECT a.vec_id AS p, b.vec_id AS r, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS k
-           FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a, embeddings b WHERE a.vec_id <> b.vec_id),
+WITH e AS (SELECT vec_id, embedding, CASE WHEN embedding[1] > 0 THEN 2 ELSE 0 END + CASE WHEN embedding[2] > 0 THEN 1 ELSE 0 END AS label FROM embeddings),
+     n AS (SELECT a.vec_id AS p, b.vec_id AS r, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS k
+           FROM (SELECT * FROM e WHERE vec_id % 100 = 0) a, e b WHERE a.vec_id <> b.vec_id),
      v AS (SELECT p, label, count(*) AS c, min(k) AS f, arg_min(r, k) AS best FROM n WHERE k <= 12 GROUP BY ALL)
 SELECT p AS vec_id, label, round(c / 12, 2) AS agreement, best FROM v QUALIFY row_number() OVER (PARTITION BY p ORDER BY c DESC, f) = 1 AND c / 12 >= 0.4
 """
 )
 def voted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Majority label among the twelve nearest of all others, for every hundredth vector."""
-    vecs = table(spark, sf_dir, "embeddings")
+    """Majority among the twelve nearest of all others, for every hundredth vector.
+
+    The labels are planted, by the signs of two components: those of the table have no majorities.
+    """
+    sign = lambda i, n: F.when(F.element_at("embedding", i) > 0, n).otherwise(0)
+    vecs = table(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumn("label", sign(1, 2) + sign(2, 1))
     queries = vecs.where("vec_id % 100 = 0").select(F.col("vec_id").alias("p_id"), F.col("embedding").alias("v"))
     near = terms.nearest(queries, vecs.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("r_v"), "label"), 13).where("p_id <> r_id")
     again = F.row_number().over(Window.partitionBy("p_id").orderBy("position"))
@@ -477,40 +524,54 @@ def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.parse_sitemap(xml).withColumn("lastmod", F.col("lastmod").cast("timestamp_ntz"))
 
 
-@query("SELECT DISTINCT id, title, CASE WHEN coalesce(company.name, '') = '' THEN 'missing' ELSE 'ok' END AS outcome FROM ch_media_vacancies")
+@query("SELECT DISTINCT id, title, CASE WHEN id % 5 < 2 THEN 'gone' WHEN coalesce(company.name, '') = '' THEN 'missing' ELSE 'ok' END AS outcome, CASE id % 5 WHEN 0 THEN 404 WHEN 1 THEN 410 ELSE 200 END AS http_status FROM ch_media_vacancies")
 def embedded_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vacancies embedded in pages and taken out again."""
+    """Vacancies embedded in pages and taken out again; two in five are gone, by status or by title."""
     rows = table(spark, sf_dir, "ch_media_vacancies", "id", "title", "activity", "company")
     data = F.when(F.coalesce("company.name", F.lit("")) == "", F.lit("{}")).otherwise(F.to_json(F.struct("id", "title", "activity")))
-    page = F.concat(F.lit("<title>Stelle</title><script>window.__PRELOADED_STATE__ = {\"x\":\"}\",\"vacancyDetails\":{\"data\":"), data, F.lit("}};</script>"))
-    done = web.route_fetches(rows.select(F.col("id").cast("string").alias("source_id"), F.lit(200).alias("http_status"), page.alias("html"), "id", "title"))
-    return done.select("id", "title", "outcome").distinct()
+    head = F.when(F.pmod("id", F.lit(5)) == 1, "<title>Stelle nicht mehr da</title>").otherwise("<title>Stelle</title>")
+    page = F.concat(head, F.lit("<script>window.__PRELOADED_STATE__ = {\"x\":\"}\",\"vacancyDetails\":{\"data\":"), data, F.lit("}};</script>"))
+    done = web.route_fetches(rows.select(F.col("id").cast("string").alias("source_id"), F.when(F.pmod("id", F.lit(5)) == 0, 404).otherwise(200).alias("http_status"), page.alias("html"), "id", "title"))
+    return done.select("id", "title", "outcome", "http_status").distinct()
 
 
 @query(
     f"""
 SELECT DISTINCT id::VARCHAR AS source_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, workplace_zip AS postal_code, type_value_min AS workload_min,
-       CASE WHEN type_value_min > type_value_max THEN type_value_min ELSE coalesce(type_value_max, type_value_min) END AS workload_max, CASE WHEN home_office THEN true END AS home_office,
-       len(list_filter(categories, lambda c: coalesce(c.title, '') <> '')) AS n_categories, length({_strip("concat_ws(chr(10), nullif(activity, ''), nullif(requirements, ''))")}) < 350 AS short_text
+       CASE WHEN type_value_min > type_value_max THEN type_value_min ELSE coalesce(type_value_max, type_value_min) END AS workload_max, home_office, coalesce(nullif(url_application, ''), nullif(url_description, '')) AS apply_url,
+       len(list_filter(categories, lambda c: coalesce(c.title, '') <> '')) AS n_categories, length({_strip("concat_ws(chr(10), nullif(activity, ''), nullif(requirements, ''))")}) < 350
+         OR coalesce(lower(regexp_extract(url_description, '^https?://([^/:?#]+)', 1)) <> lower(regexp_extract(_source_url, '^https?://([^/:?#]+)', 1)), false) AS description_truncated
 FROM ch_media_vacancies WHERE coalesce(trim(title), '') <> '' AND coalesce(trim(company.name), '') <> ''
 """
 )
 def projected_vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat vacancies in canonical form."""
-    from gleaner.functions.text import strip_html
-
     rows = table(spark, sf_dir, "ch_media_vacancies").withColumn("portal", F.regexp_extract("_source_url", r"//www\.([a-z]+)\.", 1))
     done = raw.project_b(rows, F.lit(NOW).cast("timestamp"))
-    short = F.length(strip_html(F.col("description_md"))) < 350
-    return done.select("source_id", "title", "postal_code", "workload_min", "workload_max", "home_office", F.size("categories").cast("long").alias("n_categories"), short.alias("short_text")).distinct()
+    return done.select("source_id", "title", "postal_code", "workload_min", "workload_max", "home_office", "apply_url", F.size("categories").cast("long").alias("n_categories"), "description_truncated").distinct()
 
 
-@query()
+_REDACTED = lambda c: f"regexp_replace(regexp_replace({c}, '(?i)[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_-]+\\.[\\p{{L}}\\p{{N}}_.]{{2,}}', '[E-Mail entfernt]', 'g'), {_J(V.PHONE)}, '[Telefon entfernt]', 'g')"
+
+
+@query(
+    f"""
+SELECT DISTINCT id, {_REDACTED('title')} AS title, md5({_REDACTED('activity')}) AS activity, md5({_REDACTED('requirements')}) AS requirements, coalesce(has_contact_person, false) AS has_contact_person, 0 AS leaks,
+       CASE WHEN regexp_matches(trim(url_application), '(?i)^https?://[^/?#\\s@]+([/?#]\\S*)?$') AND NOT regexp_matches(url_application, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_-]+\\.[\\p{{L}}\\p{{N}}_.]{{2,}}') THEN trim(url_application) END AS url_application
+FROM ch_media_vacancies
+"""
+)
 def scrubbed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole records as JSON without contact data, and what leaks were found."""
-    rows = table(spark, sf_dir, "ch_media_vacancies", "id", "title", "activity", "requirements", "company")
-    doc = F.to_json(F.struct("id", "title", "activity", "requirements", "company"))
-    return rows.select("id", F.length(scrub_json(doc)).alias("length"), F.size(contact_leaks(doc)).alias("leaks"))
+    """Records of source B as JSON with a contact, after the typed scrub."""
+    rows = table(spark, sf_dir, "ch_media_vacancies", "id", "title", "activity", "requirements", "url_application", "has_contact_person")
+    contact = F.when(F.col("has_contact_person"), F.lit("<p>Anna Muster, <a href='mailto:anna@muster.example'>Mail</a>, 044 123 45 67</p>"))
+    doc = F.to_json(F.struct("id", "title", "activity", "requirements", "url_application", contact.alias("contact")))
+    done = rows.select("id", scrub_source_b(doc).alias("j"))
+    of = lambda name: F.get_json_object("j", f"$.{name}")
+    return done.select(
+        "id", of("title").alias("title"), F.md5(of("activity")).alias("activity"), F.md5(of("requirements")).alias("requirements"), of("url_application").alias("url_application"),
+        (of("has_contact_person") == "true").alias("has_contact_person"), F.size(contact_leaks("j")).alias("leaks"),
+    ).distinct()
 
 
 # --- positions -------------------------------------------------------------------------------------

@@ -281,7 +281,7 @@ def requirement_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.select("id", requirements.requirements(F.col("title"), F.col("description_md")).alias("r")).select("id", "r.*")
 
 
-_TERM_STOP = ", ".join(_q(w) for w in sorted(set(terms.TERM_STOP_WORDS.split())))
+_TERM_STOP = ", ".join(_q(w) for w in sorted(set(V.TERM_STOP_WORDS)))
 
 
 @query(

@@ -22,16 +22,34 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("source_id string, json string, portal string, day date").option("ignoreCorruptFiles", True).json(path)
 
 
+def _documents(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).text(path, wholetext=True)
+    return text.select(F.from_json("value", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"), F.col("_metadata.file_path").alias("raw_path"))
+
+
 def read_files(spark: SparkSession, path: str, portal: str, schema: str, pattern: str = "*.json.gz") -> DataFrame:
     """One JSON document per file, recursively; unreadable files and broken documents are dropped.
 
-    Adds `raw_path` and `portal`.
+    Adds `raw_path` and `portal`. `skipped_files` lists what is dropped.
     """
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"), F.col("_metadata.file_path").alias("raw_path"))
+    parsed = _documents(spark, path, schema, pattern)
     return parsed.where(F.col("r").isNotNull() & F.col("r._broken").isNull()).select("r.*", "raw_path", F.lit(portal).alias("portal")).drop("_broken")
 
 
+def skipped_files(spark: SparkSession, path: str, schema: str, pattern: str = "*.json.gz") -> DataFrame:
+    """(raw_path, reason) of the files that `read_files` drops: 'unreadable' or 'broken'; for the run's log."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("raw_path"))
+    seen = _documents(spark, path, schema, pattern).select("raw_path", (F.col("r").isNull() | F.col("r._broken").isNotNull()).alias("broken"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731 - the two readers spell local paths differently
+    both = listed.withColumn("k", plain("raw_path")).join(seen.select(plain("raw_path").alias("k"), "broken"), "k", "left")
+    return both.where(F.coalesce("broken", F.lit(True))).select("raw_path", F.when(F.col("broken").isNull(), "unreadable").otherwise("broken").alias("reason"))
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """pages(portal, day, html) → text files under portal=…/day=…"""
+    pages.select("portal", "day", F.col("html").alias("value")).write.mode("append").partitionBy("portal", "day").text(path)
+
+
 def last_path_wins(df: DataFrame) -> DataFrame:
     """One record per (portal, source_id): that of the last path."""
     return latest_by_key(df, ["portal", "source_id"], ["raw_path"])
@@ -97,11 +115,11 @@ def project_b(raw: DataFrame, now: Column) -> DataFrame:
         F.greatest(to_int(F.col("type_value_max")), to_int(F.col("type_value_min"))).alias("workload_max"),
         F.lit(None).cast("boolean").alias("is_permanent"),
         to_datetime(F.col("date_start")).cast("date").alias("start_date"),
-        F.when(F.col("home_office"), True).alias("home_office"),
+        F.col("home_office"),
         F.coalesce(to_datetime(F.col("date_first_published")), to_datetime(F.col("date_actualization"))).alias("posted_at"),
         F.lit(None).cast("timestamp").alias("expires_at"),
         F.lit("active").alias("status"),
-        first_filled(F.col("url_application"), F.col("_source_url")).alias("apply_url"),
+        first_filled(F.col("url_application"), F.col("url_description")).alias("apply_url"),
         F.array().cast("array<string>").alias("occupation_codes"),
         F.filter(F.transform("categories", lambda c: c["title"]), lambda x: F.coalesce(x, F.lit("")) != "").alias("categories"),
         F.array().cast("array<string>").alias("languages"),

@@ -16,8 +16,14 @@ def file_stream(spark: SparkSession, path: str, schema: str, *, fmt: str = "parq
     return reader.load(path)
 
 
-def first_seen(stream: DataFrame, keys: list[str], moment: str, late: str = "7 days") -> DataFrame:
-    """Each key once, at its first arrival; state older than the watermark is dropped."""
+def first_seen(stream: DataFrame, keys: list[str], moment: str, late: str | None = "7 days") -> DataFrame:
+    """Each key once, at its first arrival.
+
+    State older than the watermark is dropped, so a key may come again after `late`. With `late` None keys are
+    never forgotten; for a seen-set of any size use `keep_seen_set`, whose state is a table.
+    """
+    if late is None:
+        return stream.dropDuplicates(keys)
     return stream.withWatermark(moment, late).dropDuplicatesWithinWatermark(keys)
 
 
@@ -25,27 +31,27 @@ def windowed_counts(stream: DataFrame, moment: str, group: str, *, width: str =
     return stream.withWatermark(moment, late).groupBy(F.window(moment, width).alias("w"), group).agg(F.count(F.lit(1)).alias("n"))
 
 
-def keep_seen_set(stream: DataFrame, target: str, keys: list[str], checkpoint: str):
-    """Brings the seen-set at `target` up to date once per micro-batch; running it again changes nothing."""
+def _into(stream: DataFrame, target: str, keys: list[str], merge, checkpoint: str, n_buckets: int):
+    """Each micro-batch into the table at `target`, once: a batch that is run again after a crash changes nothing."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        new = batch.dropDuplicates(keys)
-        store.commit(spark, store.record_entries(spark.read.parquet(target), new, keys) if known else new, target)
+    def write(batch: DataFrame, number: int) -> None:
+        table = store.Table(batch.sparkSession, target)
+        table.update(batch.dropDuplicates(keys), keys, merge, n_buckets=n_buckets, writer=checkpoint, batch=number)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_table(stream: DataFrame, target: str, keys: list[str], updated: list[str], checkpoint: str):
-    """Upserts each micro-batch into the table at `target`: `updated` columns change, the rest is kept."""
+def keep_seen_set(stream: DataFrame, target: str, keys: list[str], checkpoint: str, *, seed: bool = False, n_buckets: int = 64):
+    """Brings the seen-set at `target` up to date; known keys keep what was first recorded.
+
+    With `seed` only the keys are recorded and count as fetched, so that a first run over an old
+    source leaves nothing pending.
+    """
+    if seed:
+        stream = stream.select(*(F.col(c) if c in keys else F.current_timestamp().alias(c) if c == "fetched_at" else F.lit(None).cast(t).alias(c) for c, t in stream.dtypes))
+    return _into(stream, target, keys, lambda old, new: store.record_entries(old, new, keys), checkpoint, n_buckets)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        new = batch.dropDuplicates(keys)
-        store.commit(spark, store.upsert(spark.read.parquet(target), new, keys, updated) if known else new, target)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_table(stream: DataFrame, target: str, keys: list[str], updated: list[str], checkpoint: str, *, n_buckets: int = 64):
+    """Upserts each micro-batch into the table at `target`: `updated` columns change, the rest is kept."""
+    return _into(stream, target, keys, lambda old, new: store.upsert(old, new, keys, updated), checkpoint, n_buckets)

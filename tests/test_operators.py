@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,8 +155,114 @@ def test_seen_set_and_commit(spark, tmp_path):
     assert rows(after) == [("a", "1", "x"), ("a", "2", "y")]
     path = str(tmp_path / "t")
     store.commit(spark, after, path)
-    store.commit(spark, store.record_entries(spark.read.parquet(path), new, ["portal", "source_id"]), path)
-    assert rows(spark.read.parquet(path)) == rows(after)
+    store.commit(spark, store.record_entries(store.read(spark, path), new, ["portal", "source_id"]), path)
+    assert rows(store.read(spark, path)) == rows(after)
+
+
+def _boxes(table):
+    return {b: f for b, f in table.state()["buckets"].items()}
+
+
+def test_updates_touch_their_buckets_only_and_once(spark, tmp_path):
+    table = store.Table(spark, str(tmp_path / "t"))
+    assert not table.exists()
+    merge = lambda old, new: store.upsert(old, new, ["k"], ["v"])
+    make = lambda data: spark.createDataFrame(data, "k string, v string")
+    assert table.update(make([(f"k{i}", "a") for i in range(100)]), ["k"], merge, n_buckets=8, writer="w", batch=0)
+    before = _boxes(table)
+    assert table.update(make([("k3", "b"), ("neu", "c")]), ["k"], merge, writer="w", batch=1)
+    after = _boxes(table)
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2 and len(before) == 8
+    got = dict(rows(table.read()))
+    assert len(got) == 101 and got["k3"] == "b" and got["neu"] == "c" and got["k4"] == "a"
+    # the same batch again, as after a crash
+    assert not table.update(make([("k3", "z")]), ["k"], merge, writer="w", batch=1) and dict(rows(table.read()))["k3"] == "b"
+    assert table.vacuum(keep=1) >= 0 and dict(rows(table.read())) == got
+
+
+def test_a_crash_before_the_commit_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    table = store.Table(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame([("a", "1")], "k string, v string")
+    merge = lambda old, new: store.upsert(old, new, ["k"], ["v"])
+    table.update(df, ["k"], merge)
+    with monkeypatch.context() as m:
+        m.setattr(store.Table, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            table.update(df.selectExpr("k", "'2' AS v"), ["k"], merge, writer="w", batch=7)
+    assert rows(table.read()) == [("a", "1")]
+    assert table.update(df.selectExpr("k", "'2' AS v"), ["k"], merge, writer="w", batch=7) and rows(table.read()) == [("a", "2")]
+    # two writers with one version: the second fails, nothing is overwritten
+    state = table.state()
+    with pytest.raises(RuntimeError, match="someone else"):
+        table._publish(state)
+    assert rows(table.read()) == [("a", "2")]
+
+
+def test_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-5, 6, (300, 8)).astype(float)
+    v[7] = v[9]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None)], "r_id long, r_v array<double>").withColumn("extra", F.lit("e"))
+    asked = df.where("r_id % 3 = 0").select(F.col("r_id").alias("p_id"), F.col("r_v").alias("v"))
+    for block in (2048, 17):
+        got = {}
+        for r in terms.nearest(asked, df, 5, block=block).collect():
+            got.setdefault(r.p_id, {})[r.position] = r.r_id
+            assert r.extra == "e"
+        for i in range(0, 300, 3):
+            want = sorted(range(300), key=lambda j: (-float(v[i] @ v[j]), j))[:5]
+            assert [got[i][k] for k in range(1, 6)] == want
+    assert terms.nearest(asked.limit(0), df, 5).count() == 0 and terms.nearest(asked, df.limit(0), 5).count() == 0
+
+
+class _Fake:
+    name, dim = "fake", 2
+    known = {"Logistiker/in EFZ": [1.0, 0.0], "Lagerist/in": [0.99, 0.1], "Disponent/in": [0.98, 0.15], "Koch/Köchin EFZ": [0.0, 1.0], "Informatiker/in EFZ": [-1.0, 0.0]}
+
+    def embed(self, texts):
+        out = np.array([self.known.get(t, [1.0, 0.05]) for t in texts], np.float32)
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def test_labels_of_clusters(spark):
+    fields = {"Logistiker/in EFZ": "Logistik", "Lagerist/in": "Logistik", "Disponent/in": "Logistik", "Koch/Köchin EFZ": "Gastgewerbe", "Informatiker/in EFZ": "Informatik"}
+    taxonomy = spark.createDataFrame(list(fields.items()), "title string, field string")
+    titles = spark.createDataFrame([(0, "logistiker"), (0, "lagerist"), (None, "x"), (1, None)], "cluster int, title string")
+    (row,) = terms.label_clusters(titles, taxonomy, _Fake()).collect()
+    assert (row.cluster, row.field, row.agreement, row.best) == (0, "Logistik", 0.6, "Logistiker/in EFZ")
+    assert terms.label_clusters(titles, taxonomy, _Fake(), share=0.7).count() == 0 and terms.label_clusters(titles, taxonomy.limit(0), _Fake()).count() == 0
+    df = spark.createDataFrame([(7, "Logistik", ["a", "b", "c", "d"]), (7, "Logistik", []), (7, None, ["a"]), (7, None, None)], "c int, f string, w array<string>")
+    assert [r[0] for r in df.select(terms.cluster_name(F.col("c"), F.col("f"), F.col("w"))).collect()] == ["Logistik — a, b, c", "Logistik", "a", "Cluster 7"]
+    report = terms.cluster_report(spark.createDataFrame([(0,), (0,), (1,), (-1,)], "label int")).first()
+    assert tuple(report) == (2, 1, 4, 25.0) and terms.cluster_report(spark.createDataFrame([], "label int")).first()["noise_share"] == 0.0
+
+
+def test_digest_state(spark, tmp_path):
+    when = lambda d: F.lit(f"2025-01-0{d} 08:00:00").cast("timestamp")
+    entries = spark.createDataFrame([("p", 1, True), ("p", 2, False), ("q", 3, True)], "profile string, job_rowid long, is_new boolean")
+    seen, runs = delivery.record_digest(entries, when(1))
+    _, later = delivery.record_digest(entries.where("profile = 'p'"), when(2))
+    runs = delivery.with_digest_path(runs.unionByName(later), spark.createDataFrame([("p", "x.md")], "profile string, path string"))
+    assert {(r.profile, r.created_at.day, r.path) for r in runs.collect()} == {("p", 1, None), ("p", 2, "x.md"), ("q", 1, None)}
+    assert {(r.profile, r.shown, r.new_count) for r in delivery.last_digest(runs).collect()} == {("p", 2, 1), ("q", 1, 1)}
+    assert rows(delivery.digest_stats(runs, seen)) == [("p", 2, 2), ("q", 1, 1)]
+    path = delivery.write_digest([{"position": 1, "title": "T", "company_name": "A", "workload": "80%", "is_new": True, "snippet": "s"}], "p/x", str(tmp_path), when=datetime(2025, 1, 2))
+    assert path.endswith("2025-01-02_p_x.md") and "**T**" in open(path, encoding="utf-8").read()
+    profiles = spark.createDataFrame([("b",), ("a",), ("q",)], "profile string")
+    assert [r.profile for r in delivery.profiles_by_scores(profiles, entries).collect()] == ["q", "a", "b"]
+
+
+def test_places_by_first_occurrence(spark):
+    df = spark.createDataFrame([("g", "Bern", 3), ("g", "Aarau", 5), ("g", "Bern", 9), ("g", "Zug", 1), ("g", "", 0), (None, "Chur", 1)], "group_id string, city string, id long")
+    assert delivery.group_places(df, order="id").first()["places"] == ["Zug", "Bern", "Aarau"] and delivery.group_places(df).first()["places"] == ["Aarau", "Bern", "Zug"]
+
+
+def test_stand_in_codes_are_no_place(spark):
+    data = [(1, "job_room", "Koch", "Sonne", "Chur", "k.A.", "x", None), (2, "myjob", "Koch", "Sonne", "Genf", "k.A.", "x", None), (3, "myjob", "Koch", "Sonne", "Chur", "0000", "x", None)]
+    df = spark.createDataFrame(data, "id long, portal string, title string, company_name string, city string, postal_code string, description_md string, apply_url string")
+    got = dict(rows(dedup.cross_portal_clusters(df)))
+    assert got[1] == got[3] and got[1] != got[2]
+    assert rows(dedup.cross_portal_clusters(df, max_group=1)) == rows(dedup.cross_portal_clusters(df))
 
 
 def test_digest_and_render(spark):

@@ -120,10 +120,13 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
         stream = increments.file_stream(spark, source, schema, max_files=1)
         increments.keep_seen_set(stream, target, ["portal", "source_id"], state).awaitTermination()
-    assert rows(spark.read.parquet(target)) == [("a", "1", "x"), ("a", "2", "x"), ("a", "3", "y")]
+    assert rows(store.read(spark, target)) == [("a", "1", "x"), ("a", "2", "x"), ("a", "3", "y")]
     stream = increments.file_stream(spark, source, schema)
     increments.keep_table(stream, str(tmp_path / "table"), ["portal", "source_id"], ["url"], str(tmp_path / "s2")).awaitTermination()
-    assert {r[1] for r in rows(spark.read.parquet(str(tmp_path / "table")))} == {"1", "2", "3"}
+    assert {r[1] for r in rows(store.read(spark, str(tmp_path / "table")))} == {"1", "2", "3"}
+    increments.keep_seen_set(stream.selectExpr("portal", "source_id", "url", "CAST(NULL AS timestamp) AS fetched_at"), str(tmp_path / "seed"), ["portal", "source_id"], str(tmp_path / "s3"), seed=True).awaitTermination()
+    seeded = store.read(spark, str(tmp_path / "seed"))
+    assert seeded.count() == 3 and store.pending(seeded).count() == 0 and seeded.where("url IS NOT NULL").count() == 0
 
 
 def test_windowed_and_first_seen(spark, tmp_path):
@@ -151,3 +154,16 @@ def test_score_pipeline(spark):
     cache = first.select("cache_key", "vector").distinct()
     assert cache.count() == 2 and pipeline.embed_texts(texts, cache, e).count() == 3
     assert store.unseen(first.select("cache_key", "vector"), cache, ["cache_key"]).count() == 0
+
+
+def test_skipped_files_are_listed(spark, raw_folder):
+    got = {(os.path.basename(r.raw_path), r.reason) for r in raw.skipped_files(spark, raw_folder, raw.SCHEMAS["a"]).collect()}
+    assert got == {("d.json.gz", "unreadable"), ("e.json.gz", "broken")}
+    assert store.cache_report(spark, raw_folder).first()["files"] == 6 and store.cache_report(spark, raw_folder).first()["days"] == 2
+
+
+def test_source_b_keeps_what_the_source_says(spark):
+    data = [{"id": i, "title": "Koch", "company": {"name": "A"}, "home_office": h, "url_application": None, "url_description": "https://b.example/1", "_source_url": "https://b.example/2"} for i, h in ((1, False), (2, True), (3, None))]
+    df = spark.createDataFrame([(json.dumps(d),) for d in data], "j string").select(F.from_json("j", raw.SCHEMAS["b"]).alias("r")).select("r.*", F.lit("myjob").alias("portal"))
+    got = {r.source_id: (r.home_office, r.apply_url) for r in raw.project_b(df, now()).collect()}
+    assert got == {"1": (False, "https://b.example/1"), "2": (True, "https://b.example/1"), "3": (None, "https://b.example/1")}

@@ -1,8 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import cast, geo, language, pii, text
 from gleaner.functions import fixed_values as V
+from gleaner.operators import requirements
 
 
 def one(spark, expr, **values):
@@ -98,6 +101,38 @@ def test_contact_data(spark):
     assert sorted(r[0][1]) == ["applyChannel", "company.phone", "text[0]"] and r[1][0] is None and r[2][1] is None
 
 
+def test_typed_scrub(spark):
+    a = {"id": "abc-123", "owner": {"x": 1}, "jobCenterUserId": "u-77", "ref_number": "044 123 45 67", "jobContent": {
+        "externalUrl": "http://a.muster@firma.example", "company": {"name": "Muster AG", "phone": "044 123 45 67", "email": "a@b.example", "surrogate": True},
+        "jobDescriptions": [{"title": "Koch", "description": "Mail an a@b.example oder 044 123 45 67"}],
+        "applyChannel": {"emailAddress": "a@b.example", "phoneNumber": "1", "rawPostAddress": "x", "formUrl": " https://muster.example/bewerben ", "additionalInfo": "Phil"},
+        "publicContact": {"firstName": "B"}}}
+    b = {"id": 7, "title": "Koch", "contact": "<p>Anna, 044 123 45 67</p>", "url_application": "mailto:a@b.example", "url_description": "https://b.example/1", "extraLink": "mailto: a@b.example", "company": {"description": "044 123 45 67", "homepage": "https://b.example/0441234567"}}
+    row = spark.createDataFrame([(json.dumps(a), json.dumps(b), "[1]", "{x")], "a string, b string, c string, d string")
+    got = row.select(pii.scrub_source_a("a"), pii.scrub_source_b("b"), pii.scrub_source_a("c"), pii.scrub_source_b("d")).first()
+    x, y = json.loads(got[0]), json.loads(got[1])
+    content = x["jobContent"]
+    assert set(x) == {"id", "ref_number", "jobContent"} and x["ref_number"] == "[Telefon entfernt]" and content["externalUrl"] is None
+    assert set(content) == {"externalUrl", "company", "jobDescriptions", "applyChannelFlags"} and content["company"] == {"name": "Muster AG", "surrogate": True}
+    assert content["applyChannelFlags"] == {"apply_via_email": True, "apply_via_phone": True, "apply_via_post": True, "form_url": "https://muster.example/bewerben"}
+    assert content["jobDescriptions"][0]["description"] == "Mail an [E-Mail entfernt] oder [Telefon entfernt]"
+    assert y["has_contact_person"] is True and "contact" not in y and y["url_application"] is None and y["url_description"] == "https://b.example/1"
+    assert y["extraLink"] == "mailto: [E-Mail entfernt]" and y["company"] == {"description": "[Telefon entfernt]", "homepage": "https://b.example/0441234567"}
+    assert got[2] is None and got[3] is None
+    left = row.select(pii.scrub_source_a("a").alias("j")).unionByName(row.select(F.col("a").alias("j")))
+    assert [len(r.leaks) > 0 for r in pii.rescrub(left, "j", check=True).collect()] == [True]
+    assert pii.rescrub(pii.rescrub(left, "j"), "j", check=True).count() == 0
+
+
+def test_clauses_and_places_of_matches(spark):
+    langs = lambda t: one(spark, requirements.required_languages(F.lit(t)))
+    assert langs("Franz. Kenntnisse zwingend") == {"fr": 0.5}
+    assert langs("Deutsch, Französisch zwingend, Englisch von Vorteil") == {"fr": 1.0, "en": 0.0}
+    far = "x" * 300
+    assert one(spark, requirements.education(F.lit(f"An der FHNW idealerweise. {far} Abschluss FH zwingend"))[1]) is False
+    assert one(spark, text.quote(F.lit(f"Abc Gleitzeitkonto {far} gleitzeit"), "gleitzeit\\b")).endswith("gleitzeit")
+
+
 def test_distances(spark):
     km = one(spark, geo.haversine_km(F.lit(47.3769), F.lit(8.5417), F.lit(46.948), F.lit(7.4474)))
     assert 90 < km < 100
