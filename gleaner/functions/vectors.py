@@ -59,6 +59,26 @@ class HashingEmbedder:
         return out / np.where(norms == 0, 1, norms)
 
 
+def choose_embedder(makers: list, log=None):
+    """The first embedder of `makers` (functions without arguments) that can be made and embeds a probe.
+
+    The choice falls on the driver, before a job starts, and holds for the whole run: vectors of two models
+    never mix. `log` is told of each that fails; without one that works the last error is raised.
+    """
+    error: Exception | None = None
+    for make in makers:
+        try:
+            embedder = make()
+            if len(embedder.embed(["probe"])[0]) == embedder.dim:
+                return embedder
+            raise ValueError(f"{embedder.name} gives vectors of another length than {embedder.dim}")
+        except Exception as e:  # whatever a model's own code raises
+            error = e
+            if log is not None:
+                log(f"{getattr(make, '__name__', make)}: {e}")
+    raise RuntimeError("no embedder works") from error
+
+
 def embed_udf(embedder):
     """A vector for each text; the embedder is sent once and used batch by batch."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.geo import EARTH_RADIUS_KM, MAX_BITS, cell_code, haversine_km
-from gleaner.session import at_most
+from gleaner.session import at_most, cut, fits_broadcast
 
 _KM_PER_DEGREE = math.pi * EARTH_RADIUS_KM / 180.0
 
@@ -101,6 +101,58 @@ def cover_disc(lat: float, lon: float, radius_km: float, bits: int, bucket_bits:
     return cover_box(south, north, lon - dlon, lon + dlon, bits, bucket_bits, keep)
 
 
+def _touching(lat: np.ndarray, lon: np.ndarray, edges: np.ndarray, south: float, north: float, west: float, east: float) -> np.ndarray:
+    """Those of the numbered edges (point i to i + 1) of a closed line that may touch a box."""
+    la0, la1, lo0, lo1 = lat[edges], lat[edges + 1], lon[edges], lon[edges + 1]
+    near = (np.minimum(la0, la1) <= north) & (np.maximum(la0, la1) >= south) & (np.minimum(lo0, lo1) <= east) & (np.maximum(lo0, lo1) >= west)
+    # all corners on one side of the edge's line: it passes by
+    side = [(la1 - la0) * (x - lo0) - (lo1 - lo0) * (y - la0) for y in (south, north) for x in (west, east)]
+    passes = np.all([v > 0 for v in side], axis=0) | np.all([v < 0 for v in side], axis=0)
+    return edges[near & ~passes]
+
+
+def cover_ring(ring: list[tuple[float, float]], bits: int, bucket_bits: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(bucket, lo, hi, inner) ranges of the cells that a ring of (lat, lon) covers.
+
+    Cells are halved from the whole earth down to `bits`, only where the ring's line passes: what lies
+    inside of it is one range of any size, marked `inner`, in which every point is in the region. The work
+    grows with the length of the line, not with the area.
+    """
+    lat, lon = (np.array([p[k] for p in ring] + [ring[0][k]], float) for k in (0, 1))
+    margin = 1e-9
+
+    def inside(y: float, x: float) -> bool:
+        a, b = lat[:-1], lat[1:]
+        cross = (a > y) != (b > y)
+        at = lon[:-1][cross] + (y - a[cross]) / (b[cross] - a[cross]) * (lon[1:][cross] - lon[:-1][cross])
+        return int((x < at).sum()) % 2 == 1
+
+    found: list[tuple[int, int, bool]] = []
+    stack = [(0, 0, 0, np.arange(len(ring)))]
+    while stack:
+        level, x, y, edges = stack.pop()
+        height, width = 180.0 / (1 << level), 360.0 / (1 << level)
+        south, west = y * height - 90.0, x * width - 180.0
+        edges = _touching(lat, lon, edges, south - margin, south + height + margin, west - margin, west + width + margin)
+        if len(edges) and level < bits:
+            stack += [(level + 1, 2 * x + dx, 2 * y + dy, edges) for dx in (0, 1) for dy in (0, 1)]
+        elif len(edges) or inside(south + height / 2, west + width / 2):
+            free = 2 * (bits - level)
+            low = int(_interleave(np.array([x]), np.array([y]))[0]) << free
+            found.append((low, low + (1 << free) - 1, not len(edges)))
+    found.sort()
+    merged: list[list] = []
+    for lo, hi, inner in found:
+        if merged and merged[-1][2] == inner and merged[-1][1] + 1 == lo:
+            merged[-1][1] = hi
+        else:
+            merged.append([lo, hi, inner])
+    for lo, hi, inner in merged:
+        for bucket in range(lo >> bucket_bits, (hi >> bucket_bits) + 1):
+            first = bucket << bucket_bits
+            yield bucket, max(lo, first), min(hi, first + (1 << bucket_bits) - 1), inner
+
+
 def _ranges(centers: DataFrame, radius_km: float, bits: int, bucket_bits: int) -> DataFrame:
     """Centres (c_key, c_lat, c_lon) → one row per range of their covers."""
     key_type = centers.schema["c_key"].dataType.simpleString()
@@ -200,25 +252,36 @@ def points_in_regions(
 ) -> DataFrame:
     """(point, region) for every region whose ring (array<struct<lat,lon>>) contains the point.
 
-    Rings of fewer than three points, null rings and regions crossing the date line contain nothing.
+    Points in cells that lie inside a ring need no further test; those in cells on its line are tested exactly.
+    Rings of fewer than three points, null rings, rings with null points and regions crossing the date
+    line contain nothing.
     """
     bucket_bits = min(8, 2 * bits)
     p = _clean(points, *point, ("p_key", "p_lat", "p_lon"))
     p = p.withColumn("code", cell_code(F.col("p_lat"), F.col("p_lon"), bits)).withColumn("bucket", F.shiftright("code", bucket_bits))
-    r = regions.select(F.col(region[0]).alias("c_key"), F.col(region[1]).alias("ring")).where(F.size("ring") >= 3)
+    closed = F.transform(F.col(region[1]), lambda q: F.struct(q["lat"].cast("double").alias("lat"), q["lon"].cast("double").alias("lon")))
+    r = regions.select(F.col(region[0]).alias("c_key"), closed.alias("ring")).where(F.size("ring") >= 3)
+    r = r.where(~F.exists("ring", lambda q: q.isNull() | q["lat"].isNull() | q["lon"].isNull()))
     key_type = r.schema["c_key"].dataType.simpleString()
-    box = r.select(
-        "c_key",
-        "ring",
-        *(f(F.col("ring").getField(k)).alias(name) for name, f, k in (("s", F.array_min, "lat"), ("n", F.array_max, "lat"), ("w", F.array_min, "lon"), ("e", F.array_max, "lon"))),
-    ).where(F.col("s").isNotNull() & F.col("w").isNotNull())
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        columns = ["c_key", "bucket", "lo", "hi", "inner"]
         for pdf in batches:
-            rows = [(k, b, a, z) for k, s, n, w, e in zip(pdf["c_key"], pdf["s"], pdf["n"], pdf["w"], pdf["e"]) for b, a, z in cover_box(s, n, w, e, bits, bucket_bits)]
-            yield pd.DataFrame(rows, columns=["c_key", "bucket", "lo", "hi"])
-
-    ranges = box.select("c_key", "s", "n", "w", "e").mapInPandas(cover, f"c_key {key_type}, bucket long, lo long, hi long")
+            for k, ring in zip(pdf["c_key"], pdf["ring"]):
+                for found in cover_ring([(q["lat"], q["lon"]) for q in ring], bits, bucket_bits):
+                    rows.append((k, *found))
+                    if len(rows) == 100_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        yield pd.DataFrame(rows, columns=columns)
+
+    ranges = r.mapInPandas(cover, f"c_key {key_type}, bucket long, lo long, hi long, inner boolean")
     pairs = range_join(p, ranges, F.lit(True), max_broadcast_rows=max_broadcast_rows, hot_rows=hot_rows)
-    hits = pairs.join(box.select("c_key", "ring"), "c_key").where(_in_ring(F.col("p_lat"), F.col("p_lon"), F.col("ring")))
+    tested = _in_ring(F.col("p_lat"), F.col("p_lon"), F.col("ring"))
+    if fits_broadcast(r):
+        hits = pairs.join(F.broadcast(r), "c_key").where(F.col("inner") | tested)
+    else:  # only points on a line meet its ring
+        pairs = cut(pairs.select("p_key", "p_lat", "p_lon", "c_key", "inner"))
+        hits = pairs.where("inner").select("p_key", "c_key").unionByName(pairs.where("NOT inner").join(r, "c_key").where(tested).select("p_key", "c_key"))
     return hits.select(F.col("p_key").alias(out[0]), F.col("c_key").alias(out[1])).distinct()

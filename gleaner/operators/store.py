@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:
@@ -119,7 +120,7 @@ class Table:
         return self.state() is not None
 
     def _read(self, state: dict, buckets: list[str]) -> DataFrame:
-        schema = self.spark.createDataFrame([], state["schema"]).schema
+        schema = StructType.fromJson(json.loads(state["schema"]))
         folders = [f"{self.path}/data/{state['buckets'][b]}/bucket={b}" for b in buckets if b in state["buckets"]]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
@@ -155,7 +156,7 @@ class Table:
         keys = keys or []
         folder, buckets = self._write(rows, keys, n_buckets)
         version = before["version"] + 1 if before else 0
-        self._publish({"version": version, "keys": keys, "n_buckets": n_buckets, "schema": rows.schema.simpleString()[7:-1], "buckets": {b: folder for b in buckets}, "writers": (before or {}).get("writers", {})})
+        self._publish({"version": version, "keys": keys, "n_buckets": n_buckets, "schema": rows.schema.json(), "buckets": {b: folder for b in buckets}, "writers": (before or {}).get("writers", {})})
 
     def update(self, new: DataFrame, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], *, n_buckets: int = 64, writer: str | None = None, batch: int | None = None) -> bool:
         """`merge(old, new)` for the buckets that the keys of `new` fall into; the others are not read or written.
@@ -177,7 +178,7 @@ class Table:
         folder, buckets = self._write(merged, keys, n)
         kept = {b: f for b, f in state["buckets"].items() if b not in touched}
         writers = state["writers"] | ({writer: batch} if writer is not None and batch is not None else {})
-        self._publish({"version": state["version"] + 1, "keys": keys, "n_buckets": n, "schema": merged.schema.simpleString()[7:-1], "buckets": kept | {b: folder for b in buckets}, "writers": writers})
+        self._publish({"version": state["version"] + 1, "keys": keys, "n_buckets": n, "schema": merged.schema.json(), "buckets": kept | {b: folder for b in buckets}, "writers": writers})
         return True
 
     def vacuum(self, keep: int = 2) -> int:

@@ -11,7 +11,8 @@ import json
 import math
 import os
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringContains
 
 RESULT_WINDOW = 10_000
 
@@ -30,13 +31,13 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.window = int(options.get("window", RESULT_WINDOW))
-        self.equal: dict[str, object] = {}
+        self.tests: list[tuple] = []
 
     def pushFilters(self, filters):
-        """Equality on top-level fields is answered at the source; everything else by Spark."""
+        """Comparisons of a field with a value are answered at the source; everything else by Spark."""
         for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1:
-                self.equal[f.attribute[0]] = f.value
+            if type(f) in _TESTS and len(f.attribute) == 1:
+                self.tests.append((_TESTS[type(f)], f.attribute[0], f.value))
             else:
                 yield f
 
@@ -53,8 +54,31 @@ class PagedReader(DataSourceReader):
             return
         with open(name, encoding="utf-8") as f:
             for row in json.load(f):
-                if all(row.get(k) == v for k, v in self.equal.items()):
-                    yield (str(row.get("id")), row.get("canton"), json.dumps(row, ensure_ascii=False))
+                fields = (str(row.get("id")), row.get("canton"), row.get("title"), row.get("workload"), row.get("permanent"), row.get("posted"))
+                known = dict(zip(_FIELDS, fields))
+                if all(known[k] is not None and _holds(op, known[k], v) for op, k, v in self.tests):
+                    yield (*fields, json.dumps(row, ensure_ascii=False))
+
+
+_FIELDS = ("id", "canton", "title", "workload", "permanent", "posted")
+_TESTS = {EqualTo: "=", In: "in", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", StringContains: "has"}
+
+
+def _holds(op: str, x, v) -> bool:
+    if op in ("=", "in", "has"):
+        return x == v if op == "=" else x in v if op == "in" else v in x
+    return x > v if op == ">" else x >= v if op == ">=" else x < v if op == "<" else x <= v
+
+
+def count_results(path: str) -> int:
+    """How many results there are, without reading a page."""
+    with open(os.path.join(path, "total.json"), encoding="utf-8") as f:
+        return int(json.load(f)["total"])
+
+
+def fetch_one(spark, path: str, record_id: str):
+    """The record of that id as a frame of one row, or of none where the source doesn't know it."""
+    return spark.read.format("paged_search").load(path).where(F.col("id") == record_id)
 
 
 class PagedSearch(DataSource):
@@ -65,7 +89,7 @@ class PagedSearch(DataSource):
         return "paged_search"
 
     def schema(self) -> str:
-        return "id string, canton string, json string"
+        return "id string, canton string, title string, workload int, permanent boolean, posted string, json string"
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)

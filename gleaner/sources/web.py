@@ -19,6 +19,12 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     return _entries(rows)
 
 
+def read_sitemaps(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The entries of several sitemaps in one read, each id once: that with the latest lastmod."""
+    rows = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(list(paths))
+    return _entries(rows).groupBy("source_id").agg(F.max_by(F.struct("url", "lastmod"), F.struct("lastmod", "url")).alias("e")).select("source_id", "e.*")
+
+
 def parse_sitemap(texts: DataFrame, column: str = "xml") -> DataFrame:
     """The same from a column of sitemap documents."""
     block = F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?s)<url>(.*?)</url>"), 1)).alias("b")

@@ -105,10 +105,14 @@ def test_taxonomy(spark, tmp_path):
 def test_paged_source(spark, tmp_path):
     (tmp_path / "total.json").write_text('{"total": 3, "size": 2}')
     (tmp_path / "page-0.json").write_text('[{"id": 1, "canton": "BE"}, {"id": 2, "canton": "ZH"}]')
-    (tmp_path / "page-1.json").write_text('[{"id": 3, "canton": "BE"}]')
+    (tmp_path / "page-1.json").write_text('[{"id": 3, "canton": "BE", "workload": 80, "title": "Koch", "permanent": true}]')
     spark.dataSource.register(paged.PagedSearch)
     df = spark.read.format("paged_search").load(str(tmp_path))
     assert sorted(r.id for r in df.collect()) == ["1", "2", "3"] and sorted(r.id for r in df.where("canton = 'BE'").collect()) == ["1", "3"]
+    for test in ("workload >= 60 AND workload < 90", "title LIKE '%oc%'", "permanent", "canton IN ('BE', 'GE') AND workload IS NOT NULL", "workload > 79 AND workload <= 80"):
+        assert [r.id for r in df.where(test).collect()] == ["3"], test
+    assert df.where("workload > 80").count() == 0 and paged.count_results(str(tmp_path)) == 3
+    assert [r.canton for r in paged.fetch_one(spark, str(tmp_path), "2").collect()] == ["ZH"] and paged.fetch_one(spark, str(tmp_path), "9").count() == 0
     with pytest.raises(Exception, match="window holds"):
         spark.read.format("paged_search").option("window", "2").load(str(tmp_path)).collect()
 
@@ -167,3 +171,55 @@ def test_source_b_keeps_what_the_source_says(spark):
     df = spark.createDataFrame([(json.dumps(d),) for d in data], "j string").select(F.from_json("j", raw.SCHEMAS["b"]).alias("r")).select("r.*", F.lit("myjob").alias("portal"))
     got = {r.source_id: (r.home_office, r.apply_url) for r in raw.project_b(df, now()).collect()}
     assert got == {"1": (False, "https://b.example/1"), "2": (True, "https://b.example/1"), "3": (None, "https://b.example/1")}
+
+
+def test_several_sitemaps(spark, tmp_path):
+    for name, stamp in (("a.xml", "2025-01-01"), ("b.xml", "2025-02-01")):
+        (tmp_path / name).write_text(f"<urlset><url><loc>https://m.example/job/koch/7</loc><lastmod>{stamp}</lastmod></url><url><loc>https://m.example/job/koch/{len(stamp)}{name[0] == 'a' and 1 or 2}</loc></url><url><loc>https://m.example/x</loc></url></urlset>")
+    got = {r.source_id: r.lastmod for r in web.read_sitemaps(spark, [str(tmp_path / "a.xml"), str(tmp_path / "b.xml")]).collect()}
+    assert set(got) == {"7", "101", "102"} and got["7"].month == 2
+
+
+def test_choice_of_embedder():
+    from gleaner.functions.vectors import choose_embedder
+
+    def broken():
+        raise OSError("no model")
+
+    said = []
+    assert choose_embedder([broken, HashingEmbedder], said.append).name == "hashing-256" and "no model" in said[0]
+    with pytest.raises(RuntimeError, match="no embedder"):
+        choose_embedder([broken])
+
+
+def test_runs_and_command_line(spark, raw_folder, tmp_path, capsys):
+    from datetime import datetime
+
+    from gleaner.__main__ import parser
+    from gleaner.plans.runs import Runs
+
+    home = str(tmp_path / "store")
+    first = Runs(spark, home, now=datetime(2025, 1, 5)).parse(source_a=raw_folder)
+    assert (first["new"], first["updated"], first["skipped"]) == (2, 0, 2)
+    runs = Runs(spark, home, now=datetime(2025, 1, 6))
+    again = runs.parse(source_a=raw_folder)
+    assert (again["new"], again["updated"]) == (0, 2)
+    jobs = {r.source_id: r for r in runs.table("jobs").read().collect()}
+    assert jobs["a"].first_seen_at.day == 5 and jobs["a"].last_seen_at.day == 6
+    profile = settings.Profile("p", target_roles=[{"name": "Koch"}], locations=[{"label": "B", "lat": 46.9, "lon": 7.4}])
+    active = runs.table("jobs").read().withColumn("status", F.lit("active"))
+    runs.table("jobs").replace(active, ["portal", "source_id"], n_buckets=4)
+    assert runs.score(profile)["scored"] >= 1
+    path = runs.digest("p", str(tmp_path / "out"))
+    text = open(path, encoding="utf-8").read()
+    assert "*neu*" in text and "*neu*" not in open(Runs(spark, home, now=datetime(2025, 1, 7)).digest("p", str(tmp_path / "out")), encoding="utf-8").read()
+    runs.rate("p", jobs["a"].id, -1, "ort")
+    runs.rate("p", jobs["a"].id, 1)
+    assert [(r.rating, r.reason) for r in runs.table("feedback").read().collect()] == [(1, None)]
+    with pytest.raises(ValueError):
+        runs.rate("p", 1, 5)
+    status = runs.status(raw_folder)
+    assert status["jobs"] == 2 and status["feedback"] == 1 and status["digest_runs"] == 2 and {r["source"] for r in status["runs"]} == {"parse", "score", "digest"} and status["raw"]["days"] == 2
+    assert runs.clusters().count() == 0
+    args = parser().parse_args([home, "rate", "p", "7", "-1", "--reason", "ort"])
+    assert (args.command, args.job, args.rating, args.reason) == ("rate", 7, -1, "ort")

@@ -1,10 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.geo import meant_position
+from gleaner.operators import spatial
 from gleaner.operators.spatial import points_in_regions, points_within
 from tests.conftest import rows
 
@@ -52,3 +54,45 @@ def test_regions(spark, limit):
     regions = spark.createDataFrame([("m", [{"lat": a, "lon": b} for a, b in ring]), ("none", None), ("line", [{"lat": 1.0, "lon": 1.0}])], "region_id string, ring array<struct<lat:double,lon:double>>")
     pts = table(spark, [(1, (46.2, 7.5)), (2, (46.9, 7.5)), (3, (46.9, 7.05)), (4, (40.0, 7.5))])
     assert rows(points_in_regions(pts, regions, max_broadcast_rows=limit)) == [(1, "m"), (3, "m")]
+
+
+def _in(ring, lat, lon):
+    inside = False
+    for (a, x), (b, y) in zip(ring, ring[1:] + ring[:1]):
+        if (a > lat) != (b > lat) and lon < x + (lat - a) / (b - a) * (y - x):
+            inside = not inside
+    return inside
+
+
+def test_cover_of_a_ring():
+    import math
+    import random
+
+    rng = random.Random(4)
+    star = [(47 + (0.9 if k % 2 else 0.3) * math.sin(math.pi * k / 6), 8 + (1.2 if k % 2 else 0.4) * math.cos(math.pi * k / 6)) for k in range(12)]
+    world = [(-89.0, -179.0), (-89.0, 179.0), (89.0, 179.0), (89.0, -179.0)]
+    for ring, bits, span in ((star, 12, 2), (world, 8, 90)):
+        found = list(spatial.cover_ring(ring, bits, 8))
+        assert all(lo >> 8 == hi >> 8 == b for b, lo, hi, _ in found) and len({(lo, hi) for _, lo, hi, _ in found}) == len(found)
+        mid = (47, 8) if ring is star else (0, 0)
+        for _ in range(600):
+            lat, lon = mid[0] + rng.uniform(-span, span), mid[1] + rng.uniform(-2 * span, 2 * span)
+            n = 1 << bits
+            y, x = min(n - 1, int((lat + 90) / 180 * n)), min(n - 1, int((lon + 180) / 360 * n))
+            code = int(spatial._interleave(np.array([x]), np.array([y]))[0])
+            hits = [inner for _, lo, hi, inner in found if lo <= code <= hi]
+            assert len(hits) <= 1 and (not _in(ring, lat, lon) or hits) and (hits != [True] or _in(ring, lat, lon))
+    assert sum(inner for *_, inner in spatial.cover_ring(star, 12, 8)) > 0
+    assert len(list(spatial.cover_ring(world, 14, 28))) < 200_000  # by the line, not by the 268 million cells
+
+
+def test_regions_too_large_to_send(spark, monkeypatch):
+    rings = [("a", [(46.0, 7.0), (46.0, 9.0), (48.0, 9.0), (48.0, 7.0)]), ("b", [(47.0, 8.0), (47.5, 8.5), (47.0, 9.0)]), ("n", None), ("x", [(None, 1.0), (1.0, 1.0), (2.0, 2.0)])]
+    regions = spark.createDataFrame([(k, r) for k, r in rings], "k string, ring array<struct<lat:double,lon:double>>")
+    points = spark.range(400).selectExpr("id", "46.5D + (id % 20) * 0.1D AS lat", "7.5D + floor(id / 20) * 0.1D AS lon")
+    args = dict(region=("k", "ring"), out=("id", "k"))
+    small = rows(spatial.points_in_regions(points, regions, **args))
+    monkeypatch.setattr(spatial, "fits_broadcast", lambda *_: False)
+    assert small == rows(spatial.points_in_regions(points, regions, max_broadcast_rows=0, hot_rows=50, **args))
+    want = [(r.id, k) for r in points.collect() for k, ring in rings[:2] if _in(ring, r.lat, r.lon)]
+    assert small == sorted(want)
