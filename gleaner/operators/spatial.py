@@ -101,45 +101,57 @@ def cover_disc(lat: float, lon: float, radius_km: float, bits: int, bucket_bits:
     return cover_box(south, north, lon - dlon, lon + dlon, bits, bucket_bits, keep)
 
 
-def _touching(lat: np.ndarray, lon: np.ndarray, edges: np.ndarray, south: float, north: float, west: float, east: float) -> np.ndarray:
-    """Those of the numbered edges (point i to i + 1) of a closed line that may touch a box."""
-    la0, la1, lo0, lo1 = lat[edges], lat[edges + 1], lon[edges], lon[edges + 1]
-    near = (np.minimum(la0, la1) <= north) & (np.maximum(la0, la1) >= south) & (np.minimum(lo0, lo1) <= east) & (np.maximum(lo0, lo1) >= west)
-    # all corners on one side of the edge's line: it passes by
-    side = [(la1 - la0) * (x - lo0) - (lo1 - lo0) * (y - la0) for y in (south, north) for x in (west, east)]
-    passes = np.all([v > 0 for v in side], axis=0) | np.all([v < 0 for v in side], axis=0)
-    return edges[near & ~passes]
-
-
 def cover_ring(ring: list[tuple[float, float]], bits: int, bucket_bits: int) -> Iterator[tuple[int, int, int, bool]]:
     """(bucket, lo, hi, inner) ranges of the cells that a ring of (lat, lon) covers.
 
-    Cells are halved from the whole earth down to `bits`, only where the ring's line passes: what lies
+    Cells are quartered from the whole earth down to `bits`, only where the ring's line passes: what lies
     inside of it is one range of any size, marked `inner`, in which every point is in the region. The work
-    grows with the length of the line, not with the area.
+    grows with the length of the line, not with the area; each level is done at once.
     """
     lat, lon = (np.array([p[k] for p in ring] + [ring[0][k]], float) for k in (0, 1))
+    la0, la1, lo0, lo1 = lat[:-1], lat[1:], lon[:-1], lon[1:]
     margin = 1e-9
 
-    def inside(y: float, x: float) -> bool:
-        a, b = lat[:-1], lat[1:]
-        cross = (a > y) != (b > y)
-        at = lon[:-1][cross] + (y - a[cross]) / (b[cross] - a[cross]) * (lon[1:][cross] - lon[:-1][cross])
-        return int((x < at).sum()) % 2 == 1
+    def inside(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(y), bool)
+        for at in range(0, len(y), 4096):
+            part = slice(at, at + 4096)
+            for a, b, c, d in zip(la0, la1, lo0, lo1):
+                if a != b:
+                    crosses = (a > y[part]) != (b > y[part])
+                    out[part] ^= crosses & (x[part] < c + (y[part] - a) / (b - a) * (d - c))
+        return out
 
     found: list[tuple[int, int, bool]] = []
-    stack = [(0, 0, 0, np.arange(len(ring)))]
-    while stack:
-        level, x, y, edges = stack.pop()
+
+    def emit(x: np.ndarray, y: np.ndarray, level: int, inner: bool) -> None:
+        free = 2 * (bits - level)
+        low = _interleave(x, y) << free
+        found.extend(zip(low.tolist(), (low + (1 << free) - 1).tolist(), [inner] * len(low)))
+
+    cells = np.zeros((1, 2), np.int64)  # x, y
+    at, edges = np.zeros(len(ring), np.int64), np.arange(len(ring))  # pairs of a cell (its row) and an edge
+    for level in range(bits + 1):
         height, width = 180.0 / (1 << level), 360.0 / (1 << level)
-        south, west = y * height - 90.0, x * width - 180.0
-        edges = _touching(lat, lon, edges, south - margin, south + height + margin, west - margin, west + width + margin)
-        if len(edges) and level < bits:
-            stack += [(level + 1, 2 * x + dx, 2 * y + dy, edges) for dx in (0, 1) for dy in (0, 1)]
-        elif len(edges) or inside(south + height / 2, west + width / 2):
-            free = 2 * (bits - level)
-            low = int(_interleave(np.array([x]), np.array([y]))[0]) << free
-            found.append((low, low + (1 << free) - 1, not len(edges)))
+        west, south = cells[:, 0] * width - 180.0, cells[:, 1] * height - 90.0
+        w, e, s_, n = west[at] - margin, west[at] + width + margin, south[at] - margin, south[at] + height + margin
+        a, b, c, d = la0[edges], la1[edges], lo0[edges], lo1[edges]
+        near = (np.minimum(a, b) <= n) & (np.maximum(a, b) >= s_) & (np.minimum(c, d) <= e) & (np.maximum(c, d) >= w)
+        # all corners on one side of the edge's line: it passes by
+        sides = [(b - a) * (x - c) - (d - c) * (y - a) for y in (s_, n) for x in (w, e)]
+        passes = np.all([v > 0 for v in sides], axis=0) | np.all([v < 0 for v in sides], axis=0)
+        at, edges = at[near & ~passes], edges[near & ~passes]
+        crossed = np.zeros(len(cells), bool)
+        crossed[at] = True
+        free = cells[~crossed]
+        full = free[inside(south[~crossed] + height / 2, west[~crossed] + width / 2)]
+        emit(full[:, 0], full[:, 1], level, True)
+        if level == bits:
+            emit(cells[crossed, 0], cells[crossed, 1], level, False)
+            break
+        row = np.cumsum(crossed) - 1
+        cells = np.concatenate([2 * cells[crossed] + (dx, dy) for dx in (0, 1) for dy in (0, 1)])
+        at, edges = np.concatenate([row[at] + k * crossed.sum() for k in range(4)]), np.tile(edges, 4)
     found.sort()
     merged: list[list] = []
     for lo, hi, inner in found:

@@ -128,7 +128,23 @@ def short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.select("id", text.short(d).alias("short"), (text.truncate(d) == F.trim(F.coalesce(d, F.lit("")))).alias("whole"))
 
 
-@query()
+def _section(pattern: str) -> str:
+    """A line pattern of sections as RE2 reads it: \\w and \\s as in every query, with no-break spaces."""
+    p = pattern.replace(r"[*#_\\\s]", "[*#_\\\\~]").replace(r"\s", "[\\s\u00a0]").replace("~", "\\s\u00a0").replace(r"\w", f"[{W}]")
+    return _q("(?i)" + p)
+
+
+@query(
+    f"""
+WITH k AS (SELECT id, title, company_name, description_md AS d, s, list_transform(s, lambda x: CASE WHEN regexp_matches(x, {_section(V.SECTION_START)}) THEN 1 WHEN regexp_matches(x, {_section(V.SECTION_END)}) THEN 2 ELSE 0 END) AS kinds
+           FROM (SELECT *, string_split(description_md, chr(10)) AS s FROM jobs)),
+     p AS (SELECT *, coalesce(list_position(kinds, 1), 0) AS f, list_max(list_transform(range(1, len(kinds) + 1), lambda i: CASE WHEN kinds[i] = 1 THEN i ELSE 0 END)) AS last FROM k),
+     q AS (SELECT *, coalesce(list_position(kinds[last + 1 :], 2), 0) AS after FROM p),
+     r AS (SELECT *, trim(array_to_string(s[f : CASE WHEN after > 0 THEN last + after - 1 ELSE len(s) END], chr(10))) AS part FROM q),
+     t AS (SELECT id, title, company_name, CASE WHEN f > 0 AND part <> '' THEN part ELSE d END AS kept FROM r)
+SELECT id, length(kept) AS kept, length(concat_ws(chr(10) || chr(10), title, title || ' bei ' || company_name || '.', nullif(substr({_strip('kept')}, 1, 2500), ''))) AS embedded FROM t
+"""
+)
 def relevant_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task and requirement sections, and the text to embed."""
     jobs = texts(spark, sf_dir, "jobs", "id", "title", "company_name", "description_md")
