@@ -58,9 +58,13 @@ def robust_statistics(items: DataFrame, exact: bool = False) -> DataFrame:
     packed = cut(lower_medians(long, "x", exact).groupBy("list_key").agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("medians")))
     off = F.abs(F.col("x") - F.col("medians")[F.col("name")])
     offs = _with_lists(long, packed).select("list_key", "name", off.alias("off"))
-    mads, means = lower_medians(offs, "off", exact).withColumnRenamed("median", "mad"), offs.groupBy("list_key", "name").agg(F.avg("off").alias("mean_off"))
+    by_name, mean_off = offs.groupBy("list_key", "name"), F.avg("off").alias("mean_off")
+    if exact:
+        spread = lower_medians(offs, "off", True).withColumnRenamed("median", "mad").join(by_name.agg(mean_off), ["list_key", "name"])
+    else:
+        spread = by_name.agg(F.percentile_approx("off", 0.5, ACCURACY).alias("mad"), mean_off)
     scale = F.when(F.col("mad") > 0, F.col("mad") * 1.4826).when(F.col("mean_off") > 0, F.col("mean_off") * 1.2533)
-    scales = mads.join(means, ["list_key", "name"]).groupBy("list_key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("name"), scale.alias("scale")))).alias("scales"))
+    scales = spread.groupBy("list_key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("name"), scale.alias("scale")))).alias("scales"))
     both = packed.join(scales, "list_key", "left")
     stats = F.transform_values("medians", lambda k, m: F.struct(m.alias("median"), F.col("scales")[k].alias("scale")))
     return cut(both.select("list_key", stats.alias("stats")))
