@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 def rank_spread(df: DataFrame, partition: list[str], value: str, tie: str, out: str = "spread") -> DataFrame:
     """Ascending stable rank / (n - 1) within a partition; a single row gets 1, null values null.
 
-    A partition is sorted in one task; `ranked_within` and `rank_spread_distributed` do without that.
+    No partition has to fit in one task (`ranked_within`); partition keys are not null. For one
+    ranking over the whole table use `rank_spread_distributed`.
     """
-    has = F.col(value).isNotNull()
-    w = Window.partitionBy(*partition, has).orderBy(value, tie)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*partition, has))
-    spread = F.when(n == 1, 1.0).otherwise((F.row_number().over(w) - 1) / (n - 1))
-    return df.withColumn(out, F.when(has, spread))
+    has = df.where(F.col(value).isNotNull())
+    sizes = has.groupBy(*partition).agg(F.count(F.lit(1)).alias("__size"))
+    ranked = ranked_within(has, partition, [F.col(value).asc(), F.col(tie).asc()], "__rank").join(sizes, partition)
+    spread = F.when(F.col("__size") == 1, 1.0).otherwise((F.col("__rank") - 1) / (F.col("__size") - 1))
+    none = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return ranked.withColumn(out, spread).drop("__rank", "__size").unionByName(none)
 
 
 def rank_spread_distributed(df: DataFrame, value: str, tie: str, out: str = "spread") -> DataFrame:
