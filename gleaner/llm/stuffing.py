@@ -64,6 +64,9 @@ _LINK_HTML = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.S | re.I)
 _TAG = re.compile(r"<[A-Za-z/!][^<>]*>")
 _CUT = re.compile(r"\n+|(?<=[.!?…])\s+(?=[\"„«]?[A-ZÀ-ÞŒ])")
 _TOKEN = re.compile(r"(?:https?://|www\.)\S+|#\w[\w-]*|[^\W_]+(?:[-.][^\W_]+)*|[|•;·,]|->|»")
+# The words and separators of a stretch without links and tags.
+_PLAIN = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
+_SEPARATORS = ("|", "•", ";", "·", ",", "->", "»")
 _OPEN, _CLOSE = "", ""
 
 CLASSES = ("function", "repeated", "link", "separator", "code", "other")
@@ -88,6 +91,9 @@ def log_odds(stuffing: tuple | None = None, prose: tuple | None = None) -> np.nd
 
 def _tokens(unit: str) -> tuple[list[str], int, int]:
     """Words, number of words in links and tags, number of separators of a stretch."""
+    if _OPEN not in unit and _CLOSE not in unit and "#" not in unit and "://" not in unit and "www." not in unit:
+        words = list(map(str.lower, _PLAIN.findall(unit)))
+        return words, 0, sum(map(unit.count, _SEPARATORS))
     words, links, separators, inside = [], 0, 0, False
     for piece in re.split(f"([{_OPEN}{_CLOSE}])", unit) if _OPEN in unit or _CLOSE in unit else [unit]:
         if piece in (_OPEN, _CLOSE):
@@ -116,7 +122,9 @@ def page_profile(text: str) -> tuple[Counter, np.ndarray] | None:
     distinct = dict.fromkeys(lines)
     for u in distinct:
         distinct[u] = _tokens(u)
-    counts = Counter(w for u in lines for w in distinct[u][0])
+    counts: Counter = Counter()
+    for u in lines:
+        counts.update(distinct[u][0])
     if not counts and not any(links for _, links, _ in distinct.values()):
         return None
     # a line that is there twice says nothing about its words
@@ -126,10 +134,8 @@ def page_profile(text: str) -> tuple[Counter, np.ndarray] | None:
     rows = np.zeros((len(lines), len(CLASSES)), np.uint32)
     for i, u in enumerate(lines):
         words, links, separators = distinct[u]
-        row = [0, 0, links, separators, 0, 0]
-        for w in words:
-            row[kind[w]] += 1
-        rows[i] = row
+        seen = Counter(map(kind.__getitem__, words))
+        rows[i] = (seen[FUNCTION], seen[REPEATED], links, separators, seen[CODE], seen[OTHER])
     return counts, rows
 
 
