@@ -24,6 +24,7 @@ def get_session(app: str = "gleaner", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.python.filterPushdown.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # those no frame refers to any more
         "spark.ui.showConsoleProgress": "false",
     }
     for key, value in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():

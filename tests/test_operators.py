@@ -340,3 +340,26 @@ def test_number_of_clusters_grows_with_the_rows(spark):
     data = [(i, [x + rng.gauss(0, 0.01) for x in centres[i % 80]]) for i in range(2400)]
     got = dict(rows(terms.vector_clusters(spark.createDataFrame(data, "id long, v array<double>"), key="id", vector="v", min_size=6, dims=6)))
     assert len(got) == 2400 and len(set(got.values()) - {-1}) > 64
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    from gleaner.session import fits_broadcast
+
+    df = spark.range(100).withColumn("t", F.lit("x" * 1000))
+    assert fits_broadcast(df) and not fits_broadcast(df, rows=99) and not fits_broadcast(df, size=50_000)
+    assert fits_broadcast(df.limit(0)) and fits_broadcast(df.withColumn("n", F.lit(None).cast("string")))
+
+
+def test_no_local_checkpoint_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from gleaner.session import ensure_checkpoint_dir
+
+    def session(master, set_to=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: set_to))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,3000]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(session(master))
+        assert ensure_checkpoint_dir(session(master, "/shared")) == "/shared"
