@@ -134,8 +134,10 @@ def page_profile(text: str) -> tuple[Counter, np.ndarray] | None:
     rows = np.zeros((len(lines), len(CLASSES)), np.uint32)
     for i, u in enumerate(lines):
         words, links, separators = distinct[u]
-        seen = Counter(map(kind.__getitem__, words))
-        rows[i] = (seen[FUNCTION], seen[REPEATED], links, separators, seen[CODE], seen[OTHER])
+        row = [0, 0, links, separators, 0, 0]
+        for w in words:
+            row[kind[w]] += 1
+        rows[i] = row
     return counts, rows
 
 
